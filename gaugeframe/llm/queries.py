@@ -7,13 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeframe.llm import near_duplicates
+from gaugeframe.llm import clusters, hidden_copies, near_duplicates, split_overlap
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = split_overlap.pairs(_table(spark, sf_dir, "samples"), _table(spark, sf_dir, "analyze_requests"), 0.7)
+    a, b = F.col("evaluation_id"), F.col("training_id")
+    return found.select(F.least(a, b).alias("sample_id_a"), F.greatest(a, b).alias("sample_id_b"))
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_overlap.report(_table(spark, sf_dir, "samples"), _table(spark, sf_dir, "analyze_requests"), 0.7)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = _table(spark, sf_dir, "samples").select("sample_id", "text", "label")
+    return hidden_copies.found(samples, "sample_id", "text", "label").withColumnRenamed("id", "sample_id")
+
+
+def p2_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = _table(spark, sf_dir, "samples").select("sample_id", "text", "label")
+    return hidden_copies.collapsed(samples, "sample_id", "text", "label").withColumnRenamed("id", "sample_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = _table(spark, sf_dir, "samples").select("sample_id", "text")
     return near_duplicates.pairs(samples, "sample_id", "text", 0.5).select(F.col("id_a").alias("sample_id_a"), F.col("id_b").alias("sample_id_b"))
@@ -24,5 +44,15 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.groups(samples, "sample_id", "text", 0.5).withColumnRenamed("id", "sample_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = _table(spark, sf_dir, "samples").select("sample_id", "text")
+    return clusters.linked(samples, "sample_id", "text", 0.2, 10).withColumnRenamed("id", "sample_id")
+
+
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = _table(spark, sf_dir, "samples").select("sample_id", "text")
+    return clusters.clusters(samples, "sample_id", "text").withColumnRenamed("id", "sample_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_groups)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_collapsed, p4_found, p4_groups, p5_found, p5_clusters)}

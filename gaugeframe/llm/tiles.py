@@ -1,7 +1,8 @@
 """Candidate pairs from an inverted index, compared exactly tile by tile with exclusive-or and bit counts.
 
 Every text is known by the 64-bit hash of its set of triples (*class*: copies are one class, whatever their number) and
-carries a 256-bit set signature: bit ``h(t)`` is set for each of its triples t. Two facts lose no pair:
+carries a set signature of 256 bits (512 or 1,024 for long texts): bit ``h(t)`` is set for each of its triples t. Two
+facts lose no pair:
 
 * If two sets are similar enough, they share one of the *rarest* keys of each (prefix filter); any fixed order of keys
   will do, so rarity may come from a counter sketch of fixed size.
@@ -27,10 +28,11 @@ from pyspark.sql import functions as F
 
 from gaugeframe.llm.shingles import U, mix
 
-WORDS = 4  # 64-bit words of a signature
-TILE = 1 << 21  # pairs compared at once
+WORDS = (4, 8, 16)  # 64-bit words of a signature
+LONG = (0, 90, 180)  # more triples than this take the next size too, as 256 bits fill up
+TILE = 1 << 19  # pairs compared at once
 LIST = 1 << 17  # entries of a key in a task
-PER_BUCKET = 1_000_000  # entries in a bucket, about
+PER_BUCKET = 2_000_000  # entries in a bucket, about
 
 
 class Entries(NamedTuple):
@@ -38,16 +40,20 @@ class Entries(NamedTuple):
 
     cls: np.ndarray  # uint64; the lowest bit is the side (0 or 1)
     n: np.ndarray  # triples
-    sig: np.ndarray  # uint64 [classes, WORDS]
+    sig: np.ndarray  # uint8 [classes, 64 * WORDS[-1]], a bit in a byte
     row: np.ndarray
     key: np.ndarray  # uint64
     often: np.ndarray
 
 
 def signatures(doc: np.ndarray, items: np.ndarray, docs: int) -> np.ndarray:
-    on = np.zeros((docs, 64 * WORDS), np.uint8)
-    on[doc, (mix(items + U(0xABCDEF)) >> U(56)).astype(np.int64)] = 1
-    return np.packbits(on, axis=1).view(U)
+    on = np.zeros((docs, 64 * WORDS[-1]), np.uint8)
+    on[doc, (mix(items + U(0xABCDEF)) >> U(54)).astype(np.int64)] = 1
+    return on
+
+
+def _folded(on: np.ndarray, words: int) -> np.ndarray:
+    return np.packbits(on.reshape(len(on), -1, 64 * words).max(1), axis=1).view(U)
 
 
 def rarest(doc: np.ndarray, items: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,41 +83,69 @@ def emit(df: DataFrame, of: Callable[[pa.RecordBatch], Entries], buckets: int) -
                 row, key, p, g = (np.repeat(x, grid) for x in (row, key, of_part, grid))
                 key = np.where(g > 1, mix(key + (np.minimum(p, q) * g + np.maximum(p, q)).astype(U) * U(0x9E3779B97F4A7C15)), key)
             at = ((key >> U(32)) % U(buckets)).astype(np.int64)
+            sig = [_folded(e.sig, w) for w in WORDS]
             order = np.argsort(at * len(e.cls) + row, kind="stable")
             at, row, key = at[order], row[order], key[order]
             fresh = np.r_[True, (at[1:] != at[:-1]) | (row[1:] != row[:-1])]  # each class once in a bucket
             nth = np.cumsum(fresh) - 1
             tables = row[fresh]
             edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])
+            each = np.diff(np.r_[np.flatnonzero(fresh), len(at)])  # entries of each row of a table
             blobs = []
             for i, j in zip(edge[:-1], edge[1:]):
                 t = tables[nth[i] : nth[j - 1] + 1]
                 head = np.array([len(t), j - i], np.uint32)
-                blobs.append(b"".join(x.tobytes() for x in (head, e.cls[t], e.sig[t], e.n[t].astype(np.uint32), (key[i:j] & U(0xFFFFFFFF)).astype(np.uint32), (nth[i:j] - nth[i]).astype(np.uint16 if len(t) < 65536 else np.uint32))))
+                long = [x[t[e.n[t] > least]] for x, least in zip(sig, LONG)]
+                blobs.append(b"".join(x.tobytes() for x in (head, e.cls[t], *long, e.n[t].astype(np.uint32), key[i:j].astype(np.uint32), each[nth[i] : nth[j - 1] + 1].astype(np.uint32))))
             yield pa.RecordBatch.from_arrays([pa.array(at[edge[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return df.mapInArrow(part, "bucket int, blob binary").repartitionById(buckets, F.col("bucket"))
 
 
-def _load(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None:
-    cls, sig, n, key, row = [], [], [], [], []
+class Bucket(NamedTuple):
+    cls: np.ndarray
+    n: np.ndarray
+    sig: list[np.ndarray]  #: by size; those of the longer sizes hold rows of long classes only
+    at: list[np.ndarray]  #: by size, where a class has its signature
+    key: np.ndarray
+    row: np.ndarray
+
+    def far(self, a: np.ndarray, b: np.ndarray, contained: bool) -> np.ndarray:
+        """The most differing bits of any size that both have; for ``contained``, of bits of a that b has not."""
+        most = np.zeros(len(a), np.int64)
+        for sig, at, least in zip(self.sig, self.at, LONG):
+            both = np.flatnonzero((self.n[a] > least) & (self.n[b] > least))
+            x, y = sig[at[a[both]]], sig[at[b[both]]]
+            most[both] = np.maximum(most[both], np.bitwise_count(x & ~y if contained else x ^ y).sum(1, dtype=np.int64))
+        return most
+
+
+def _load(batches: Iterator[pa.RecordBatch]) -> Bucket | None:
+    cls, n, key, row = [], [], [], []
+    sig: list[list[np.ndarray]] = [[] for _ in WORDS]
     base = 0
     for b in batches:
         for x in b.column(1):
             buf = x.as_buffer()
             d, m = (int(v) for v in np.frombuffer(buf, np.uint32, 2))
-            at = 8
-            for into, kind, size in ((cls, U, d), (sig, U, d * WORDS), (n, np.uint32, d), (key, np.uint32, m), (row, np.uint16 if d < 65536 else np.uint32, m)):
-                into.append(np.frombuffer(buf, kind, size, at))
-                at += into[-1].nbytes
-            row[-1] = row[-1].astype(np.int64) + base
+            cls.append(np.frombuffer(buf, U, d, 8))
+            end = len(buf) - 4 * (2 * d + m)
+            n.append(np.frombuffer(buf, np.uint32, d, end))
+            key.append(np.frombuffer(buf, np.uint32, m, end + 4 * d))
+            row.append(np.repeat(np.arange(d, dtype=np.uint32) + np.uint32(base), np.frombuffer(buf, np.uint32, d, end + 4 * (d + m))))
+            at = 8 + 8 * d
+            for into, w, least in zip(sig, WORDS, LONG):
+                k = int((n[-1] > least).sum())
+                into.append(np.frombuffer(buf, U, k * w, at).reshape(k, w))
+                at += 8 * k * w
             base += d
     if not base:
         return None
-    cls, at, back = np.unique(np.concatenate(cls), return_index=True, return_inverse=True)
-    sig, n = np.concatenate(sig).reshape(-1, WORDS)[at], np.concatenate(n)[at].astype(np.int64)
+    cls, first, back = np.unique(np.concatenate(cls), return_index=True, return_inverse=True)
+    n = np.concatenate(n)
+    places = [np.cumsum(n > least)[first] - 1 for least in LONG]
     entry = np.unique((np.concatenate(key).astype(U) << U(32)) | back[np.concatenate(row)].astype(U))
-    return cls, sig, n, (entry >> U(32)).astype(np.int64), (entry & U(0xFFFFFFFF)).astype(np.int64)
+    return Bucket(cls, n[first].astype(np.int64), [np.concatenate(x) for x in sig], places, (entry >> U(32)).astype(np.int64), (entry & U(0xFFFFFFFF)).astype(np.int64))
 
 
 def _tiles(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -143,8 +177,8 @@ def compare(blobs: DataFrame, least: float, contained: bool = False) -> DataFram
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (got := _load(batches)) is None:
             return
-        cls, sig, n, key, row = got
-        pop = np.bitwise_count(sig).sum(1).astype(np.int64)
+        cls, n, key, row = got.cls, got.n, got.key, got.row
+        pop = np.bitwise_count(got.sig[0]).sum(1).astype(np.int64)[got.at[0]]
         if contained:
             order = np.lexsort((cls[row] & U(1), key))
             key, row = key[order], row[order]
@@ -166,15 +200,13 @@ def compare(blobs: DataFrame, least: float, contained: bool = False) -> DataFram
                 a, b = _once(a, b)
                 keep = n[b] >= least * n[a] - 1e-6
                 a, b = a[keep], b[keep]
-                far = np.bitwise_count(sig[a] & ~sig[b]).sum(1, dtype=np.int64)
-                keep = far <= (1 - least) * n[a] + 1e-6
+                keep = got.far(a, b, True) <= (1 - least) * n[a] + 1e-6
             else:
                 a, b = _once(np.minimum(a, b), np.maximum(a, b))
                 na, nb = n[a], n[b]
                 keep = (np.minimum(na, nb) >= least * np.maximum(na, nb) - 1e-6) & (np.abs(pop[a] - pop[b]) <= (1 - least) / (1 + least) * (na + nb) + 1e-6)
                 a, b = a[keep], b[keep]
-                far = np.bitwise_count(sig[a] ^ sig[b]).sum(1, dtype=np.int64)
-                keep = far <= (1 - least) / (1 + least) * (n[a] + n[b]) + 1e-6
+                keep = got.far(a, b, False) <= (1 - least) / (1 + least) * (n[a] + n[b]) + 1e-6
             out_a.append(a[keep])
             out_b.append(b[keep])
         if out_a:
