@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeframe.llm import clusters, hidden_copies, near_duplicates, split_overlap
+from gaugeframe.llm import clusters, encoding, hidden_copies, lookalikes, near_duplicates, packing, split_overlap
+from gaugeframe.sources.scratch import save
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,5 +56,39 @@ def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.clusters(samples, "sample_id", "text").withColumnRenamed("id", "sample_id")
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encode(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.decode(p6_ids(spark, sf_dir), "doc_id", "ids").withColumnRenamed("id", "doc_id")
+
+
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(spec_id, doc_id, piece, start, size, container) for every capacity of container_specs."""
+    sized = save(p6_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("tokens")))
+    specs = _table(spark, sf_dir, "container_specs").filter("capacity_tokens > 0").orderBy("spec_id").collect()  # a few rows: one plan each
+    parts = [packing.pack(sized, "doc_id", "tokens", s.capacity_tokens).select(F.lit(s.spec_id).cast("bigint").alias("spec_id"), F.col("id").alias("doc_id"), "piece", "start", "size", "container") for s in specs]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(spec_id, capacity, items, tokens, containers, least_containers): how full the containers of each capacity are."""
+    rows = save(p7_packing(spark, sf_dir))
+    specs = _table(spark, sf_dir, "container_specs").select("spec_id", F.col("capacity_tokens").alias("capacity"))
+    got = rows.groupBy("spec_id").agg(F.count("*").alias("items"), F.sum("size").alias("tokens"), (F.max("container") + 1).alias("containers"))
+    return got.join(specs, "spec_id").select("spec_id", "capacity", "items", "tokens", "containers", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_containers"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lookalikes.pairs(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.withColumnsRenamed({"id_a": "doc_id_a", "id_b": "doc_id_b"})
+
+
+def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.canonical(_table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "form")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_collapsed, p4_found, p4_groups, p5_found, p5_clusters)}
+    every = (p1_found, p1_report, p2_found, p2_collapsed, p4_found, p4_groups, p5_found, p5_clusters, p6_ids, p6_decoded, p7_packing, p7_fill, p8_found, p8_forms)
+    return {f.__name__: f for f in every}
