@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeframe.llm import clusters, encoding, hidden_copies, lookalikes, near_duplicates, packing, split_overlap
+from gaugeframe.llm import abuse, clusters, encoding, hidden_copies, lookalikes, near_duplicates, packing, split_overlap
 from gaugeframe.sources.scratch import save
 
 
@@ -36,6 +36,27 @@ def p2_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_copies.collapsed(samples, "sample_id", "text", "label").withColumnRenamed("id", "sample_id")
 
 
+ABUSIVE = 0.7  # expected severity
+
+
+def _severities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = _table(spark, sf_dir, "samples").select("sample_id", "text")
+    return abuse.scores(samples, abuse.fit(samples, _table(spark, sf_dir, "moderation_labels")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _severities(spark, sf_dir).filter(F.col("severity") >= ABUSIVE).select(F.col("id").alias("sample_id"))
+
+
+def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _severities(spark, sf_dir).withColumnRenamed("id", "sample_id")
+
+
+def p3_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = _table(spark, sf_dir, "samples").select("sample_id", "text", "source")
+    return abuse.source_rates(samples, abuse.fit(samples, _table(spark, sf_dir, "moderation_labels")), ABUSIVE)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = _table(spark, sf_dir, "samples").select("sample_id", "text")
     return near_duplicates.pairs(samples, "sample_id", "text", 0.5).select(F.col("id_a").alias("sample_id_a"), F.col("id_b").alias("sample_id_b"))
@@ -90,5 +111,5 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p1_report, p2_found, p2_collapsed, p4_found, p4_groups, p5_found, p5_clusters, p6_ids, p6_decoded, p7_packing, p7_fill, p8_found, p8_forms)
+    every = (p1_found, p1_report, p2_found, p2_collapsed, p3_found, p3_scores, p3_source_rates, p4_found, p4_groups, p5_found, p5_clusters, p6_ids, p6_decoded, p7_packing, p7_fill, p8_found, p8_forms)
     return {f.__name__: f for f in every}
