@@ -113,3 +113,7 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (p1_found, p1_report, p2_found, p2_collapsed, p3_found, p3_scores, p3_source_rates, p4_found, p4_groups, p5_found, p5_clusters, p6_ids, p6_decoded, p7_packing, p7_fill, p8_found, p8_forms)
     return {f.__name__: f for f in every}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
