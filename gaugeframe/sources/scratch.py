@@ -46,3 +46,9 @@ class Saved:
 
 def save(df: DataFrame) -> DataFrame:
     return Saved(df).df
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables below the shared folder. Results that are still to be read from them are lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/gaugeframe")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
