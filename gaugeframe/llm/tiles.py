@@ -110,14 +110,19 @@ class Bucket(NamedTuple):
     key: np.ndarray
     row: np.ndarray
 
-    def far(self, a: np.ndarray, b: np.ndarray, contained: bool) -> np.ndarray:
-        """The most differing bits of any size that both have; for ``contained``, of bits of a that b has not."""
-        most = np.zeros(len(a), np.int64)
+    def within(self, a: np.ndarray, b: np.ndarray, radius: np.ndarray, contained: bool) -> np.ndarray:
+        """Positions of the pairs whose differing bits (for ``contained``: bits of a that b has not) stay within the
+        radius, by all sizes that both have; the longer signatures are looked at only for what passed the shorter."""
+        left = np.arange(len(a))
         for sig, at, least in zip(self.sig, self.at, LONG):
-            both = np.flatnonzero((self.n[a] > least) & (self.n[b] > least))
-            x, y = sig[at[a[both]]], sig[at[b[both]]]
-            most[both] = np.maximum(most[both], np.bitwise_count(x & ~y if contained else x ^ y).sum(1, dtype=np.int64))
-        return most
+            both = np.ones(len(left), bool) if not least else (self.n[a[left]] > least) & (self.n[b[left]] > least)
+            k = left[both]
+            x, y = sig.take(at.take(a[k]), axis=0), sig.take(at.take(b[k]), axis=0)
+            np.bitwise_and(x, ~y, out=x) if contained else np.bitwise_xor(x, y, out=x)
+            ok = np.ones(len(left), bool)
+            ok[both] = np.bitwise_count(x).sum(1, dtype=np.int32) <= radius[k]
+            left = left[ok]
+        return left
 
 
 def _load(batches: Iterator[pa.RecordBatch]) -> Bucket | None:
@@ -197,18 +202,18 @@ def compare(blobs: DataFrame, least: float, contained: bool = False) -> DataFram
         for i, j in _tiles(lo, hi):
             a, b = row[i], row[j]
             if contained:
-                a, b = _once(a, b)
                 keep = n[b] >= least * n[a] - 1e-6
                 a, b = a[keep], b[keep]
-                keep = got.far(a, b, True) <= (1 - least) * n[a] + 1e-6
+                radius = (1 - least) * n[a] + 1e-6
             else:
-                a, b = _once(np.minimum(a, b), np.maximum(a, b))
                 na, nb = n[a], n[b]
-                keep = (np.minimum(na, nb) >= least * np.maximum(na, nb) - 1e-6) & (np.abs(pop[a] - pop[b]) <= (1 - least) / (1 + least) * (na + nb) + 1e-6)
-                a, b = a[keep], b[keep]
-                keep = got.far(a, b, False) <= (1 - least) / (1 + least) * (n[a] + n[b]) + 1e-6
-            out_a.append(a[keep])
-            out_b.append(b[keep])
+                radius = (1 - least) / (1 + least) * (na + nb) + 1e-6
+                keep = (np.minimum(na, nb) >= least * np.maximum(na, nb) - 1e-6) & (np.abs(pop[a] - pop[b]) <= radius)
+                a, b, radius = a[keep], b[keep], radius[keep]
+            at = got.within(a, b, radius, contained)
+            a, b = _once(a[at], b[at]) if contained else _once(np.minimum(a[at], b[at]), np.maximum(a[at], b[at]))
+            out_a.append(a)
+            out_b.append(b)
         if out_a:
             a, b = _once(np.concatenate(out_a), np.concatenate(out_b))
             for i in range(0, len(a), 100_000):
