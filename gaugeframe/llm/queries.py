@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import abuse, clusters, encoding, hidden_copies, lookalikes, near_duplicates, packing, split_overlap
+from gaugeframe.llm.sql import SQL
 from gaugeframe.sources.scratch import save
 
 
@@ -36,7 +37,7 @@ def p2_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_copies.collapsed(samples, "sample_id", "text", "label").withColumnRenamed("id", "sample_id")
 
 
-ABUSIVE = 0.7  # expected severity
+ABUSIVE = 0.85  # expected severity
 
 
 def _severities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,4 +117,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
