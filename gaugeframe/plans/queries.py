@@ -292,26 +292,27 @@ def even_subsample(spark, sf_dir):
     return similarity.even_subsample(table(spark, sf_dir, "samples").select("sample_id"), "sample_id", 2000)
 
 
-LEAK = f"""u AS (SELECT vec_id, {UNIT} AS v, vec_id % 5 = 0 AS test FROM embeddings),
-    s AS (SELECT x.vec_id AS test_id, y.vec_id AS train_id, list_dot_product(x.v, y.v) AS s FROM u x, u y WHERE x.test AND NOT y.test),
-    k AS (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY s DESC, train_id) AS n FROM s WHERE s >= 0.35)"""
+LEAK = r"""h AS (SELECT sample_id, split, list_transform(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}'), lambda t: ('0x' || substr(md5(t), 1, 8))::UBIGINT % 256) AS b FROM samples WHERE split IN ('train', 'test')),
+    d AS (SELECT sample_id, split, list_transform(range(256), lambda i: len(list_filter(b, lambda y: y = i))::DOUBLE) AS v FROM h),
+    u AS (SELECT sample_id, split, list_transform(v, lambda y: y / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS v FROM d),
+    k AS (SELECT x.sample_id AS test_id, max(list_dot_product(x.v, y.v)) AS s FROM u x, u y WHERE x.split = 'test' AND y.split = 'train' GROUP BY 1 HAVING max(list_dot_product(x.v, y.v)) >= 0.92)"""
 
 
-def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = F.when(F.col("vec_id") % 5 == 0, "test").otherwise("train").alias("split")
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(ROW_ID), split, vx.unit(F.col("embedding").cast("array<double>")).alias("vector"))
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "samples").filter("split in ('train', 'test')")
+    rows = df.select(F.col("sample_id").alias(ROW_ID), "split", vx.hashed_vector(vx.tokens(F.col("text"))).alias("vector"))
+    return leakage.leakage_pairs(save(rows), "split", "vector")
 
 
-@query(f"WITH {LEAK} SELECT test_id, train_id, round(s, 6) AS similarity FROM k WHERE n = 1")
+@query(f"WITH {LEAK} SELECT test_id, round(s, 6) AS similarity FROM k")
 def leakage_pairs(spark, sf_dir):
-    return leakage.leakage_pairs(_splits(spark, sf_dir), "split", "vector", threshold=0.35).withColumn("similarity", F.round("similarity", 6))
+    return _leaks(spark, sf_dir).select("test_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"WITH {LEAK} SELECT (SELECT count(DISTINCT test_id) FROM k) AS leaking, (SELECT count(*) FROM u WHERE test) AS test_rows, round((SELECT count(DISTINCT test_id) FROM k) / (SELECT count(*) FROM u WHERE test), 9) AS risk")
+@query(f"WITH {LEAK} SELECT count(*) AS leaking, (SELECT count(*) FROM samples WHERE split = 'test') AS test_rows, round(count(*) / (SELECT count(*) FROM samples WHERE split = 'test'), 9) AS risk FROM k")
 def leakage_risk(spark, sf_dir):
-    rows = _splits(spark, sf_dir)
-    found = leakage.leakage_pairs(rows, "split", "vector", threshold=0.35).agg(F.count_distinct("test_id").alias("leaking"))
-    tests = rows.agg(F.count_if(F.col("split") == "test").alias("test_rows"))
+    found = _leaks(spark, sf_dir).agg(F.count_distinct("test_id").alias("leaking"))
+    tests = table(spark, sf_dir, "samples").agg(F.count_if(F.col("split") == "test").alias("test_rows"))
     return found.crossJoin(tests).withColumn("risk", F.round(F.col("leaking") / F.col("test_rows"), 9))
 
 
