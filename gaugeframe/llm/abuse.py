@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import sketches
-from gaugeframe.llm.shingles import U, mix
+from gaugeframe.llm.shingles import U, mix, slices
 
 MOST = 20_000  # labelled rows in a fit, and unlabelled ones
 BINS = 1 << 18
@@ -126,17 +126,23 @@ class Hasher:
         return h
 
 
-def hashed(texts: list[str | None], hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
-    """(bins [3, tokens], start of each text's tokens [texts + 1])."""
+def hashed(texts: list[str | None], hasher: Hasher, slice_: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    """(bins [3, tokens], start of each text's tokens [texts + 1]). The words of few texts are held at once."""
+    got = [_hashed(texts[i : i + slice_], hasher) for i in range(0, len(texts), slice_)] or [_hashed([], hasher)]
+    sizes = np.concatenate([np.diff(s) for _, s in got])
+    return np.concatenate([b for b, _ in got], axis=1), np.r_[0, np.cumsum(sizes)].astype(np.int64)
+
+
+def _hashed(texts: list[str | None], hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
     every = [tokens(t) for t in texts]
     start = np.r_[0, np.cumsum([len(x) for x in every])].astype(np.int64)
     h = np.fromiter((hasher(t) for x in every for t in x), U, int(start[-1]))
     doc = np.repeat(np.arange(len(texts)), np.diff(start))
-    out = np.zeros((3, len(h)), np.int64)
-    out[0] = (mix(h) % U(BINS - 1)).astype(np.int64) + 1  # bin 0 is for no feature and has no weight
+    out = np.zeros((3, len(h)), np.int32)
+    out[0] = (mix(h) % U(BINS - 1)).astype(np.int32) + 1  # bin 0 is for no feature and has no weight
     for gap in (1, 2):
         if len(h) > gap:
-            both = (mix(h[:-gap] * U(0x9E3779B97F4A7C15 + 2 * gap) + h[gap:]) % U(BINS - 1)).astype(np.int64) + 1
+            both = (mix(h[:-gap] * U(0x9E3779B97F4A7C15 + 2 * gap) + h[gap:]) % U(BINS - 1)).astype(np.int32) + 1
             out[gap, gap:] = np.where(doc[:-gap] == doc[gap:], both, 0)
     return out, start
 
@@ -144,7 +150,10 @@ def hashed(texts: list[str | None], hasher: Hasher) -> tuple[np.ndarray, np.ndar
 def best_windows(bins: np.ndarray, start: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first token of the best window, its score) of each text; texts without tokens have score 0."""
     n = np.diff(start)
-    total = np.r_[0.0, np.cumsum(w[bins].sum(0))]
+    total = np.zeros(bins.shape[1] + 1)
+    for b in bins:
+        total[1:] += w[b]
+    np.cumsum(total, out=total)
     end = np.repeat(start[1:], n)
     at = np.arange(len(end))
     s = total[np.minimum(at + WINDOW, end)] - total[at]
@@ -163,7 +172,7 @@ def _window_bins(bins: np.ndarray, start: np.ndarray, first: np.ndarray) -> np.n
     """[texts, 3 * WINDOW] bins of the window that begins at first; 0 past a text's end."""
     at = first[:, None] + np.arange(WINDOW)
     ok = at < start[1:, None]
-    out = bins[:, np.where(ok, at, 0)] if bins.shape[1] else np.zeros((3, *at.shape), np.int64)
+    out = bins[:, np.where(ok, at, 0)] if bins.shape[1] else np.zeros((3, *at.shape), np.int32)
     return np.where(ok, out, 0).transpose(1, 0, 2).reshape(len(first), -1)
 
 
@@ -176,9 +185,13 @@ def train(bins: np.ndarray, start: np.ndarray, grade: np.ndarray, sure: np.ndarr
     toxic = grade > 0
     doc = np.repeat(np.arange(len(grade)), np.diff(start))
     w = np.zeros(BINS)
-    seen = np.unique(np.concatenate([doc * BINS + b for b in bins]))
-    bin_, of = seen % BINS, seen // BINS
-    p, q = np.bincount(bin_, toxic[of], BINS), np.bincount(bin_, ~toxic[of], BINS)
+    p, q = np.zeros(BINS), np.zeros(BINS)
+    for b in bins:
+        seen = np.unique(doc * BINS + b)
+        bin_, of = seen % BINS, seen // BINS
+        p += np.bincount(bin_, toxic[of], BINS)
+        q += np.bincount(bin_, ~toxic[of], BINS)
+    del seen, bin_, of, doc
     ratio = np.log((p + 0.5) / (toxic.sum() + 1)) - np.log((q + 0.5) / ((~toxic).sum() + 1))
     w = np.where(p + q > 0, ratio / np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5)), 0) * 0.4
     w[0] = 0
@@ -285,7 +298,7 @@ def scores(df: DataFrame, model: Model, id_col: str = "sample_id", text_col: str
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(shared.value)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(severity(b.column(1).to_pylist(), shared.value, hasher))], ["id", "severity"])
 
     return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string")).mapInArrow(part, "id bigint, severity double")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import sketches, tiles
-from gaugeframe.llm.shingles import U, set_hashes, triples, words
+from gaugeframe.llm.shingles import U, set_hashes, slices, triples, words
 
 
 def class_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -23,7 +23,7 @@ def members(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id bigint, cls bigint) of the texts that have triples."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             _, _, cls = class_of(b.column(1).to_pylist())
             has = cls != 0
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(has)), pa.array(cls[has].view(np.int64))], ["id", "cls"])
@@ -43,7 +43,7 @@ def sets_of(df: DataFrame, text_col: str, wanted: np.ndarray) -> DataFrame:
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in slices(batches):
             doc, t, cls = class_of(b.column(0).to_pylist())
             at = first_of_each(cls)
             at = at[sketches.has(bits.value, mixed(cls[at]))]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import sketches
-from gaugeframe.llm.shingles import LIMIT, MIN_WORDS, U, mix, words
+from gaugeframe.llm.shingles import LIMIT, MIN_WORDS, U, mix, slices, words
 from gaugeframe.sources.scratch import Saved
 
 _tables: dict[str, np.ndarray] = {}
@@ -105,7 +105,7 @@ def keyed(df: DataFrame, id_col: str, text_col: str, label_col: str, min_words:
     cols = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             key, enough = cheap(b.column(1).to_pylist(), b.column(2).to_pylist(), min_words)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(enough)), pa.array(key[enough].view(np.int64))], ["id", "key"])
 
@@ -114,7 +114,7 @@ def keyed(df: DataFrame, id_col: str, text_col: str, label_col: str, min_words:
     wanted = df.sparkSession.sparkContext.broadcast(seen)
 
     def costly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts, labels = b.column(1).to_pylist(), b.column(2).to_pylist()
             key, enough = cheap(texts, labels, min_words)
             at = np.flatnonzero(enough & sketches.has(wanted.value, key))

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import sketches
+from gaugeframe.llm.shingles import slices
 from gaugeframe.sources.scratch import Saved
 
 #: Letters of other scripts and the Latin letters that they look like, in the same order.
@@ -190,7 +191,7 @@ def canonical(df: DataFrame, id_col: str, text_col: str, rules: dict[str, str] |
         a = automaton(shared.value)
         touched = set("".join(shared.value))
         digest = xxhash.xxh3_128_digest
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).to_pylist()
             forms = []
             for t in texts:

@@ -10,9 +10,12 @@ Defined cases: a null text counts as an empty one; texts of fewer than ``min_wor
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MIN_WORDS = 12
 LIMIT = 0x32400  # no letters or digits are assigned beyond the ideographs of plane 3
@@ -55,6 +58,22 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _cache["powers"][:n], _cache["inverse"][:n]
 
 
+def slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``most`` bytes of text (or one row), so that long texts don't add up in memory."""
+    for b in batches:
+        size = np.zeros(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_large_string(c.type):
+                size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        if size.sum() <= most or b.num_rows < 2:
+            yield b
+            continue
+        part = (np.cumsum(size) - size) // most
+        edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+        for i, j in zip(edge[:-1], edge[1:]):
+            yield b.slice(i, j - i)
+
+
 class Words(NamedTuple):
     hash: np.ndarray  #: of each word of the batch
     doc: np.ndarray  #: index of its text in the batch

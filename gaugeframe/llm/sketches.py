@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeframe.llm.shingles import slices
+
 COUNTERS = 1 << 20
 PIECES = 16
 
@@ -21,7 +23,7 @@ def counts(df: DataFrame, items: Callable[[pa.RecordBatch], np.ndarray], counter
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(counters, np.int64)
-        for b in batches:
+        for b in slices(batches):
             total += np.bincount((items(b) % np.uint64(counters)).astype(np.int64), minlength=counters)
         if total.any():
             yield _pieces(np.minimum(total, 2**32 - 1).astype(np.uint32))
@@ -34,7 +36,7 @@ def bits(df: DataFrame, items: Callable[[pa.RecordBatch], np.ndarray], size: int
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, bool)
-        for b in batches:
+        for b in slices(batches):
             total[(items(b) % np.uint64(size)).astype(np.int64)] = True
         if total.any():
             yield _pieces(np.packbits(total, bitorder="little"))

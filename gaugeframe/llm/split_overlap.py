@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gaugeframe.llm import sketches, tiles
 from gaugeframe.llm.classes import class_of, first_of_each, members, verified
-from gaugeframe.llm.shingles import MIN_WORDS, U, Words, mix, powers, words
+from gaugeframe.llm.shingles import MIN_WORDS, U, Words, mix, powers, slices, words
 from gaugeframe.sources.scratch import Saved
 
 CUT = 2
@@ -142,7 +142,7 @@ def digests(samples: DataFrame, requests: DataFrame) -> DataFrame:
     """(sample_id, split, source, side, digest bigint, size int): the chunks of the records of either side."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             doc, digest, size = _distinct(*chunks(words(b.column(1).to_pylist())))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(digest.view(np.int64)), pa.array(size, pa.int32())], ["sample_id", "digest", "size"])
 

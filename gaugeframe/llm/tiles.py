@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.llm.shingles import U, mix
+from gaugeframe.llm.shingles import U, mix, slices
 
 WORDS = (4, 8, 16)  # 64-bit words of a signature
 LONG = (0, 90, 180)  # more triples than this take the next size too, as 256 bits fill up
@@ -71,7 +71,7 @@ def emit(df: DataFrame, of: Callable[[pa.RecordBatch], Entries], buckets: int) -
     """(bucket int, blob binary): a blob holds classes, sizes, signatures and (key, row) entries."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             e = of(b)
             if not len(e.key):
                 continue
