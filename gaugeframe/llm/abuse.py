@@ -37,7 +37,8 @@ MOST = 20_000  # labelled rows in a fit, and unlabelled ones
 BINS = 1 << 18
 WINDOW = 10
 COMMON = 1 / 5_000  # a word in so many texts is common
-TOKEN = re.compile(r"(?:[^\W_]|[@$*]|(?<=[^\W\d_])!(?=[^\W\d_]))+")
+TOKEN = re.compile(r"[\w@$][\w@$*!]*")
+SINGLE = re.compile(r"(?<![^\W_])[^\W_][.\-_ \n*][^\W_][.\-_ \n*][^\W_](?![^\W_])")
 SPELLED = re.compile(r"(?<![^\W_])([^\W_])(?:([.\-_ \n*])[^\W_])(?:\2[^\W_])+(?![^\W_])")
 LEET = str.maketrans("013457@$!", "oieastasi")
 REPEATED = re.compile(r"(.)\1+")
@@ -52,14 +53,14 @@ def _joined(m: re.Match) -> str:
 def tokens(text: str | None) -> list[str]:
     if not text:
         return []
-    if SPELLED.search(text):
+    if SINGLE.search(text):  # quicker than to look for whole spelled-out words
         text = SPELLED.sub(_joined, text)
     return TOKEN.findall(text)
 
 
 def bare(token: str) -> str:
     """Lower case, letters for look-alike digits and signs, letters not repeated in words of five or more."""
-    w = token.lower().strip("*")
+    w = token.lower().strip("*!_")
     if not w.isalpha() and any(c.isalpha() for c in w):
         w = w.translate(LEET)
     return REPEATED.sub(r"\1", w) if len(w) > 4 else re.sub(r"(.)\1{2,}", r"\1", w)
@@ -100,13 +101,13 @@ class Model(NamedTuple):
     common: np.ndarray  # bit set of the hashes of common words
 
 
-class Hasher:
-    """Hash of a token's undisguised word; remembers what it has seen, up to a million tokens."""
+class Hasher(dict):
+    """Token -> hash of its undisguised word; remembers what it has seen, up to a million tokens."""
 
     def __init__(self, model: Model | None) -> None:
+        super().__init__()
         self.lexicon = Lexicon(model.lexicon) if model else None
         self.common = model.common if model else None
-        self.known: dict[str, int] = {}
 
     def word(self, token: str) -> str:
         w = bare(token)
@@ -117,12 +118,10 @@ class Hasher:
     def _common(self, w: str) -> bool:
         return w not in self.lexicon.words and bool(sketches.has(self.common, np.array([xxhash.xxh64_intdigest(w)], U))[0])
 
-    def __call__(self, token: str) -> int:
-        h = self.known.get(token)
-        if h is None:
-            if len(self.known) > 1_000_000:
-                self.known.clear()
-            h = self.known[token] = xxhash.xxh64_intdigest(self.word(token))
+    def __missing__(self, token: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[token] = xxhash.xxh64_intdigest(self.word(token))
         return h
 
 
@@ -136,7 +135,7 @@ def hashed(texts: list[str | None], hasher: Hasher, slice_: int = 2000) -> tuple
 def _hashed(texts: list[str | None], hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
     every = [tokens(t) for t in texts]
     start = np.r_[0, np.cumsum([len(x) for x in every])].astype(np.int64)
-    h = np.fromiter((hasher(t) for x in every for t in x), U, int(start[-1]))
+    h = np.fromiter((v for x in every for v in map(hasher.__getitem__, x)), U, int(start[-1]))
     doc = np.repeat(np.arange(len(texts)), np.diff(start))
     out = np.zeros((3, len(h)), np.int32)
     out[0] = (mix(h) % U(BINS - 1)).astype(np.int32) + 1  # bin 0 is for no feature and has no weight
@@ -235,7 +234,7 @@ def common_words(df: DataFrame, text_col: str) -> np.ndarray:
 
     def words(b: pa.RecordBatch) -> np.ndarray:
         h = Hasher(None)
-        out = [{h(t) for t in tokens(x)} for x in b.column(0).to_pylist()]
+        out = [set(map(h.__getitem__, tokens(x))) for x in b.column(0).to_pylist()]
         return np.fromiter((x for s in out for x in s), U, sum(map(len, out)))
 
     texts = df.select(F.col(text_col).cast("string"))
