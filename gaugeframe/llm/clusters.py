@@ -9,8 +9,8 @@ over all rows on the executors.
 through others, 10 members at least). A mixture divides space into a few ellipsoids and can't say which records are
 linked, so these clusters come from min-hash links: bands of two minima; in a band's list each class is tied to the
 list's first member, or else to the one before it, never to all. Links are checked exactly on the triple sets before the
-components are formed. Within a cluster of the wanted size the many bands make it all but sure that each member is tied
-to some other one (see ``tests/llm`` and the README for the measured recall).
+first components are formed. Links that this misses are then found without loss: ``across`` looks at all pairs of classes
+of different components by the prefix filter of problem 4, and the links it finds join the components.
 
 Cases: null, empty and short texts (under 12 words) are in no linked cluster; in ``clusters`` texts without words have
 zero features and fall in whichever component lies nearest; copies are one class for the links and count as members.
@@ -25,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.llm.classes import class_of, first_of_each, members, verified
+from gaugeframe.llm import sketches, tiles
+from gaugeframe.llm.classes import class_of, first_of_each, members, sets_of, verified
 from gaugeframe.llm.graph import components
-from gaugeframe.llm.shingles import U, mix, slices, words
+from gaugeframe.llm.shingles import U, mix, slices, triples, words
 from gaugeframe.sources.scratch import Saved, save
 
 ROWS = 2  # minima in a band
@@ -131,12 +132,46 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return cls, np.concatenate([m for _, m in held])[at]
 
 
+def across(df: DataFrame, text_col: str, roots: DataFrame, least: float) -> DataFrame:
+    """(a, b): every pair of classes of different roots with a Jaccard similarity of at least ``least``.
+
+    roots: (node, root); a class without one is its own root. The prefix filter of problem 4 loses no pair, and pairs of
+    one root, which can tell nothing new, are never formed."""
+    texts = df.select(F.col(text_col).cast("string").alias("text"))
+    counted = sketches.counts(texts, lambda b: triples(words(b.column(0).to_pylist()))[1])
+    often = df.sparkSession.sparkContext.broadcast(counted)
+    every = sets_of(texts, "text", np.full(1, 255, np.uint8)).groupBy("cls").agg(F.first("data").alias("data"))
+    sets = every.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "data")
+
+    def entries(b: pa.RecordBatch) -> tiles.Entries:
+        cls, root = (b.column(k).to_numpy().view(U) for k in (0, 1))
+        t, n = tiles.unpack(b.column(2))
+        row = np.repeat(np.arange(len(n)), n)
+        c = often.value[(t % U(len(often.value))).astype(np.int64)]
+        sig = tiles.signatures(row, t, len(n))
+        order, rank = tiles.rarest(row, t, c)
+        row, t, c = row[order], t[order], c[order]
+        keep = rank < n[row] - np.ceil(least * n[row] - 1e-9) + 1
+        return tiles.Entries(cls, n, sig, row[keep], t[keep], c[keep], root)
+
+    total = int(counted.sum(dtype=np.int64))
+    blobs = tiles.emit(sets, entries, tiles.buckets_for(2 * int(total * (1 - least)) + 1))
+    found = Saved(tiles.compare(blobs, least, apart=True).distinct())
+    return _links(df, text_col, found.df, least)
+
+
+def _links(df: DataFrame, text_col: str, pairs: DataFrame, least: float) -> DataFrame:
+    return verified(df, text_col, pairs).filter(F.col("both") * (1 + least) >= least * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b")
+
+
 def linked(df: DataFrame, id_col: str, text_col: str, least: float = 0.2, smallest: int = 10) -> DataFrame:
     """(first_id, id): each member but the first of each cluster of at least ``smallest`` rows."""
     m = Saved(members(df, id_col, text_col).distinct()).df
     found = Saved(candidates(df, text_col))
-    edges = save(verified(df, text_col, found.df).filter(F.col("both") * (1 + least) >= least * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b"))
+    edges = save(_links(df, text_col, found.df, least))
     roots = components(edges)
+    rest = save(across(df, text_col, roots, least))
+    roots = components(edges.union(rest))
     rows = Saved(m.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("id", F.coalesce("root", "cls").alias("root"))).df
     size = rows.groupBy("root").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).filter(F.col("n") >= smallest)
     return rows.join(size, "root").filter("id > first_id").select("first_id", "id")

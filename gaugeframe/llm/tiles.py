@@ -31,6 +31,7 @@ from gaugeframe.llm.shingles import U, mix, slices
 WORDS = (4, 8, 16)  # 64-bit words of a signature
 LONG = (0, 90, 180)  # more triples than this take the next size too, as 256 bits fill up
 TILE = 1 << 19  # pairs compared at once
+HELD = 1 << 19  # pairs that a task holds before it hands them on, where many are expected
 LIST = 1 << 17  # entries of a key in a task
 PER_BUCKET = 2_000_000  # entries in a bucket, about
 
@@ -44,6 +45,7 @@ class Entries(NamedTuple):
     row: np.ndarray
     key: np.ndarray  # uint64
     often: np.ndarray
+    root: np.ndarray | None = None  # uint64 of each class; pairs of one root are not wanted (``compare`` with ``apart``)
 
 
 def signatures(doc: np.ndarray, items: np.ndarray, docs: int) -> np.ndarray:
@@ -96,7 +98,8 @@ def emit(df: DataFrame, of: Callable[[pa.RecordBatch], Entries], buckets: int) -
                 t = tables[nth[i] : nth[j - 1] + 1]
                 head = np.array([len(t), j - i], np.uint32)
                 long = [x[t[e.n[t] > least]] for x, least in zip(sig, LONG)]
-                blobs.append(b"".join(x.tobytes() for x in (head, e.cls[t], *long, e.n[t].astype(np.uint32), key[i:j].astype(np.uint32), each[nth[i] : nth[j - 1] + 1].astype(np.uint32))))
+                root = () if e.root is None else (e.root[t],)
+                blobs.append(b"".join(x.tobytes() for x in (head, e.cls[t], *root, *long, e.n[t].astype(np.uint32), key[i:j].astype(np.uint32), each[nth[i] : nth[j - 1] + 1].astype(np.uint32))))
             yield pa.RecordBatch.from_arrays([pa.array(at[edge[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return df.mapInArrow(part, "bucket int, blob binary").repartitionById(buckets, F.col("bucket"))
@@ -109,6 +112,7 @@ class Bucket(NamedTuple):
     at: list[np.ndarray]  #: by size, where a class has its signature
     key: np.ndarray
     row: np.ndarray
+    root: np.ndarray | None
 
     def within(self, a: np.ndarray, b: np.ndarray, radius: np.ndarray, contained: bool) -> np.ndarray:
         """Positions of the pairs whose differing bits (for ``contained``: bits of a that b has not) stay within the
@@ -125,8 +129,8 @@ class Bucket(NamedTuple):
         return left
 
 
-def _load(batches: Iterator[pa.RecordBatch]) -> Bucket | None:
-    cls, n, key, row = [], [], [], []
+def _load(batches: Iterator[pa.RecordBatch], apart: bool = False) -> Bucket | None:
+    cls, root, n, key, row = [], [], [], [], []
     sig: list[list[np.ndarray]] = [[] for _ in WORDS]
     base = 0
     for b in batches:
@@ -139,6 +143,9 @@ def _load(batches: Iterator[pa.RecordBatch]) -> Bucket | None:
             key.append(np.frombuffer(buf, np.uint32, m, end + 4 * d))
             row.append(np.repeat(np.arange(d, dtype=np.uint32) + np.uint32(base), np.frombuffer(buf, np.uint32, d, end + 4 * (d + m))))
             at = 8 + 8 * d
+            if apart:
+                root.append(np.frombuffer(buf, U, d, at))
+                at += 8 * d
             for into, w, least in zip(sig, WORDS, LONG):
                 k = int((n[-1] > least).sum())
                 into.append(np.frombuffer(buf, U, k * w, at).reshape(k, w))
@@ -150,7 +157,7 @@ def _load(batches: Iterator[pa.RecordBatch]) -> Bucket | None:
     n = np.concatenate(n)
     places = [np.cumsum(n > least)[first] - 1 for least in LONG]
     entry = np.unique((np.concatenate(key).astype(U) << U(32)) | back[np.concatenate(row)].astype(U))
-    return Bucket(cls, n[first].astype(np.int64), [np.concatenate(x) for x in sig], places, (entry >> U(32)).astype(np.int64), (entry & U(0xFFFFFFFF)).astype(np.int64))
+    return Bucket(cls, n[first].astype(np.int64), [np.concatenate(x) for x in sig], places, (entry >> U(32)).astype(np.int64), (entry & U(0xFFFFFFFF)).astype(np.int64), np.concatenate(root)[first] if apart else None)
 
 
 def _tiles(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -173,14 +180,21 @@ def _once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (both >> U(32)).astype(np.int64), (both & U(0xFFFFFFFF)).astype(np.int64)
 
 
-def compare(blobs: DataFrame, least: float, contained: bool = False) -> DataFrame:
+def _rows(cls: np.ndarray, out_a: list[np.ndarray], out_b: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    a, b = _once(np.concatenate(out_a), np.concatenate(out_b))
+    for i in range(0, len(a), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(cls[x[i : i + 100_000]].view(np.int64)) for x in (a, b)], ["a", "b"])
+
+
+def compare(blobs: DataFrame, least: float, contained: bool = False, apart: bool = False) -> DataFrame:
     """(a bigint, b bigint): classes that share a key and may reach ``least``; some pairs come more than once.
 
     contained False: Jaccard similarity, a < b. True: the share of a's triples that b has; a is of side 0, b of side 1.
+    apart: the entries have roots, and only pairs of different roots are looked at.
     """
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (got := _load(batches)) is None:
+        if (got := _load(batches, apart)) is None:
             return
         cls, n, key, row = got.cls, got.n, got.key, got.row
         pop = np.bitwise_count(got.sig[0]).sum(1).astype(np.int64)[got.at[0]]
@@ -191,6 +205,12 @@ def compare(blobs: DataFrame, least: float, contained: bool = False) -> DataFram
             both = key * 2 + side
             lo = np.where(side == 0, np.searchsorted(both, key * 2 + 1, side="left"), 0)
             hi = np.where(side == 0, np.searchsorted(both, key * 2 + 1, side="right"), 0)
+        elif apart:
+            root = np.unique(got.root, return_inverse=True)[1]
+            both = (key.astype(U) << U(32)) | root[row].astype(U)
+            order = np.argsort(both, kind="stable")
+            both, key, row = both[order], key[order], row[order]
+            lo, hi = np.searchsorted(both, both, side="right"), np.searchsorted(key, key, side="right")
         else:
             order = np.argsort((key << 32) | pop[row], kind="stable")
             key, row = key[order], row[order]
@@ -214,10 +234,11 @@ def compare(blobs: DataFrame, least: float, contained: bool = False) -> DataFram
             a, b = _once(a[at], b[at]) if contained else _once(np.minimum(a[at], b[at]), np.maximum(a[at], b[at]))
             out_a.append(a)
             out_b.append(b)
+            if apart and sum(map(len, out_a)) > HELD:
+                yield from _rows(cls, out_a, out_b)
+                out_a, out_b = [], []
         if out_a:
-            a, b = _once(np.concatenate(out_a), np.concatenate(out_b))
-            for i in range(0, len(a), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(cls[x[i : i + 100_000]].view(np.int64)) for x in (a, b)], ["a", "b"])
+            yield from _rows(cls, out_a, out_b)
 
     return blobs.mapInArrow(part, "a bigint, b bigint")
 

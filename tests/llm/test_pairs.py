@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +85,18 @@ def test_linked(spark, seed):
     assert want and got == want
 
 
+def test_linked_by_weak_links_only(spark):
+    """Chains of 12 texts, each with a similarity of 0.21 to the next one and none to the others."""
+    rng, rows = random.Random(8), []
+    for _ in range(6):
+        words = texts.sentence(rng, 18, 10**6).split()
+        for _ in range(12):
+            words = words[-18:] + texts.sentence(rng, 30, 10**6).split()
+            rows.append((len(rows), " ".join(words)))
+    got = {tuple(r) for r in clusters.linked(table(spark, rows), "sample_id", "text").collect()}
+    assert got == {(12 * (i // 12), i) for i in range(72) if i % 12}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 400), (400, 300), (300, 500)], "a bigint, b bigint")
     got = {r.node: r.root for r in graph.components(edges).collect()}
