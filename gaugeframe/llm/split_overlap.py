@@ -6,12 +6,10 @@ shared chunks summed.
 
 * ``fractions`` gives for each evaluation record the share of its words in chunks that some training record has.
 * ``pairs`` gives the pairs of an evaluation and a training record with at least ``least`` of the evaluation record's
-  word triples. Candidates share chunks of at least ``floor`` of the words: each evaluation class enters the lists of its
-  rarest chunks, as many as any such partner must share one of; a training class enters those of all its chunks. An
-  exact check on the triple sets follows.
-
-The chunks are short (two words on average, by ``CUT``), so a partner of the wanted similarity keeps far more than
-``floor``: over all true pairs of the test tables, the least shared fraction is 0.29.
+  word triples. Chunks can't bound how many triples are shared, so candidates come from a prefix filter on the triples:
+  each evaluation class enters the lists of its rarest triples, as many as any such partner must share one of, and a
+  training class those of all its triples that some evaluation class has entered. No pair is lost. An exact check on the
+  triple sets follows.
 
 Cases: null, empty and short texts (under 12 words) are in no pair and have no fraction; a null split counts as the
 request's, or as training; other splits are neither side; copies are one class until ``pairs`` expands them.
@@ -28,7 +26,7 @@ from pyspark.sql import functions as F
 
 from gaugeframe.llm import sketches, tiles
 from gaugeframe.llm.classes import class_of, first_of_each, members, verified
-from gaugeframe.llm.shingles import MIN_WORDS, U, Words, mix, powers, slices, words
+from gaugeframe.llm.shingles import MIN_WORDS, U, Words, mix, powers, slices, triples, words
 from gaugeframe.sources.scratch import Saved
 
 CUT = 2
@@ -84,20 +82,38 @@ def _distinct(doc: np.ndarray, digest: np.ndarray, size: np.ndarray) -> tuple[np
     return doc[at], digest[at], np.add.reduceat(size, at)
 
 
-def pairs(samples: DataFrame, requests: DataFrame, least: float = 0.7, floor: float = 0.25) -> DataFrame:
+def pairs(samples: DataFrame, requests: DataFrame, least: float = 0.7) -> DataFrame:
     """(evaluation_id, training_id): all pairs of rows; samples: sample_id, request_id, split, source, text."""
     # a null split may turn out as either side: such rows stand on both until the sides are joined
     text = samples.select(F.col("text").cast("string").alias("text"), F.when(F.col("split").isNull(), 2).otherwise(F.coalesce(side_of(F.col("split")), F.lit(3))).alias("side"))
     text = text.filter("side < 3")
-    counted = sketches.counts(text, lambda b: _distinct(*chunks(words(b.column(0).to_pylist())))[1])
+    counted = sketches.counts(text, lambda b: triples(words(b.column(0).to_pylist()))[1])
     often = samples.sparkSession.sparkContext.broadcast(counted)
 
+    def rare(doc: np.ndarray, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(doc, triple, count) of each doc's rarest triples, of which a partner must have one."""
+        c = often.value[(t % U(len(often.value))).astype(np.int64)] if len(t) else np.zeros(0, np.uint32)
+        by = np.argsort(doc, kind="stable")
+        doc, t, c = doc[by], t[by], c[by]
+        order, rank = tiles.rarest(doc, t, c)
+        doc, t, c = doc[order], t[order], c[order]
+        keep = rank < n[doc] - np.ceil(least * n[doc] - 1e-6) + 1
+        return doc[keep], t[keep], c[keep]
+
+    def asked(b: pa.RecordBatch) -> np.ndarray:
+        texts, side = b.column(0).to_pylist(), b.column(1).to_numpy()
+        doc, t = triples(words(texts))
+        n = np.bincount(doc, minlength=len(texts))
+        own = side[doc] != 1
+        return rare(doc[own], t[own], n)[1]
+
+    wanted = sketches.bits(text, asked, sketches.size_for(int(counted.sum(dtype=np.int64))))
+    known = samples.sparkSession.sparkContext.broadcast(wanted)
+
     def entries(b: pa.RecordBatch) -> tiles.Entries:
         texts, side = b.column(0).to_pylist(), b.column(1).to_numpy()
         doc, t, cls = class_of(texts)
-        k_doc, key, size = _distinct(*chunks(words(texts)))
-        c = often.value[(key % U(len(often.value))).astype(np.int64)] if len(key) else np.zeros(0, np.uint32)
-        all_cls, all_n, all_sig, all_row, all_key, all_often = [], [], [], [], [], []
+        parts = []
         base = 0
         for s in (0, 1):
             own = np.where((side == s) | (side == 2), cls, U(0))
@@ -105,29 +121,18 @@ def pairs(samples: DataFrame, requests: DataFrame, least: float = 0.7, floor: fl
             row_of = np.full(len(cls), -1)
             row_of[at] = np.arange(len(at))
             row = row_of[doc]
-            n = np.bincount(row[row >= 0], minlength=len(at))
-            all_sig.append(tiles.signatures(row[row >= 0], t[row >= 0], len(at)))
-            row = row_of[k_doc]
-            row, k, z, o = (x[row >= 0] for x in (row, key, size, c))
-            if s == 0 and len(row):
-                by = np.argsort(row, kind="stable")
-                row, k, z, o = row[by], k[by], z[by], o[by]
-                order, _ = tiles.rarest(row, k, o)
-                row, k, z, o = row[order], k[order], z[order], o[order]
-                total = np.cumsum(z)
-                first = np.r_[True, row[1:] != row[:-1]]
-                start = (total - z)[first]
-                rank = np.cumsum(first) - 1
-                whole = np.bincount(rank, z)
-                keep = (total - z) - start[rank] <= (1 - floor) * whole[rank]
-                row, k, o = row[keep], k[keep], o[keep]
-            all_cls.append(cls[at] | U(s))
-            all_n.append(n)
-            all_row.append(row + base)
-            all_key.append(k)
-            all_often.append(o)
+            row, k = row[row >= 0], t[row >= 0]
+            n = np.bincount(row, minlength=len(at))
+            sig = tiles.signatures(row, k, len(at))
+            if s == 0:
+                row, k, c = rare(row, k, n)
+            else:  # a triple that no evaluation class is entered under has no one to meet
+                has = sketches.has(known.value, k)
+                row, k = row[has], k[has]
+                c = often.value[(k % U(len(often.value))).astype(np.int64)]
+            parts.append((cls[at] | U(s), n, sig, row + base, k, c))
             base += len(at)
-        return tiles.Entries(*(np.concatenate(x) for x in (all_cls, all_n, all_sig, all_row, all_key, all_often)))
+        return tiles.Entries(*(np.concatenate(x) for x in zip(*parts)))
 
     blobs = tiles.emit(text, entries, tiles.buckets_for(int(counted.sum(dtype=np.int64))))
     found = Saved(tiles.compare(blobs, least, contained=True).select("a", (F.col("b").bitwiseAND(F.lit(-2))).alias("b")).distinct())

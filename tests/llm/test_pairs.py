@@ -133,6 +133,23 @@ def test_split_overlap(spark):
     assert split_overlap.pairs(df.limit(0), asked).count() == 0
 
 
+def test_split_overlap_of_short_texts(spark):
+    """12 words of which the first 9 stand in training: 7 of 10 triples, but some such texts share no chunk."""
+    rng, full = random.Random(9), []
+    for _ in range(1000):
+        words = texts.sentence(rng, 12, 10**6).split()
+        full.append((len(full), None, "test", "s", " ".join(words)))
+        full.append((len(full), None, "train", "s", " ".join(words[:9] + texts.sentence(rng, 20, 10**6).split())))
+    known = split_overlap.chunks(shingles.words([r[4] for r in full]))
+    have = [set() for _ in full]
+    for d, c in zip(known[0], known[1]):
+        have[d].add(int(c))
+    assert any(not have[i] & have[i + 1] for i in range(0, 2000, 2))
+    df = spark.createDataFrame(full, "sample_id bigint, request_id bigint, split string, source string, text string").repartition(4)
+    got = split_overlap.pairs(df, spark.createDataFrame([], "request_id bigint, split string")).collect()
+    assert {tuple(r) for r in got} == {(i, i + 1) for i in range(0, 2000, 2)}
+
+
 def test_mixture(spark):
     rows = [(i, ("red green blue " if i % 2 else "one two three ") * (5 + i % 3)) for i in range(60)] + [(90, None), (91, "")]
     got = clusters.clusters(table(spark, rows), "sample_id", "text", choices=(1, 2), typical=2).collect()
