@@ -18,13 +18,15 @@ def main(args: list[str] | None = None) -> None:
     for name, default in (("split", "train"), ("subset", None), ("text-col", None), ("label-col", None), ("flags-out", None)):
         p.add_argument(f"--{name}", default=default)
     p.add_argument("--max-rows", type=int, help="the first rows only, if above 0")
+    p.add_argument("--max-semantic-samples", type=int, default=2000, help="rows looked at for near-duplicates; 0: all")
     p.add_argument("--out", default="reports/report.json")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("gaugeframe").getOrCreate()
+    options = {"max_semantic_samples": a.max_semantic_samples or None}
     if a.csv:
-        report = analyze_csv(spark, a.csv, a.text_col, a.label_col)
+        report = analyze_csv(spark, a.csv, a.text_col, a.label_col, **options)
     else:
-        report = analyze_dataset(spark, a.dataset, a.split, a.subset, a.text_col, a.label_col, a.max_rows)
+        report = analyze_dataset(spark, a.dataset, a.split, a.subset, a.text_col, a.label_col, a.max_rows, **options)
     write_json(a.out, report.data)
     if a.flags_out:
         report.flags.write.mode("overwrite").parquet(a.flags_out)

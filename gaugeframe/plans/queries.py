@@ -375,7 +375,7 @@ def row_flags_merged(spark, sf_dir):
 
 
 def _report(spark: SparkSession, df: DataFrame, label_col: str | None) -> DataFrame:
-    r = generate(df, "text", label_col).data
+    r = generate(df, "text", label_col, max_semantic_samples=None).data
     rows = [("overall", float(r["score"]["overall"]), r["score"]["verdict"]), *[(k, float(v), "") for k, v in r["score"]["subscores"].items()], *[(i["code"], float(i.get("count") or 0), i["severity"]) for i in r["issues"]]]
     return spark.createDataFrame(rows, "item string, value double, note string")
 

@@ -33,6 +33,14 @@ def test_text_report(spark, tmp_path):
     assert r["summary"]["verdict"] == "needs_cleanup" and len(r["score_breakdown"]["cards"]) == 6
 
 
+def test_report_looks_for_near_duplicates_in_all_rows(spark):
+    words = " a longer text that says something about one subject of its own and about nothing else at all"
+    data = [(f"n{i} " * 30 + words,) for i in range(5)] + [("alike " * 30 + words,), ("alike " * 30 + words + " x",)]
+    df = spark.createDataFrame(data, "text string")
+    assert analyze_dataset(spark, df, max_semantic_samples=2)["modules"]["duplicates"]["semantic_pairs"] == 0
+    assert analyze_dataset(spark, df, max_semantic_samples=None)["modules"]["duplicates"]["semantic_pairs"] > 0
+
+
 def test_table_report(spark):
     data = [("m", "p", 700, 45000, 2, 2, "2 BHK P")] * 2 + [("n", "k", 600, 30000, 1, 1, "1 BHK K")] * 2
     df = spark.createDataFrame(data, "city string, locality string, area int, rent int, beds int, bathrooms int, text string")
