@@ -259,11 +259,14 @@ def _log_density(x: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray]
     return out
 
 
-def mixture(points: DataFrame, k: int, rounds: int = 8, ridge: float = 1e-2, dims: int = REDUCED) -> tuple[tuple, float]:
-    """EM for k components over all rows (x binary, standardised): (weights, means, covariances) and the BIC."""
+def mixture(points: DataFrame, k: int, rounds: int = 500, ridge: float = 1e-2, dims: int = REDUCED, close: float = 1e-4) -> tuple[tuple, float]:
+    """EM for k components over all rows (x binary, standardised): (weights, means, covariances) and the BIC.
+
+    Rounds end when the mean log-likelihood of a row gains less than ``close``; a fit that has not come there after
+    ``rounds`` is an error."""
     means = np.random.default_rng(42).standard_normal((k, dims))
     model = (np.full(k, 1 / k), means, np.repeat(np.eye(dims)[None], k, 0))
-    likelihood, n = 0.0, 0.0
+    likelihood, n, was = 0.0, 0.0, -np.inf
     for _ in range(rounds):
 
         def stats(b: pa.RecordBatch, model: tuple = model) -> np.ndarray:
@@ -276,31 +279,61 @@ def mixture(points: DataFrame, k: int, rounds: int = 8, ridge: float = 1e-2, dim
 
         s = _gather(points.select("x"), stats, 2 + k + k * dims + k * dims * dims)
         n, likelihood = s[0], s[1]
+        done = abs(likelihood - was) <= close * max(n, 1)
+        was = likelihood
+        if done:  # of the model as it stands
+            break
         mass = np.maximum(s[2 : 2 + k], 1e-9)
         mean = s[2 + k : 2 + k + k * dims].reshape(k, dims) / mass[:, None]
         cov = s[2 + k + k * dims :].reshape(k, dims, dims) / mass[:, None, None] - np.einsum("ki,kj->kij", mean, mean)
         cov = np.where((mass > 1)[:, None, None], cov, 0) + ridge * np.eye(dims)
         cov = (cov + cov.transpose(0, 2, 1)) / 2
         model = (np.maximum(mass / max(n, 1), 1e-12), mean, cov)
+    else:
+        raise RuntimeError(f"{k} components have not converged after {rounds} rounds")
     free = k - 1 + k * dims + k * dims * (dims + 1) / 2
     return model, free * np.log(max(n, 2)) - 2 * likelihood
 
 
-def clusters(df: DataFrame, id_col: str, text_col: str, choices: tuple[int, ...] = (4, 8, 16), typical: int = 3, rounds: int = 8) -> DataFrame:
+def fitted(points: DataFrame, choices: tuple[int, ...] | None = None, rounds: int = 500) -> tuple:
+    """The model of least BIC among ``choices``; None: 4, 8, 16, and twice as many as long as the
+    largest number is the best."""
+    if choices is not None:
+        return min((mixture(points, k, rounds) for k in choices), key=lambda m: m[1])[0]
+    tried = {k: mixture(points, k, rounds) for k in (4, 8, 16)}
+    while (k := max(tried)) == min(tried, key=lambda x: tried[x][1]):
+        tried[2 * k] = mixture(points, 2 * k, rounds)
+    return min(tried.values(), key=lambda m: m[1])[0]
+
+
+def _assigned(points: DataFrame, model: tuple) -> DataFrame:
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            d = _log_density(_matrix(b.column(1)), model)
+            at = d.argmax(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.int32()), pa.array(d[np.arange(len(d)), at])], ["id", "cluster", "density"])
+
+    return points.mapInArrow(part, "id bigint, cluster int, density double")
+
+
+def assigned(df: DataFrame, id_col: str, text_col: str, choices: tuple[int, ...] | None = None, rounds: int = 500) -> DataFrame:
+    """(id, cluster, density): the mixture component of every row."""
+    points = Saved(reduced(df, id_col, text_col)).df
+    if points.isEmpty():
+        return points.sparkSession.createDataFrame([], "id bigint, cluster int, density double")
+    return _assigned(points, fitted(points, choices, rounds))
+
+
+def clusters(df: DataFrame, id_col: str, text_col: str, choices: tuple[int, ...] | None = None, typical: int = 3, rounds: int = 500) -> DataFrame:
     """(cluster, size, rank, id, density): the ``typical`` members of highest density of each mixture component.
 
-    The components are those of the number among ``choices`` with the least BIC. Ties in density go to the smaller id.
+    The components are those of the number among ``choices`` with the least BIC (see ``fitted``). Ties in density go to
+    the smaller id.
     """
     points = Saved(reduced(df, id_col, text_col)).df
     if points.isEmpty():
         return points.sparkSession.createDataFrame([], "cluster int, size bigint, rank int, id bigint, density double")
-    model = min((mixture(points, k, rounds) for k in choices), key=lambda m: m[1])[0]
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            d = _log_density(_matrix(b.column(1)), model)
-            at = d.argmax(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.int32()), pa.array(d[np.arange(len(d)), at])], ["id", "cluster", "density"])
+    model = fitted(points, choices, rounds)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The best of each cluster in a partition, with the counts; a cluster's rows never meet in one task."""
@@ -318,7 +351,7 @@ def clusters(df: DataFrame, id_col: str, text_col: str, choices: tuple[int, ...]
     import pandas as pd
     from pyspark.sql import Window
 
-    few = points.mapInArrow(assign, "id bigint, cluster int, density double").mapInArrow(best, "id bigint, cluster int, density double, n bigint")
+    few = _assigned(points, model).mapInArrow(best, "id bigint, cluster int, density double, n bigint")
     by = Window.partitionBy("cluster")
     return (
         few.withColumn("size", F.sum("n").over(by))

@@ -78,6 +78,12 @@ def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.clusters(samples, "sample_id", "text").withColumnRenamed("id", "sample_id")
 
 
+def p5_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture component of every sample."""
+    samples = _table(spark, sf_dir, "samples").select("sample_id", "text")
+    return clusters.assigned(samples, "sample_id", "text").withColumnRenamed("id", "sample_id")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
@@ -112,7 +118,7 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p1_report, p2_found, p2_collapsed, p3_found, p3_scores, p3_source_rates, p4_found, p4_groups, p5_found, p5_clusters, p6_ids, p6_decoded, p7_packing, p7_fill, p8_found, p8_forms)
+    every = (p1_found, p1_report, p2_found, p2_collapsed, p3_found, p3_scores, p3_source_rates, p4_found, p4_groups, p5_found, p5_clusters, p5_members, p6_ids, p6_decoded, p7_packing, p7_fill, p8_found, p8_forms)
     return {f.__name__: f for f in every}
 
 

@@ -155,3 +155,9 @@ def test_mixture(spark):
     got = clusters.clusters(table(spark, rows), "sample_id", "text", choices=(1, 2), typical=2).collect()
     assert len({r.cluster for r in got}) == 2 and sum(r.size for r in got if r["rank"] == 1) == 62
     assert clusters.clusters(table(spark, []), "sample_id", "text").count() == 0
+
+
+def test_every_row_has_a_component(spark):
+    rows = [(i, ("red green blue " if i % 2 else "one two three ") * (5 + i % 3)) for i in range(60)]
+    got = {r.id: r.cluster for r in clusters.assigned(table(spark, rows), "sample_id", "text", choices=(1, 2)).collect()}
+    assert set(got) == set(range(60)) and len(set(got.values())) == 2
