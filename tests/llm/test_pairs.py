@@ -158,6 +158,6 @@ def test_mixture(spark):
 
 
 def test_every_row_has_a_component(spark):
-    rows = [(i, ("red green blue " if i % 2 else "one two three ") * (5 + i % 3)) for i in range(60)]
+    rows = [(i, ("red green blue " if i % 2 else "one two three ") * (5 + i % 3)) for i in range(60)] + [(90, None), (91, "")]
     got = {r.id: r.cluster for r in clusters.assigned(table(spark, rows), "sample_id", "text", choices=(1, 2)).collect()}
-    assert set(got) == set(range(60)) and len(set(got.values())) == 2
+    assert set(got) == {*range(60), 90, 91} and len(set(got.values())) == 2
