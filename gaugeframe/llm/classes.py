@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +19,34 @@ def class_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return doc, t, set_hashes(doc, t, len(texts)) & ~U(1)
 
 
+def expected(df: DataFrame, text_col: str) -> int:
+    """About how many different triples the texts have: one for each 24 characters."""
+    return int((df.agg(F.sum(F.length(text_col))).first()[0] or 0) // 24) + 1
+
+
+def rarity(texts: DataFrame) -> sketches.Levels:
+    """How often triples occur in all texts (the first column)."""
+    return sketches.levels(texts, lambda b: triples(words(b.column(0).to_pylist()))[1], expected(texts, texts.columns[0]))
+
+
 def members(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id bigint, cls bigint) of the texts that have triples."""
+    """(id bigint, cls bigint, n int, fold binary) of the texts that have triples: class, number of triples, folded set."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            _, _, cls = class_of(b.column(1).to_pylist())
-            has = cls != 0
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(has)), pa.array(cls[has].view(np.int64))], ["id", "cls"])
+            doc, t, cls = class_of(b.column(1).to_pylist())
+            has = pa.array(cls != 0)
+            n = np.bincount(doc, minlength=len(cls))
+            fold = tiles.folded(doc, t, len(cls))
+            every = pa.FixedSizeBinaryArray.from_buffers(pa.binary(fold.shape[1]), len(fold), [None, pa.py_buffer(np.ascontiguousarray(fold))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([x.filter(has) for x in (b.column(0), pa.array(cls.view(np.int64)), pa.array(n, pa.int32()), every)], ["id", "cls", "n", "fold"])
 
-    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string")).mapInArrow(part, "id bigint, cls bigint")
+    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string")).mapInArrow(part, "id bigint, cls bigint, n int, fold binary")
+
+
+def folds(m: DataFrame) -> DataFrame:
+    """(cls, n, fold), each class of ``members`` once."""
+    return m.groupBy("cls").agg(F.first("n").alias("n"), F.first("fold").alias("fold"))
 
 
 def first_of_each(cls: np.ndarray) -> np.ndarray:
@@ -37,6 +55,14 @@ def first_of_each(cls: np.ndarray) -> np.ndarray:
     return at[c != 0]
 
 
+def of_first(doc: np.ndarray, t: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The (doc, triple) of the first text of each class."""
+    first = np.zeros(len(cls), bool)
+    first[first_of_each(cls)] = True
+    keep = first[doc]
+    return doc[keep], t[keep]
+
+
 def sets_of(df: DataFrame, text_col: str, wanted: np.ndarray) -> DataFrame:
     """(cls bigint, data binary): triple sets, once each, of the classes that the bit set ``wanted`` may hold."""
     bits = df.sparkSession.sparkContext.broadcast(wanted)
@@ -60,7 +86,7 @@ def mixed(cls: np.ndarray) -> np.ndarray:
     return (cls >> U(1)) * U(0x9E3779B97F4A7C15) >> U(20)
 
 
-def verified(df: DataFrame, text_col: str, pairs: DataFrame, side: Callable = lambda c: c) -> DataFrame:
+def verified(df: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
     """Exact counts (a, b, n_a, n_b, both) for pairs (a, b) of classes, each pair once. Only wanted sets are moved."""
     n = pairs.count()
 

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.llm import sketches, tiles
-from gaugeframe.llm.classes import class_of, first_of_each, members, sets_of, verified
+from gaugeframe.llm import tiles
+from gaugeframe.llm.classes import class_of, first_of_each, members, rarity, sets_of, verified
 from gaugeframe.llm.graph import components
 from gaugeframe.llm.shingles import U, mix, slices, triples, words
 from gaugeframe.sources.scratch import Saved, save
@@ -132,31 +132,35 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return cls, np.concatenate([m for _, m in held])[at]
 
 
-def across(df: DataFrame, text_col: str, roots: DataFrame, least: float) -> DataFrame:
+MATCHES = 4  # keys in common that ``across`` asks for, or all that a pair needs
+
+
+def across(df: DataFrame, text_col: str, roots: DataFrame, least: float, matches: int = MATCHES) -> DataFrame:
     """(a, b): every pair of classes of different roots with a Jaccard similarity of at least ``least``.
 
     roots: (node, root); a class without one is its own root. The prefix filter of problem 4 loses no pair, and pairs of
-    one root, which can tell nothing new, are never formed."""
+    one root, which can tell nothing new, are never formed. At low similarities most pairs of a list meet by chance in one
+    key; prefixes are longer by ``matches - 1`` keys here, so that a pair must have so many in common."""
     texts = df.select(F.col(text_col).cast("string").alias("text"))
-    counted = sketches.counts(texts, lambda b: triples(words(b.column(0).to_pylist()))[1])
-    often = df.sparkSession.sparkContext.broadcast(counted)
+    counted = rarity(texts)
+    level = df.sparkSession.sparkContext.broadcast(counted)
     every = sets_of(texts, "text", np.full(1, 255, np.uint8)).groupBy("cls").agg(F.first("data").alias("data"))
     sets = every.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "data")
 
     def entries(b: pa.RecordBatch) -> tiles.Entries:
         cls, root = (b.column(k).to_numpy().view(U) for k in (0, 1))
         t, n = tiles.unpack(b.column(2))
-        row = np.repeat(np.arange(len(n)), n)
-        c = often.value[(t % U(len(often.value))).astype(np.int64)]
-        sig = tiles.signatures(row, t, len(n))
-        order, rank = tiles.rarest(row, t, c)
-        row, t, c = row[order], t[order], c[order]
-        keep = rank < n[row] - np.ceil(least * n[row] - 1e-9) + 1
-        return tiles.Entries(cls, n, sig, row[keep], t[keep], c[keep], root)
-
-    total = int(counted.sum(dtype=np.int64))
-    blobs = tiles.emit(sets, entries, tiles.buckets_for(2 * int(total * (1 - least)) + 1))
-    found = Saved(tiles.compare(blobs, least, apart=True).distinct())
+        doc = np.repeat(np.arange(len(n)), n)
+        v = level.value.of(t)
+        order, place = tiles.rarest(doc, t, v)
+        doc, t, v = doc[order], t[order], v[order]
+        keep = tiles.prefix(n[doc], place, least, matches) & (v > 0)
+        doc, t, v, place = doc[keep], t[keep], v[keep], place[keep]
+        return tiles.Entries(cls[doc], t, n[doc], tiles.similar_reach(n[doc], place, least, matches), level.value.often(v), root[doc])
+
+    buckets = tiles.buckets_for(counted.total)
+    blobs = tiles.emit(sets, entries, buckets)
+    found = Saved(tiles.compare_apart(blobs, least, matches, 2 * buckets))
     return _links(df, text_col, found.df, least)
 
 
@@ -166,7 +170,7 @@ def _links(df: DataFrame, text_col: str, pairs: DataFrame, least: float) -> Data
 
 def linked(df: DataFrame, id_col: str, text_col: str, least: float = 0.2, smallest: int = 10) -> DataFrame:
     """(first_id, id): each member but the first of each cluster of at least ``smallest`` rows."""
-    m = Saved(members(df, id_col, text_col).distinct()).df
+    m = Saved(members(df, id_col, text_col).select("id", "cls").distinct()).df
     found = Saved(candidates(df, text_col))
     edges = save(_links(df, text_col, found.df, least))
     roots = components(edges)

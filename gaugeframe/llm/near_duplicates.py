@@ -2,8 +2,9 @@
 
 Method: tiled exact comparison with exclusive-or and bit counts (``tiles``), skipping what lies beyond the radius by
 population count. Which tiles there are comes from a lossless prefix filter: each class of equal triple sets enters the
-lists of the rarest triples of which any partner of the given similarity must share one. Survivors are checked exactly
-on their triple sets. Nothing is sampled or capped, and no pair is lost.
+lists of the rarest triples of which any partner of the given similarity must share one, and a list's tiles are cut where
+population counts lie out of reach. Survivors of the bit counts are checked exactly on their triple sets. Nothing is
+sampled or capped, and no pair is lost.
 
 Cases: null, empty and short texts (under 12 words) are in no pair; copies are one class and are expanded into pairs
 only in ``pairs``; repeated rows (the same id twice) count once. Extra columns are ignored.
@@ -16,47 +17,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.llm import sketches, tiles
-from gaugeframe.llm.classes import class_of, first_of_each, members, verified
+from gaugeframe.llm import tiles
+from gaugeframe.llm.classes import class_of, folds, members, of_first, rarity, verified
 from gaugeframe.llm.graph import components
-from gaugeframe.llm.shingles import triples, words
 from gaugeframe.sources.scratch import Saved, save
 
 
-def class_pairs(df: DataFrame, text_col: str, least: float) -> DataFrame:
-    """(a, b, n_a, n_b, both): all pairs of different classes with a Jaccard similarity of at least ``least``."""
+def class_pairs(df: DataFrame, text_col: str, least: float, m: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, both): all pairs of different classes with a Jaccard similarity of at least ``least``; m: the
+    ``members`` of df."""
     texts = df.select(F.col(text_col).cast("string").alias("text"))
-    counted = sketches.counts(texts, lambda b: triples(words(b.column(0).to_pylist()))[1])
-    total = int(counted.sum(dtype=np.int64))
-    often = df.sparkSession.sparkContext.broadcast(counted)
+    counted = rarity(texts)
+    level = df.sparkSession.sparkContext.broadcast(counted)
 
     def entries(b: pa.RecordBatch) -> tiles.Entries:
         doc, t, cls = class_of(b.column(0).to_pylist())
-        at = first_of_each(cls)
-        row_of = np.full(len(cls), -1)
-        row_of[at] = np.arange(len(at))
-        row = row_of[doc]
-        row, t = row[row >= 0], t[row >= 0]
-        n = np.bincount(row, minlength=len(at))
-        sig = tiles.signatures(row, t, len(at))
-        c = often.value[(t % np.uint64(len(often.value))).astype(np.int64)] if len(t) else np.zeros(0, np.uint32)
-        by = np.argsort(row, kind="stable")
-        row, t, c = row[by], t[by], c[by]
-        order, rank = tiles.rarest(row, t, c)
-        row, t, c = row[order], t[order], c[order]
-        keep = rank < n[row] - np.ceil(least * n[row] - 1e-9) + 1
-        return tiles.Entries(cls[at], n, sig, row[keep], t[keep], c[keep])
+        doc, t = of_first(doc, t, cls)
+        n = np.bincount(doc, minlength=len(cls))
+        v = level.value.of(t)
+        order, place = tiles.rarest(doc, t, v)
+        doc, t, v = doc[order], t[order], v[order]
+        keep = tiles.prefix(n[doc], place, least) & (v > 0)  # what occurs once has no partner
+        doc, t, v, place = doc[keep], t[keep], v[keep], place[keep]
+        return tiles.Entries(cls[doc], t, n[doc], tiles.similar_reach(n[doc], place, least), level.value.often(v))
 
-    blobs = tiles.emit(texts, entries, tiles.buckets_for(int(total * (1 - least)) + 1))
-    found = Saved(tiles.compare(blobs, least).distinct())
-    exact = verified(df, text_col, found.df)
+    blobs = tiles.emit(texts, entries, tiles.buckets_for(int(counted.total * (1 - least)) + 1))
+    found = Saved(tiles.compare(blobs).distinct())
+    near = Saved(tiles.alike(found.df, folds(m), least))
+    exact = verified(df, text_col, near.df)
     return exact.filter(F.col("both") * (1 + least) >= least * (F.col("n_a") + F.col("n_b")) - 1e-6)
 
 
 def pairs(df: DataFrame, id_col: str, text_col: str, least: float = 0.5) -> DataFrame:
     """(id_a, id_b; a < b): all pairs of rows, copies included."""
     m = Saved(members(df, id_col, text_col).distinct()).df
-    found = class_pairs(df, text_col, least)
+    found = class_pairs(df, text_col, least, m)
     a, b = (m.select(F.col("id").alias(f"id_{x}"), F.col("cls").alias(x)) for x in "ab")
     across = found.select("a", "b").join(a, "a").join(b, "b").select("id_a", "id_b")
     within = a.withColumnRenamed("a", "cls").join(b.withColumnRenamed("b", "cls"), "cls").filter("id_a < id_b").select("id_a", "id_b")
@@ -67,10 +62,10 @@ def groups(df: DataFrame, id_col: str, text_col: str, least: float = 0.5) -> Dat
     """(id, group_id, group_size, links): one row for each row in a group of two or more; group_id is the smallest id.
     links counts the different texts that are linked to the row's text directly."""
     m = Saved(members(df, id_col, text_col).distinct()).df
-    edges = save(class_pairs(df, text_col, least).select("a", "b"))
+    edges = save(class_pairs(df, text_col, least, m).select("a", "b"))
     links = edges.select("a").union(edges.select(F.col("b"))).groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("links"))
     label = components(edges)
-    rows = m.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")).join(links, "cls", "left")
+    rows = m.select("id", "cls").join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")).join(links, "cls", "left")
     rows = save(rows.select("id", "root", F.coalesce("links", F.lit(0)).cast("bigint").alias("links")))
     size = rows.groupBy("root").agg(F.count("*").alias("group_size"), F.min("id").alias("group_id")).filter("group_size > 1")
     return rows.join(size, "root").select("id", "group_id", "group_size", "links")

@@ -1,15 +1,15 @@
 """Problem 1: records of evaluation splits that also stand, exactly or nearly, in training records.
 
-Method: content-defined chunks. A rolling hash over two words cuts the normalised words of a record into chunks, so that
-the same passage gives the same chunks wherever it stands; chunk digests are joined across the splits and the lengths of
-shared chunks summed.
+Method: content-defined chunks, whose digests are joined across the splits and whose shared lengths are summed.
 
-* ``fractions`` gives for each evaluation record the share of its words in chunks that some training record has.
+* ``fractions`` gives for each evaluation record the share of its words in chunks that some training record has. A rolling
+  hash over two words cuts the normalised words, so that the same passage gives the same chunks wherever it stands.
 * ``pairs`` gives the pairs of an evaluation and a training record with at least ``least`` of the evaluation record's
-  word triples. Chunks can't bound how many triples are shared, so candidates come from a prefix filter on the triples:
-  each evaluation class enters the lists of its rarest triples, as many as any such partner must share one of, and a
-  training class those of all its triples that some evaluation class has entered. No pair is lost. An exact check on the
-  triple sets follows.
+  word triples. The lengths of longer chunks can't bound how many triples are shared (a pair may share 0.7 of its triples
+  and no chunk), so records are cut here at every word: a chunk is a word with the two after it, and the shared length of
+  two records is the number of triples in common. An evaluation class enters the lists of its rarest digests, as many as
+  any such partner must share one of, and a training class those of its digests that some evaluation class has entered;
+  lists are cut where the sizes lie out of reach, pairs are weighed by their folded bit vectors and then exactly.
 
 Cases: null, empty and short texts (under 12 words) are in no pair and have no fraction; a null split counts as the
 request's, or as training; other splits are neither side; copies are one class until ``pairs`` expands them.
@@ -21,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import sketches, tiles
-from gaugeframe.llm.classes import class_of, first_of_each, members, verified
-from gaugeframe.llm.shingles import MIN_WORDS, U, Words, mix, powers, slices, triples, words
+from gaugeframe.llm.classes import class_of, folds, members, of_first, rarity, verified
+from gaugeframe.llm.shingles import MIN_WORDS, U, Words, mix, powers, slices, words
 from gaugeframe.sources.scratch import Saved
 
 CUT = 2
@@ -82,65 +83,67 @@ def _distinct(doc: np.ndarray, digest: np.ndarray, size: np.ndarray) -> tuple[np
     return doc[at], digest[at], np.add.reduceat(size, at)
 
 
+def asking(requests: DataFrame) -> np.ndarray:
+    """Bit set of the ids of the requests for an evaluation split: a request whose bit is not set asks for none."""
+    ids = requests.groupBy("request_id").agg(F.max("split").alias("asked")).filter(side_of(F.col("asked")) == 0).select(F.col("request_id").cast("bigint"))
+    return sketches.bits(ids, lambda b: mix(b.column(0).drop_null().to_numpy().view(U)), sketches.size_for(ids.count()))
+
+
 def pairs(samples: DataFrame, requests: DataFrame, least: float = 0.7) -> DataFrame:
     """(evaluation_id, training_id): all pairs of rows; samples: sample_id, request_id, split, source, text."""
-    # a null split may turn out as either side: such rows stand on both until the sides are joined
-    text = samples.select(F.col("text").cast("string").alias("text"), F.when(F.col("split").isNull(), 2).otherwise(F.coalesce(side_of(F.col("split")), F.lit(3))).alias("side"))
-    text = text.filter("side < 3")
-    counted = sketches.counts(text, lambda b: triples(words(b.column(0).to_pylist()))[1])
-    often = samples.sparkSession.sparkContext.broadcast(counted)
-
-    def rare(doc: np.ndarray, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(doc, triple, count) of each doc's rarest triples, of which a partner must have one."""
-        c = often.value[(t % U(len(often.value))).astype(np.int64)] if len(t) else np.zeros(0, np.uint32)
-        by = np.argsort(doc, kind="stable")
-        doc, t, c = doc[by], t[by], c[by]
-        order, rank = tiles.rarest(doc, t, c)
-        doc, t, c = doc[order], t[order], c[order]
-        keep = rank < n[doc] - np.ceil(least * n[doc] - 1e-6) + 1
-        return doc[keep], t[keep], c[keep]
+    spark = samples.sparkSession
+    side = F.when(F.col("split").isNull(), 2).otherwise(F.coalesce(side_of(F.col("split")), F.lit(3)))
+    text = samples.select(F.col("text").cast("string").alias("text"), side.alias("side"), F.col("request_id").cast("bigint").alias("request_id")).filter("side < 3")
+    counted = rarity(text)
+    level = spark.sparkContext.broadcast(counted)
+    evaluation = spark.sparkContext.broadcast(asking(requests))
+
+    def sided(b: pa.RecordBatch) -> np.ndarray:
+        """0, 1, or 2 for a null split whose request may be for an evaluation split: such a text stands on both sides
+        until the exact sides are joined."""
+        s = b.column(1).to_numpy()
+        ids = pc.fill_null(b.column(2), 0).to_numpy(zero_copy_only=False).astype(np.int64).view(U)
+        asked = sketches.has(evaluation.value, mix(ids)) & pc.is_valid(b.column(2)).to_numpy(zero_copy_only=False)
+        return np.where((s == 2) & ~asked, 1, s)
+
+    def ranked(doc: np.ndarray, t: np.ndarray, cls: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the first text of each class among ``own``, rarest first: (doc, digest, level, place, digests of the text)."""
+        doc, t = of_first(doc, t, np.where(own, cls, U(0)))
+        n = np.bincount(doc, minlength=len(cls))
+        v = level.value.of(t)
+        order, place = tiles.rarest(doc, t, v)
+        doc = doc[order]
+        return doc, t[order], v[order], place, n[doc]
 
     def asked(b: pa.RecordBatch) -> np.ndarray:
-        texts, side = b.column(0).to_pylist(), b.column(1).to_numpy()
-        doc, t = triples(words(texts))
-        n = np.bincount(doc, minlength=len(texts))
-        own = side[doc] != 1
-        return rare(doc[own], t[own], n)[1]
+        own = sided(b) != 1
+        doc, t, v, place, n = ranked(*class_of(b.column(0).to_pylist()), own)
+        return t[tiles.prefix(n, place, least) & (v > 0)]
 
-    wanted = sketches.bits(text, asked, sketches.size_for(int(counted.sum(dtype=np.int64))))
-    known = samples.sparkSession.sparkContext.broadcast(wanted)
+    wanted = spark.sparkContext.broadcast(sketches.bits(text.filter("side <> 1"), asked, sketches.size_for(counted.total // 4)))
 
     def entries(b: pa.RecordBatch) -> tiles.Entries:
-        texts, side = b.column(0).to_pylist(), b.column(1).to_numpy()
-        doc, t, cls = class_of(texts)
+        s = sided(b)
+        known = class_of(b.column(0).to_pylist())
         parts = []
-        base = 0
-        for s in (0, 1):
-            own = np.where((side == s) | (side == 2), cls, U(0))
-            at = first_of_each(own)
-            row_of = np.full(len(cls), -1)
-            row_of[at] = np.arange(len(at))
-            row = row_of[doc]
-            row, k = row[row >= 0], t[row >= 0]
-            n = np.bincount(row, minlength=len(at))
-            sig = tiles.signatures(row, k, len(at))
-            if s == 0:
-                row, k, c = rare(row, k, n)
-            else:  # a triple that no evaluation class is entered under has no one to meet
-                has = sketches.has(known.value, k)
-                row, k = row[has], k[has]
-                c = often.value[(k % U(len(often.value))).astype(np.int64)]
-            parts.append((cls[at] | U(s), n, sig, row + base, k, c))
-            base += len(at)
+        for one in (0, 1):
+            doc, t, v, place, n = ranked(*known, (s == one) | (s == 2))
+            # what occurs once has no partner, nor has a training digest under which no evaluation record is entered
+            keep = tiles.prefix(n, place, least) & (v > 0) if one == 0 else sketches.has(wanted.value, t)
+            doc, t, v, place, n = doc[keep], t[keep], v[keep], place[keep], n[keep]
+            reach = np.ceil(least * n - 1e-6) if one == 0 else np.floor((n - place) / least + 1e-6)
+            parts.append((known[2][doc] | U(one), t, n, reach.astype(np.int64), level.value.often(v)))
         return tiles.Entries(*(np.concatenate(x) for x in zip(*parts)))
 
-    blobs = tiles.emit(text, entries, tiles.buckets_for(int(counted.sum(dtype=np.int64))))
-    found = Saved(tiles.compare(blobs, least, contained=True).select("a", (F.col("b").bitwiseAND(F.lit(-2))).alias("b")).distinct())
-    exact = verified(samples, "text", found.df).filter(F.col("both") >= least * F.col("n_a") - 1e-6).select("a", "b")
-    m = Saved(members(samples, "sample_id", "text").join(sides(samples, requests).select(F.col("sample_id").alias("id"), "side"), "id").filter("side is not null").distinct()).df
-    evaluation = m.filter("side = 0").select(F.col("id").alias("evaluation_id"), F.col("cls").alias("a"))
-    training = m.filter("side = 1").select(F.col("id").alias("training_id"), F.col("cls").alias("b"))
-    return exact.join(evaluation, "a").join(training, "b").select("evaluation_id", "training_id")
+    blobs = tiles.emit(text, entries, tiles.buckets_for(counted.total // 4 + 1))
+    found = Saved(tiles.compare(blobs, contained=True).select("a", F.col("b").bitwiseAND(F.lit(-2)).alias("b")).distinct())
+    m = Saved(members(samples, "sample_id", "text").distinct()).df
+    near = Saved(tiles.alike(found.df, folds(m), least, contained=True))
+    exact = verified(samples, "text", near.df).filter(F.col("both") >= least * F.col("n_a") - 1e-6).select("a", "b")
+    rows = Saved(m.select("id", "cls").join(sides(samples, requests).select(F.col("sample_id").alias("id"), "side"), "id").filter("side is not null").distinct()).df
+    own = rows.filter("side = 0").select(F.col("id").alias("evaluation_id"), F.col("cls").alias("a"))
+    training = rows.filter("side = 1").select(F.col("id").alias("training_id"), F.col("cls").alias("b"))
+    return exact.join(own, "a").join(training, "b").select("evaluation_id", "training_id")
 
 
 def digests(samples: DataFrame, requests: DataFrame) -> DataFrame:

@@ -1,19 +1,23 @@
-"""Candidate pairs from an inverted index, compared exactly tile by tile with exclusive-or and bit counts.
+"""Candidate pairs from an inverted index, compared tile by tile, with exclusive-or and bit counts.
 
-Every text is known by the 64-bit hash of its set of triples (*class*: copies are one class, whatever their number) and
-carries a set signature of 256 bits (512 or 1,024 for long texts): bit ``h(t)`` is set for each of its triples t. Two
-facts lose no pair:
+Every text is known by the 64-bit hash of its set of triples (*class*: copies are one class, whatever their number). A
+set is a bit vector over all triples, whose population count n is the size of the set. Three facts lose no pair:
 
-* If two sets are similar enough, they share one of the *rarest* keys of each (prefix filter); any fixed order of keys
-  will do, so rarity may come from a counter sketch of fixed size.
-* Differing signature bits cannot outnumber differing triples, so a Hamming distance (or a difference of population
-  counts) beyond the radius that the threshold allows rules the pair out.
+* If two sets are similar enough, they share one (or ``matches``) of the *rarest* keys of each (prefix filter); any fixed
+  order of keys will do, so rarity may come from counters of bounded size. A key that occurs once has no partner.
+* A key that stands at place i in this order has n - i keys from there on, which bounds the population count of a partner
+  with which it is the first key in common (``reach``).
+* The bit vectors folded to 256 bits differ in no more bits than the sets in triples, so differing bits beyond the radius
+  that the threshold allows rule a pair out (``alike``).
+
+``emit`` packs the entries (key, class, n, reach: 16 bytes) of many texts into one binary row for each bucket, so the JVM
+moves a few blobs instead of tens of millions of rows; an entry takes the same room whatever the number of buckets.
+``compare`` sorts a bucket by key and population count, and of each key looks only at the tile of partners whose
+population counts lie within reach. ``alike`` fetches the folded bit vectors once for each pair that is left.
 
-``emit`` packs the (key, class) entries of a batch into one binary row for each bucket, so the JVM moves a few blobs
-instead of tens of millions of rows. ``compare`` sorts a bucket by key and population count, forms tiles of bounded
-size of pairs that share a key, skips what lies beyond the radius by population count alone, and compares the rest.
 A key so frequent that its list would not fit one task is split into a grid of cells (``LIST`` entries a side), each a
-task of its own; no list is cut.
+list of its own; no list is cut. How frequent a key is, is its counter less the average share of other keys in it, so
+crowded counters don't make all keys frequent.
 """
 
 from __future__ import annotations
@@ -28,136 +32,119 @@ from pyspark.sql import functions as F
 
 from gaugeframe.llm.shingles import U, mix, slices
 
-WORDS = (4, 8, 16)  # 64-bit words of a signature
-LONG = (0, 90, 180)  # more triples than this take the next size too, as 256 bits fill up
-TILE = 1 << 19  # pairs compared at once
-HELD = 1 << 19  # pairs that a task holds before it hands them on, where many are expected
-LIST = 1 << 17  # entries of a key in a task
+BITS = 256  # of a folded bit vector
+TILE = 1 << 20  # pairs compared at once
+HELD = 1 << 20  # entries or pairs that a task holds before it hands them on
+LIST = 1 << 16  # entries of a key in a list
 PER_BUCKET = 2_000_000  # entries in a bucket, about
+MOST = (1 << 16) - 1  # of population counts and reaches that are stored; larger ones count as this, which loses nothing
 
 
 class Entries(NamedTuple):
-    """Of a batch: the classes, and (row of the class, key) with a bound for how often the key occurs in all rows."""
+    """Of a batch, by entry: class (uint64; its lowest bit is the side, 0 or 1), key, population count, reach, estimated
+    occurrences of the key in all rows, and perhaps a root (uint64; ``compare`` with ``apart`` wants no pair of one root)."""
 
-    cls: np.ndarray  # uint64; the lowest bit is the side (0 or 1)
-    n: np.ndarray  # triples
-    sig: np.ndarray  # uint8 [classes, 64 * WORDS[-1]], a bit in a byte
-    row: np.ndarray
-    key: np.ndarray  # uint64
+    cls: np.ndarray
+    key: np.ndarray
+    n: np.ndarray
+    reach: np.ndarray
     often: np.ndarray
-    root: np.ndarray | None = None  # uint64 of each class; pairs of one root are not wanted (``compare`` with ``apart``)
+    root: np.ndarray | None = None
 
 
-def signatures(doc: np.ndarray, items: np.ndarray, docs: int) -> np.ndarray:
-    on = np.zeros((docs, 64 * WORDS[-1]), np.uint8)
-    on[doc, (mix(items + U(0xABCDEF)) >> U(54)).astype(np.int64)] = 1
-    return on
+def folded(doc: np.ndarray, items: np.ndarray, docs: int) -> np.ndarray:
+    """uint8 [docs, BITS / 8]: bit h(t) is set for each item t."""
+    on = np.zeros((docs, BITS), np.uint8)
+    on[doc, (mix(items + U(0xABCDEF)) % U(BITS)).astype(np.int64)] = 1
+    return np.packbits(on, axis=1)
 
 
-def _folded(on: np.ndarray, words: int) -> np.ndarray:
-    return np.packbits(on.reshape(len(on), -1, 64 * words).max(1), axis=1).view(U)
-
-
-def rarest(doc: np.ndarray, items: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order that puts each doc's rarest items first, and each one's rank in its doc. Items must be ordered by doc."""
-    order = np.argsort((doc.astype(U) << U(32)) | often.astype(U), kind="stable")  # ties stay in order of the item
+def rarest(doc: np.ndarray, items: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts each doc's rarest items first, and each one's place in its doc. Items come ordered by doc and
+    value, so that ties stay in order of the value."""
+    order = np.argsort((doc.astype(np.int64) << 8) | level, kind="stable")
     at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
     return order, np.arange(len(doc)) - np.repeat(at, np.diff(np.r_[at, len(doc)]))
 
 
+def similar_reach(n: np.ndarray, place: np.ndarray, least: float, matches: int = 1) -> np.ndarray:
+    """The most triples that a partner of Jaccard similarity ``least`` may have if an item at this place is one of the
+    first ``matches`` in common."""
+    return np.floor((n - place + matches - 1) * (1 + least) / least - n + 1e-6).astype(np.int64)
+
+
+def prefix(n: np.ndarray, place: np.ndarray, least: float, matches: int = 1) -> np.ndarray:
+    """Whether an item is among those of which a partner that has ``least`` of the set must have ``matches``."""
+    return place < n - np.ceil(least * n - 1e-6) + matches
+
+
 def buckets_for(entries: int) -> int:
-    return int(min(1 << 16, max(4, -(-entries // PER_BUCKET))))
+    return int(min(1 << 20, max(4, -(-entries // PER_BUCKET))))
+
+
+def _celled(e: Entries) -> Entries:
+    """Entries of frequent keys in each cell of the key's grid that they belong to: part p goes to (p, q) of all q."""
+    grid = np.maximum(1, np.ceil(np.asarray(e.often, np.float64) / LIST)).astype(np.int64)
+    if (grid == 1).all():
+        return e
+    part = (mix(e.cls & ~U(1)) % grid.astype(U)).astype(np.int64)
+    q = np.arange(grid.sum()) - np.repeat(np.cumsum(grid) - grid, grid)
+    e = Entries(*(None if x is None else np.repeat(x, grid) for x in e))
+    p, g = np.repeat(part, grid), np.repeat(grid, grid)
+    cell = mix(e.key + (np.minimum(p, q) * g + np.maximum(p, q)).astype(U) * U(0x9E3779B97F4A7C15)) >> U(16)
+    return e._replace(key=np.where(g > 1, cell, e.key))
 
 
 def emit(df: DataFrame, of: Callable[[pa.RecordBatch], Entries], buckets: int) -> DataFrame:
-    """(bucket int, blob binary): a blob holds classes, sizes, signatures and (key, row) entries."""
+    """(bucket int, blob binary): the entries of the batches of df by bucket of their key."""
+
+    def blobs(held: list[Entries]) -> pa.RecordBatch:
+        e = Entries(*(None if x[0] is None else np.concatenate(x) for x in zip(*held)))
+        bucket = ((e.key >> U(16)) % U(buckets)).astype(np.uint32)
+        order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+        bucket = bucket[order]
+        edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        cut = lambda x, kind: np.minimum(x, MOST).astype(kind)[order]
+        parts = [e.cls[order], *([] if e.root is None else [e.root[order]]), (mix(e.key) >> U(32)).astype(np.uint32)[order], cut(e.n, np.uint16), cut(e.reach, np.uint16)]
+        rows = [b"".join(x[i:j].tobytes() for x in parts) for i, j in zip(edge[:-1], edge[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]].astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "blob"])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in slices(batches):
-            e = of(b)
-            if not len(e.key):
-                continue
-            row, key = e.row, e.key
-            if (e.often > LIST).any():  # a grid of cells: a class of part p of the key goes to the cells (p, q) of all q
-                grid = np.maximum(1, -(-e.often.astype(np.int64) // LIST))
-                of_part = (mix(e.cls[row]) % grid.astype(U)).astype(np.int64)
-                q = np.arange(grid.sum()) - np.repeat(np.cumsum(grid) - grid, grid)
-                row, key, p, g = (np.repeat(x, grid) for x in (row, key, of_part, grid))
-                key = np.where(g > 1, mix(key + (np.minimum(p, q) * g + np.maximum(p, q)).astype(U) * U(0x9E3779B97F4A7C15)), key)
-            at = ((key >> U(32)) % U(buckets)).astype(np.int64)
-            sig = [_folded(e.sig, w) for w in WORDS]
-            order = np.argsort(at * len(e.cls) + row, kind="stable")
-            at, row, key = at[order], row[order], key[order]
-            fresh = np.r_[True, (at[1:] != at[:-1]) | (row[1:] != row[:-1])]  # each class once in a bucket
-            nth = np.cumsum(fresh) - 1
-            tables = row[fresh]
-            edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])
-            each = np.diff(np.r_[np.flatnonzero(fresh), len(at)])  # entries of each row of a table
-            blobs = []
-            for i, j in zip(edge[:-1], edge[1:]):
-                t = tables[nth[i] : nth[j - 1] + 1]
-                head = np.array([len(t), j - i], np.uint32)
-                long = [x[t[e.n[t] > least]] for x, least in zip(sig, LONG)]
-                root = () if e.root is None else (e.root[t],)
-                blobs.append(b"".join(x.tobytes() for x in (head, e.cls[t], *root, *long, e.n[t].astype(np.uint32), key[i:j].astype(np.uint32), each[nth[i] : nth[j - 1] + 1].astype(np.uint32))))
-            yield pa.RecordBatch.from_arrays([pa.array(at[edge[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            e = _celled(of(b))
+            if len(e.key):
+                held.append(e)
+                size += len(e.key)
+            if size >= HELD:
+                yield blobs(held)
+                held, size = [], 0
+        if held:
+            yield blobs(held)
 
     return df.mapInArrow(part, "bucket int, blob binary").repartitionById(buckets, F.col("bucket"))
 
 
-class Bucket(NamedTuple):
-    cls: np.ndarray
-    n: np.ndarray
-    sig: list[np.ndarray]  #: by size; those of the longer sizes hold rows of long classes only
-    at: list[np.ndarray]  #: by size, where a class has its signature
-    key: np.ndarray
-    row: np.ndarray
-    root: np.ndarray | None
-
-    def within(self, a: np.ndarray, b: np.ndarray, radius: np.ndarray, contained: bool) -> np.ndarray:
-        """Positions of the pairs whose differing bits (for ``contained``: bits of a that b has not) stay within the
-        radius, by all sizes that both have; the longer signatures are looked at only for what passed the shorter."""
-        left = np.arange(len(a))
-        for sig, at, least in zip(self.sig, self.at, LONG):
-            both = np.ones(len(left), bool) if not least else (self.n[a[left]] > least) & (self.n[b[left]] > least)
-            k = left[both]
-            x, y = sig.take(at.take(a[k]), axis=0), sig.take(at.take(b[k]), axis=0)
-            np.bitwise_and(x, ~y, out=x) if contained else np.bitwise_xor(x, y, out=x)
-            ok = np.ones(len(left), bool)
-            ok[both] = np.bitwise_count(x).sum(1, dtype=np.int32) <= radius[k]
-            left = left[ok]
-        return left
-
-
-def _load(batches: Iterator[pa.RecordBatch], apart: bool = False) -> Bucket | None:
-    cls, root, n, key, row = [], [], [], [], []
-    sig: list[list[np.ndarray]] = [[] for _ in WORDS]
-    base = 0
+def _load(batches: Iterator[pa.RecordBatch], apart: bool) -> list[np.ndarray] | None:
+    """cls, key and n in one number, reach, root: ordered by key, side (of a class), n and class, each entry once."""
+    cls, root, key, n, reach = [], [], [], [], []
     for b in batches:
         for x in b.column(1):
             buf = x.as_buffer()
-            d, m = (int(v) for v in np.frombuffer(buf, np.uint32, 2))
-            cls.append(np.frombuffer(buf, U, d, 8))
-            end = len(buf) - 4 * (2 * d + m)
-            n.append(np.frombuffer(buf, np.uint32, d, end))
-            key.append(np.frombuffer(buf, np.uint32, m, end + 4 * d))
-            row.append(np.repeat(np.arange(d, dtype=np.uint32) + np.uint32(base), np.frombuffer(buf, np.uint32, d, end + 4 * (d + m))))
-            at = 8 + 8 * d
-            if apart:
-                root.append(np.frombuffer(buf, U, d, at))
-                at += 8 * d
-            for into, w, least in zip(sig, WORDS, LONG):
-                k = int((n[-1] > least).sum())
-                into.append(np.frombuffer(buf, U, k * w, at).reshape(k, w))
-                at += 8 * k * w
-            base += d
-    if not base:
+            m = len(buf) // (24 if apart else 16)
+            at = 0
+            for into, kind in ((cls, U), *(((root, U),) if apart else ()), (key, np.uint32), (n, np.uint16), (reach, np.uint16)):
+                into.append(np.frombuffer(buf, kind, m, at))
+                at += m * np.dtype(kind).itemsize
+    if not cls:
         return None
-    cls, first, back = np.unique(np.concatenate(cls), return_index=True, return_inverse=True)
-    n = np.concatenate(n)
-    places = [np.cumsum(n > least)[first] - 1 for least in LONG]
-    entry = np.unique((np.concatenate(key).astype(U) << U(32)) | back[np.concatenate(row)].astype(U))
-    return Bucket(cls, n[first].astype(np.int64), [np.concatenate(x) for x in sig], places, (entry >> U(32)).astype(np.int64), (entry & U(0xFFFFFFFF)).astype(np.int64), np.concatenate(root)[first] if apart else None)
+    c = np.concatenate(cls)
+    both = (np.concatenate(key).astype(U) << U(17)) | ((c & U(1)) << U(16)) | np.concatenate(n).astype(U)
+    order = np.lexsort((c, both))
+    c, both = c[order], both[order]
+    fresh = np.r_[True, (c[1:] != c[:-1]) | (both[1:] != both[:-1])]
+    order, c, both = order[fresh], c[fresh], both[fresh]
+    return [c, both, np.concatenate(reach)[order], np.concatenate(root)[order] if apart else None]
 
 
 def _tiles(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -170,77 +157,112 @@ def _tiles(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndar
         j = int(np.searchsorted(total, (total[i - 1] if i else 0) + TILE, side="right"))
         at = some[i : max(j, i + 1)]
         s = size[at]
-        a = np.repeat(at, s)
-        yield a, np.arange(len(a)) - np.repeat(np.cumsum(s) - s, s) + lo[a]
+        yield np.repeat(at, s), np.arange(s.sum()) - np.repeat(np.cumsum(s) - s - lo[at], s)
         i = max(j, i + 1)
 
 
-def _once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both = np.unique((a.astype(U) << U(32)) | b.astype(U))
-    return (both >> U(32)).astype(np.int64), (both & U(0xFFFFFFFF)).astype(np.int64)
+def _pairs(batches: Iterator[pa.RecordBatch], contained: bool, apart: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, population counts of both together) of the entries of a bucket that lie within each other's reach."""
+    if (got := _load(batches, apart)) is None:
+        return
+    cls, both, reach, root = got
+    n = (both & U(MOST)).astype(np.uint16)
+    key = both >> U(17) << U(17)
+    if contained:  # an entry of side 0 against those of side 1 with so many triples at least
+        lo = np.where(cls & U(1), 0, np.searchsorted(both, key | U(1 << 16) | reach.astype(U), side="left"))
+        hi = np.where(cls & U(1), 0, np.searchsorted(both, key | U((1 << 17) - 1), side="right"))
+    else:
+        lo = np.arange(1, len(cls) + 1)
+        hi = np.where(reach >= n, np.searchsorted(both, key | reach.astype(U), side="right"), 0)
+    for i, j in _tiles(lo, hi):
+        ok = reach.take(j) >= n.take(i)
+        i, j = i[ok], j[ok]
+        if apart:
+            ok = root.take(i) != root.take(j)
+            i, j = i[ok], j[ok]
+        if len(i):
+            a, b = cls.take(i), cls.take(j)
+            if not contained:
+                a, b = np.minimum(a, b), np.maximum(a, b)
+            yield a, b, n.take(i).astype(np.int64) + n.take(j)
+
+
+def compare(blobs: DataFrame, contained: bool = False) -> DataFrame:
+    """(a bigint, b bigint): classes that share a key and lie within reach of each other; pairs may come more than once.
+
+    contained False: similarity, a < b as unsigned numbers. True: a is of side 0 and b of side 1; the reach of a is the
+    least population count of a partner, that of b the largest."""
 
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b, _ in _pairs(batches, contained, False):
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], ["a", "b"])
 
-def _rows(cls: np.ndarray, out_a: list[np.ndarray], out_b: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    a, b = _once(np.concatenate(out_a), np.concatenate(out_b))
-    for i in range(0, len(a), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(cls[x[i : i + 100_000]].view(np.int64)) for x in (a, b)], ["a", "b"])
+    return blobs.mapInArrow(part, "a bigint, b bigint")
 
 
-def compare(blobs: DataFrame, least: float, contained: bool = False, apart: bool = False) -> DataFrame:
-    """(a bigint, b bigint): classes that share a key and may reach ``least``; some pairs come more than once.
+def compare_apart(blobs: DataFrame, least: float, matches: int, parts: int) -> DataFrame:
+    """(a bigint, b bigint): classes of different roots that lie within reach of each other at ``matches`` keys, or at as
+    many as their similarity of ``least`` needs if those are fewer; each pair once. Pairs are counted in ``parts`` tasks."""
+
+    def blob(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+        to = (mix(a + b) % U(parts)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        to, a, b, weight = to[order], a[order], b[order], weight[order]
+        edge = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
+        rows = [a[i:j].tobytes() + b[i:j].tobytes() + weight[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(to[edge[:-1]].astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "blob"])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for a, b, n in _pairs(batches, False, True):
+            # what needs fewer matches is counted as if it had them all
+            held.append((a, b, np.where(np.ceil(n * (least / (1 + least)) - 1e-6) < matches, matches, 1).astype(np.uint8)))
+            size += len(a)
+            if size >= HELD:
+                yield blob(*(np.concatenate(x) for x in zip(*held)))
+                held, size = [], 0
+        if held:
+            yield blob(*(np.concatenate(x) for x in zip(*held)))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = []
+        for batch in batches:
+            for x in batch.column(1):
+                buf = x.as_buffer()
+                m = len(buf) // 17
+                got.append((np.frombuffer(buf, U, m), np.frombuffer(buf, U, m, 8 * m), np.frombuffer(buf, np.uint8, m, 16 * m)))
+        if not got:
+            return
+        a, b, weight = (np.concatenate(x) for x in zip(*got))
+        del got
+        pair = mix(a * U(0x9E3779B97F4A7C15) + b)
+        order = np.argsort(pair)
+        at = np.flatnonzero(np.r_[True, pair[order[1:]] != pair[order[:-1]]])
+        enough = np.add.reduceat(weight[order], at, dtype=np.int64) >= matches
+        first = order[at[enough]]
+        yield from (pa.RecordBatch.from_arrays([pa.array(x[first[k : k + 100_000]].view(np.int64)) for x in (a, b)], ["a", "b"]) for k in range(0, len(first), 100_000))
 
-    contained False: Jaccard similarity, a < b. True: the share of a's triples that b has; a is of side 0, b of side 1.
-    apart: the entries have roots, and only pairs of different roots are looked at.
-    """
+    pairs = blobs.mapInArrow(found, "bucket int, blob binary").repartitionById(parts, F.col("bucket"))
+    return pairs.mapInArrow(counted, "a bigint, b bigint")
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (got := _load(batches, apart)) is None:
-            return
-        cls, n, key, row = got.cls, got.n, got.key, got.row
-        pop = np.bitwise_count(got.sig[0]).sum(1).astype(np.int64)[got.at[0]]
-        if contained:
-            order = np.lexsort((cls[row] & U(1), key))
-            key, row = key[order], row[order]
-            side = (cls[row] & U(1)).astype(np.int64)
-            both = key * 2 + side
-            lo = np.where(side == 0, np.searchsorted(both, key * 2 + 1, side="left"), 0)
-            hi = np.where(side == 0, np.searchsorted(both, key * 2 + 1, side="right"), 0)
-        elif apart:
-            root = np.unique(got.root, return_inverse=True)[1]
-            both = (key.astype(U) << U(32)) | root[row].astype(U)
-            order = np.argsort(both, kind="stable")
-            both, key, row = both[order], key[order], row[order]
-            lo, hi = np.searchsorted(both, both, side="right"), np.searchsorted(key, key, side="right")
-        else:
-            order = np.argsort((key << 32) | pop[row], kind="stable")
-            key, row = key[order], row[order]
-            both = (key << 32) | pop[row]
-            # the radius is (1 - least) / (1 + least) of both sizes together, and the larger has at most 1 / least times the triples
-            reach = np.floor((1 - least) / (1 + least) * n[row] * (1 + 1 / least) + 1e-6).astype(np.int64)
-            lo, hi = np.arange(len(key)) + 1, np.searchsorted(both, both + reach, side="right")
-        out_a, out_b = [], []
-        for i, j in _tiles(lo, hi):
-            a, b = row[i], row[j]
-            if contained:
-                keep = n[b] >= least * n[a] - 1e-6
-                a, b = a[keep], b[keep]
-                radius = (1 - least) * n[a] + 1e-6
-            else:
-                na, nb = n[a], n[b]
-                radius = (1 - least) / (1 + least) * (na + nb) + 1e-6
-                keep = (np.minimum(na, nb) >= least * np.maximum(na, nb) - 1e-6) & (np.abs(pop[a] - pop[b]) <= radius)
-                a, b, radius = a[keep], b[keep], radius[keep]
-            at = got.within(a, b, radius, contained)
-            a, b = _once(a[at], b[at]) if contained else _once(np.minimum(a[at], b[at]), np.maximum(a[at], b[at]))
-            out_a.append(a)
-            out_b.append(b)
-            if apart and sum(map(len, out_a)) > HELD:
-                yield from _rows(cls, out_a, out_b)
-                out_a, out_b = [], []
-        if out_a:
-            yield from _rows(cls, out_a, out_b)
 
-    return blobs.mapInArrow(part, "a bigint, b bigint")
+def alike(pairs: DataFrame, folds: DataFrame, least: float, contained: bool = False) -> DataFrame:
+    """pairs (a, b) whose folded bit vectors (folds: cls, n, fold) don't rule out ``least``; contained: the share of a's
+    triples that b has, else the Jaccard similarity."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(v.as_buffer() for v in b.column(k)), U).reshape(b.num_rows, -1) for k in (4, 5))
+            na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
+            differ = np.bitwise_count(x & ~y if contained else x ^ y).sum(1, dtype=np.int64)
+            radius = (1 - least) * na if contained else (1 - least) / (1 + least) * (na + nb)
+            keep = pa.array(differ <= radius + 1e-6)
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(keep) for k in (0, 1)], ["a", "b"])
+
+    joined = pairs.select("a", "b").join(folds.withColumnsRenamed({"cls": "a", "n": "n_a", "fold": "fold_a"}), "a").join(folds.withColumnsRenamed({"cls": "b", "n": "n_b", "fold": "fold_b"}), "b")
+    return joined.select("a", "b", "n_a", "n_b", "fold_a", "fold_b").mapInArrow(part, "a bigint, b bigint")
 
 
 def shared(pairs: DataFrame) -> DataFrame:

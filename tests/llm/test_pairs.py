@@ -1,9 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeframe.llm import clusters, graph, near_duplicates, shingles, split_overlap, tiles
+from gaugeframe.llm import clusters, graph, near_duplicates, shingles, sketches, split_overlap, tiles
+from gaugeframe.llm.classes import class_of, of_first
+from gaugeframe.llm.shingles import words
 from tests.llm import texts
 
 
@@ -29,38 +32,45 @@ def test_near_duplicates(spark):
         assert {tuple(r) for r in got} == texts.jaccard_pairs(rows, 0.5)
 
 
-def test_cells_of_frequent_keys_lose_nothing(spark, monkeypatch):
+def test_cells_of_frequent_keys_lose_nothing(spark):
     rows = texts.corpus(2, 40)
     often = tiles.LIST
-    # workers import the module afresh, so the limit travels with the entries: every key counts as frequent
-    real = tiles.rarest
 
-    def frequent(doc, items, n):
-        return real(doc, items, n)
-
-    monkeypatch.setattr(tiles, "rarest", frequent)
-    assert often > 1
-
-    def blow(e):
-        return e._replace(often=e.often.astype("int64") * 0 + 3 * often)
-
-    import numpy as np
-
-    from gaugeframe.llm.classes import class_of, first_of_each
-
-    def entries(b):
+    def entries(b, times):
         doc, t, cls = class_of(b.column(0).to_pylist())
-        at = first_of_each(cls)
-        row_of = np.full(len(cls), -1)
-        row_of[at] = np.arange(len(at))
-        row = row_of[doc]
-        row, t = row[row >= 0], t[row >= 0]
-        return blow(tiles.Entries(cls[at], np.bincount(row, minlength=len(at)), tiles.signatures(row, t, len(at)), row, t, np.ones(len(t), np.uint32)))
+        doc, t = of_first(doc, t, cls)
+        n = np.bincount(doc, minlength=len(cls))
+        return tiles.Entries(cls[doc], t, n[doc], np.full(len(doc), 10**9), np.full(len(doc), times * often))
 
     df = table(spark, rows).select("text")
-    got = tiles.compare(tiles.emit(df, entries, 5), 0.5).distinct().count()
-    plain = tiles.compare(tiles.emit(df, lambda b: entries(b)._replace(often=np.ones(len(entries(b).key), np.uint32)), 5), 0.5).distinct().count()
-    assert got == plain > 0
+    cut, plain = ({tuple(r) for r in tiles.compare(tiles.emit(df, lambda b, k=k: entries(b, k), 5)).distinct().collect()} for k in (3, 1))
+    assert cut == plain and plain
+
+
+def test_levels(spark):
+    rows = [(i, f"{'all ' * 9}{'half ' * 9 * (i % 2)}w{i} {'z ' * 9}") for i in range(512)]
+    got = sketches.levels(table(spark, rows).select("text"), lambda b: words(b.column(0).to_pylist()).hash, 10)
+    first = words(["all half w77"]).hash
+    assert len(got.level) == 1 << 16 and got.total == 512 * 19 + 256 * 9
+    assert list(got.of(first)) == [98, 90, 0]  # 8 * log2 of 4,608 and 2,304, and of 1, rounded up
+    assert ((got.often(got.of(first)) / [4608, 2304, 1] >= 1) & (got.often(got.of(first)) / [4608, 2304, 1] < 1.1)).all()
+    assert sketches.levels(table(spark, []).select("text"), lambda b: words(b.column(0).to_pylist()).hash, 1).total == 0
+
+
+def test_reach_is_a_bound():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ({rng.randrange(40) for _ in range(rng.randrange(1, 40))} for _ in "ab")
+        both = sorted(a & b)
+        for least in (0.2, 0.5):
+            if len(both) < least * len(a | b):
+                continue
+            for r, k in enumerate(both[:4], 1):
+                for x, y in ((a, b), (b, a)):
+                    place = np.array([sorted(x).index(k)])
+                    n = np.array([len(x)])
+                    assert len(y) <= tiles.similar_reach(n, place, least, r)[0]
+                    assert r > 1 or tiles.prefix(n, place, least)[0]
 
 
 def test_groups(spark):
