@@ -18,8 +18,8 @@ def analyze(data: Dataset, source: dict[str, Any], **options: Any) -> Report:
     return report
 
 
-def analyze_csv(spark: SparkSession, path: str, text_col: str | None = None, label_col: str | None = None, encoding: str | None = None, **options: Any) -> Report:
-    return analyze(load_csv(spark, path, text_col, label_col, encoding), {"type": "csv", "path": path}, **options)
+def analyze_csv(spark: SparkSession, path: str, text_col: str | None = None, label_col: str | None = None, encoding: str | None = None, multiline: bool = True, **options: Any) -> Report:
+    return analyze(load_csv(spark, path, text_col, label_col, encoding, multiline), {"type": "csv", "path": path}, **options)
 
 
 def analyze_csv_bytes(spark: SparkSession, data: bytes, filename: str | None = None, text_col: str | None = None, label_col: str | None = None, encoding: str | None = None, **options: Any) -> Report:

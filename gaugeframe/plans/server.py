@@ -8,6 +8,7 @@ POST /analyze/csv with a form (file, text_col, label_col, no_hf_models). What th
 from __future__ import annotations
 
 import json
+import os
 from email.parser import BytesParser
 from email.policy import HTTP
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -33,8 +34,15 @@ def form_of(kind: str, body: bytes) -> dict[str, Any]:
     return out
 
 
-def serve(spark: SparkSession, host: str = "127.0.0.1", port: int = 8000, origins: tuple[str, ...] = (), **models: Any) -> ThreadingHTTPServer:
-    """A server that is ready for ``serve_forever``; models: ``embedder`` and ``scorer``."""
+def allowed_origins() -> tuple[str, ...]:
+    named = tuple(x.strip() for x in os.environ.get("ALLOWED_ORIGINS", "").split(",") if x.strip())
+    return named or ("http://localhost:3000", "http://127.0.0.1:3000")
+
+
+def serve(spark: SparkSession, host: str = "127.0.0.1", port: int = 8000, origins: tuple[str, ...] | None = None, **models: Any) -> ThreadingHTTPServer:
+    """A server that is ready for ``serve_forever``; models: ``embedder`` and ``scorer``. origins None: those that the
+    environment names in ALLOWED_ORIGINS, parted by commas, else a page on this machine's port 3000."""
+    origins = allowed_origins() if origins is None else origins
 
     class Handler(BaseHTTPRequestHandler):
         def _answer(self, status: int, payload: Any) -> None:

@@ -33,11 +33,13 @@ def standard(df: DataFrame, text_col: str | None = None, label_col: str | None =
     return Dataset(renamed, "text", "label" if label else None, {"original_columns": list(df.columns), "renamed_columns": new, **meta})
 
 
-def read_csv_frame(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+def read_csv_frame(spark: SparkSession, path: str, encoding: str | None = None, multiline: bool = True) -> DataFrame:
     """A CSV file as a table: null spellings are nulled before the types are inferred, so "NA" makes no number a string.
 
-    Column types are the narrowest of bigint, double, boolean and string that every value fits, found in one pass."""
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, quote='"', escape='"', encoding=encoding or "UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    Column types are the narrowest of bigint, double, boolean and string that every value fits, found in one pass. A file
+    whose quoted values hold line breaks can't be split over tasks; multiline False reads large files without such breaks
+    in parallel."""
+    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=multiline, quote='"', escape='"', encoding=encoding or "UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     clean = raw.select(*[F.when(~F.col(f"`{c}`").isin(*NULLS), F.col(f"`{c}`")).alias(c) for c in raw.columns])
     kinds = {"bigint": r"^\s*[+-]?\d{1,18}\s*$", "double": r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$", "boolean": r"^(True|False|true|false|TRUE|FALSE)$"}
     if not clean.columns:
@@ -47,8 +49,8 @@ def read_csv_frame(spark: SparkSession, path: str, encoding: str | None = None)
     return clean.select(*[(F.col(f"`{c}`") if k == "string" else F.trim(F.col(f"`{c}`")).cast(k)).alias(c) for c, k in zip(clean.columns, kind)])
 
 
-def load_csv(spark: SparkSession, path: str, text_col: str | None = None, label_col: str | None = None, encoding: str | None = None) -> Dataset:
-    return standard(read_csv_frame(spark, path, encoding), text_col, label_col)
+def load_csv(spark: SparkSession, path: str, text_col: str | None = None, label_col: str | None = None, encoding: str | None = None, multiline: bool = True) -> Dataset:
+    return standard(read_csv_frame(spark, path, encoding, multiline), text_col, label_col)
 
 
 def load_csv_bytes(spark: SparkSession, data: bytes, filename: str | None = None, text_col: str | None = None, label_col: str | None = None, encoding: str | None = None) -> Dataset:
@@ -64,17 +66,35 @@ def load_csv_bytes(spark: SparkSession, data: bytes, filename: str | None = None
     return got
 
 
-def load_dataset(spark: SparkSession, name: str | DataFrame, split: str | None = "train", subset: str | None = None, text_col: str | None = None, label_col: str | None = None, max_rows: int | None = None) -> Dataset:
-    """A DataFrame, a table, or a parquet, JSON or ORC path. Of a folder, the subfolders or files named by subset and
-    split are taken if they are there; ``max_rows`` (if above 0) takes the first rows in the order of the source."""
-    if isinstance(name, DataFrame):
-        df = name
+DEFAULT_SPLIT = "train"
+ENDINGS = ("", ".parquet", ".json", ".jsonl", ".orc", ".csv")
+
+
+def _inner(spark: SparkSession, path: str, part: str) -> str | None:
+    """The subfolder or file of a folder, on any file system, that is named ``part``."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at(path)) or not files.getFileStatus(at(path)).isDirectory():
+        return None
+    return next((x for x in (f"{path.rstrip('/')}/{part}{e}" for e in ENDINGS) if files.exists(at(x))), None)
+
+
+def load_dataset(spark: SparkSession, name: str | DataFrame, split: str | None = DEFAULT_SPLIT, subset: str | None = None, text_col: str | None = None, label_col: str | None = None, max_rows: int | None = None) -> Dataset:
+    """A DataFrame, a table, or a parquet, JSON, ORC or CSV path. Of a folder, the subfolder or file named by the subset and
+    then that named by the split is taken. A subset, or a split other than the default one, that can't be found there is a
+    ValueError, never ignored. ``max_rows`` (if above 0) takes the first rows in the order of the source."""
+    asked = [("subset", subset), ("split", split)]
+    path = name
+    for what, part in asked:
+        if part and not (what == "split" and part == DEFAULT_SPLIT and isinstance(name, DataFrame)):
+            folder_like = isinstance(name, str) and ("/" in name or os.path.splitext(name)[1])
+            inner = _inner(spark, path, part) if folder_like else None
+            if inner is None and not (what == "split" and part == DEFAULT_SPLIT):
+                raise ValueError(f"there is no {what} '{part}' in this dataset")
+            path = inner or path
+    if isinstance(path, DataFrame):
+        df = path
     else:
-        path = name
-        for part in (subset, split):
-            if part and "://" not in path and os.path.isdir(path):
-                inner = [os.path.join(path, x) for x in (part, f"{part}.parquet", f"{part}.json", f"{part}.csv") if os.path.exists(os.path.join(path, x))]
-                path = inner[0] if inner else path
         ending = os.path.splitext(path)[1].lower()
         if ending == ".csv":
             df = read_csv_frame(spark, path)

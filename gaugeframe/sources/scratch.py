@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that all executors share.
 
 ``save`` cuts the lineage by writing a parquet table below ``spark.checkpoint.dir`` and reading it again, so a lost
-executor never loses an intermediate result. Where the session names no folder (tests, notebooks) one is made below the
-system's temporary folder; a cluster must name its own.
+executor never loses an intermediate result. Where a local session (tests, notebooks) names no folder one is made below
+the system's temporary folder; a cluster must name its own.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ def folder(spark: SparkSession) -> str:
     named = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError(f"{KEY} must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="gaugeframe-")
