@@ -43,7 +43,6 @@ LOOKALIKES = (
 #: Invisible characters outside category Cf.
 FILLERS = "͏ᅟᅠ឴឵ㅤﾠ"
 JOINERS = "‌‍"
-MARKED = 4  # combining marks in a pattern, at most
 
 _automata: dict[int, object] = {}
 
@@ -107,7 +106,7 @@ def rewrites(count: np.ndarray) -> dict[str, str]:
     for i in range(0xC0, 0x30000):
         c = chr(i)
         d = unicodedata.normalize("NFD", c)
-        if len(d) < 2 or len(d) > 1 + MARKED or 0xAC00 <= i < 0xD7A4 or unicodedata.decomposition(c).startswith("<"):
+        if len(d) < 2 or 0xAC00 <= i < 0xD7A4 or unicodedata.decomposition(c).startswith("<"):
             continue
         if c in seen or d[0] in letters and all(m in marks for m in d[1:]):
             classes.tie(c, d)
@@ -154,9 +153,12 @@ def automaton(rules: dict[str, str]):
     return a
 
 
-def rewrite(text: str, a, tries: int = 8) -> str:
-    """Greedy, leftmost and longest first, until nothing changes: what an invisible character parted comes together."""
-    for _ in range(tries):
+def rewrite(text: str, a) -> str:
+    """Greedy, leftmost and longest first, until nothing changes: what an invisible character parted comes together.
+
+    A round makes the text shorter, or turns characters into representatives, which stay; so there is an end."""
+    seen = {text}
+    while True:
         out, at = [], 0
         for end, (n, new) in a.iter_long(text):
             start = end - n + 1
@@ -169,8 +171,10 @@ def rewrite(text: str, a, tries: int = 8) -> str:
         now = unicodedata.normalize("NFC", "".join(out) + text[at:])
         if now == text:
             return now
+        if now in seen:  # should composition undo a rewrite, the least form of the round counts
+            return min(now, text)
+        seen.add(now)
         text = now
-    return text
 
 
 def rules_for(df: DataFrame, text_col: str) -> dict[str, str]:
@@ -207,9 +211,15 @@ def canonical(df: DataFrame, id_col: str, text_col: str, rules: dict[str, str] |
 
 
 def pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id_a, id_b; a < b): rows whose texts look the same but are not the same characters."""
+    """(id_a, id_b; a < b): rows whose texts look the same but are not the same characters.
+
+    Forms of several texts are found among the distinct texts; their texts are paired as classes, and only then come the
+    rows of both, so copies of one text are never compared with each other."""
     rows = Saved(canonical(df, id_col, text_col).filter("visible").select("id", "form_key", "text_key").distinct()).df
-    mixed = rows.groupBy("form_key").agg(F.min("text_key").alias("x"), F.max("text_key").alias("y")).filter("x <> y").select("form_key")
-    some = rows.join(mixed, "form_key")
-    a, b = (some.select(F.col("id").alias(f"id_{x}"), "form_key", F.col("text_key").alias(f"text_{x}")) for x in "ab")
-    return a.join(b, "form_key").filter("id_a < id_b and text_a <> text_b").select("id_a", "id_b")
+    texts = rows.select("form_key", "text_key").distinct()
+    mixed = texts.groupBy("form_key").agg(F.count("*").alias("n")).filter("n > 1").select("form_key")
+    some = Saved(texts.join(mixed, "form_key")).df
+    unlike = some.withColumnRenamed("text_key", "text_a").join(some.withColumnRenamed("text_key", "text_b"), "form_key").filter("text_a < text_b").select("text_a", "text_b")
+    a, b = (rows.select(F.col("id").alias(f"row_{x}"), F.col("text_key").alias(f"text_{x}")) for x in "ab")
+    found = unlike.join(a, "text_a").join(b, "text_b").filter("row_a <> row_b")
+    return found.select(F.least("row_a", "row_b").alias("id_a"), F.greatest("row_a", "row_b").alias("id_b")).distinct()

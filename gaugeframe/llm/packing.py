@@ -3,12 +3,13 @@
 Method: non-negative least squares. Items larger than the capacity are cut into full containers and a rest. Shallow
 combinations of lengths (up to three different ones, with repeats) that fill the capacity up to a small window are
 enumerated; their repeat counts are solved against the histogram of lengths, weighted by length, by accelerated
-projected gradients; the counts are rounded down, and what is left is packed greedily, largest first into the fullest
-container that has room.
+projected gradients and rounded down. What that leaves is solved again as long as half of it finds a place, at most
+``SOLVES`` times; then the rest is packed greedily, largest first into the fullest container that has room, equal items
+into equal containers at once.
 
 Only the histogram (as many rows as the capacity, at most) and the plan (runs of equal items in consecutive containers)
-are on the driver; neither grows with the number of items: the plan has at most ``COLUMNS`` patterns and the items that
-rounding left over. Items learn their rank among those of their size from counts by partition, never from a sort of one
+are on the driver. Neither grows with the number of items, but for its logarithm: a run of the greedy part ends with a
+size or with a group of equal containers, whatever the number of items in it. Items learn their rank among those of their size from counts by partition, never from a sort of one
 size in one task.
 
 Cases: null and empty texts are in no container (their size is 0 tokens); blank texts are packed; a repeated row is an
@@ -31,6 +32,7 @@ from gaugeframe.sources.scratch import Saved
 COLUMNS = 20_000
 LARGEST = 1 << 20  # of a capacity: bounds the histogram
 ROUNDS = 400
+SOLVES = 8
 
 
 class Plan(NamedTuple):
@@ -115,8 +117,11 @@ def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> Plan:
     full = np.flatnonzero(sizes == capacity)
     if len(full) and left[full[0]]:
         put(((int(full[0]), 1),), int(left[full[0]]))
-    every = patterns(sizes, left, capacity, max(1, capacity // 128)) if len(sizes) else []
-    if every:
+    for _ in range(SOLVES):  # what rounding and an unfinished fit leave is solved again
+        before = int(left.sum())
+        every = patterns(sizes, left, capacity, max(1, capacity // 128)) if before else []
+        if not every:
+            break
         rows = np.array([k for p in every for k, _ in p])
         cols = np.repeat(np.arange(len(every)), [len(p) for p in every])
         value = np.array([n * sizes[k] for p in every for k, n in p], float) / capacity
@@ -127,26 +132,34 @@ def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> Plan:
             times = int(min(max(1, np.floor(x[i])), min(left[k] // n for k, n in every[i])))
             if times:
                 put(every[i], times)
-    # the rest, largest first, each into the fullest container with room
-    open_at: dict[int, list[int]] = {}
+        if left.sum() > 0.5 * before:
+            break
+    # the rest, largest first, each into the fullest container with room; equal items and containers in runs
+    open_at: dict[int, list[tuple[int, int]]] = {}  # room -> (first container, how many)
     free = 0  # bit s is set if a container has room s
     for k in range(len(sizes) - 1, -1, -1):
         s = int(sizes[k])
-        for _ in range(int(left[k])):
+        while (items := int(left[k])) > 0:
             fitting = free >> s
             if fitting:
                 room = s + (fitting & -fitting).bit_length() - 1
-                at = open_at[room].pop()
+                at, boxes = open_at[room].pop()
                 if not open_at[room]:
                     free &= ~(1 << room)
             else:
                 room, at = capacity, box
-                box += 1
-            runs.append((s, int(used[k]), 1, at, 1))
-            used[k] += 1
-            if room > s:
-                open_at.setdefault(room - s, []).append(at)
-                free |= 1 << (room - s)
+                boxes = -(-items // (capacity // s))
+                box += boxes
+            each = room // s
+            n = min(items, boxes * each)
+            runs.append((s, int(used[k]), n, at, each))
+            used[k] += n
+            left[k] -= n
+            whole, rest = divmod(n, each)
+            for rest_room, first, many in ((room - each * s, at, whole), (room - rest * s, at + whole, int(rest > 0)), (room, at + whole + int(rest > 0), boxes - whole - int(rest > 0))):
+                if rest_room and many:
+                    open_at.setdefault(rest_room, []).append((first, many))
+                    free |= 1 << rest_room
     a = np.array(runs, np.int64).reshape(-1, 5)
     a = a[np.lexsort((a[:, 1], a[:, 0]))]
     return Plan(*a.T, box)

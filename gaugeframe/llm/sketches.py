@@ -89,11 +89,15 @@ def bits(df: DataFrame, items: Callable[[pa.RecordBatch], np.ndarray], size: int
     """A bit set (uint8) of ``size`` bits, a power of 2, with the bit of each hashed item modulo ``size``."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, bool)
+        total = np.zeros(size // 8, np.uint8)
         for b in slices(batches):
-            total[(items(b) % np.uint64(size)).astype(np.int64)] = True
+            at = np.unique(items(b) % U(size)).astype(np.int64)
+            if len(at):
+                byte, bit = at >> 3, np.left_shift(1, at & 7).astype(np.uint8)
+                first = np.flatnonzero(np.r_[True, byte[1:] != byte[:-1]])
+                total[byte[first]] |= np.bitwise_or.reduceat(bit, first)
         if total.any():
-            yield _pieces(np.packbits(total, bitorder="little"))
+            yield _pieces(total)
 
     out = _sum(df.mapInArrow(part, "piece int, data binary"), np.uint8, lambda a, b: a | b)
     return out if len(out) else np.zeros(size // 8, np.uint8)

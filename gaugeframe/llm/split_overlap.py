@@ -120,7 +120,7 @@ def pairs(samples: DataFrame, requests: DataFrame, least: float = 0.7) -> DataFr
         doc, t, v, place, n = ranked(*class_of(b.column(0).to_pylist()), own)
         return t[tiles.prefix(n, place, least) & (v > 0)]
 
-    wanted = spark.sparkContext.broadcast(sketches.bits(text.filter("side <> 1"), asked, sketches.size_for(counted.total // 4)))
+    wanted = spark.sparkContext.broadcast(sketches.bits(text.filter("side <> 1"), asked, sketches.size_for(counted.total // 8)))
 
     def entries(b: pa.RecordBatch) -> tiles.Entries:
         s = sided(b)

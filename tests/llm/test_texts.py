@@ -49,6 +49,37 @@ def test_packing(spark, capacity):
         packing.pack(df, "id", "size", 0)
 
 
+@pytest.mark.parametrize("capacity", [50, 512])
+def test_plan_does_not_grow_with_the_items(capacity):
+    runs = {}
+    for items in (10**6, 10**8, 10**10):
+        rng = np.random.default_rng(5)
+        share = rng.lognormal(3, 1, 4000).astype(int).clip(1, capacity)
+        size, many = np.unique(share, return_counts=True)
+        many = many * (items // 4000)
+        plan = packing.solve(size, many, capacity)
+        assert np.array_equal(np.bincount(plan.size, plan.count, capacity + 1)[size], many)
+        load = 0
+        for x, n, at, each in zip(plan.size, plan.count, plan.container, plan.each):  # loads at the runs' ends are enough here
+            load += x * n
+            assert at + (n - 1) // each < plan.containers
+        assert load == (size * many).sum() and plan.containers <= 1.02 * load / capacity + 2
+        runs[items] = len(plan.size)
+    assert runs[10**10] <= 1.25 * runs[10**8] and runs[10**8] < 3 * packing.COLUMNS * packing.SOLVES
+
+
+def test_loads_of_runs():
+    rng = np.random.default_rng(7)
+    for capacity in (10, 64):
+        size = np.unique(rng.integers(1, capacity + 1, 30))
+        many = rng.integers(0, 200, len(size))
+        plan = packing.solve(size, many, capacity)
+        load = np.zeros(plan.containers, int)
+        for s, first, n, at, each in zip(plan.size, plan.first, plan.count, plan.container, plan.each):
+            np.add.at(load, at + np.arange(n) // each, s)
+        assert load.max(initial=0) <= capacity and load.sum() == (size * many).sum() and (load > 0).all()
+
+
 def test_least_squares():
     a = np.array([[1.0, 0, 2], [0, 3, 1]])
     r, c = np.nonzero(a)
@@ -87,6 +118,18 @@ def test_lookalikes(spark):
     assert lookalikes.pairs(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_many_copies_of_a_form(spark):
+    """10,000 copies of one text and one other spelling: pairs across the two, none among the copies."""
+    df = spark.createDataFrame([(i, "same old text") for i in range(10_000)] + [(20_000, "same old text​")], "doc_id bigint, text string")
+    got = lookalikes.pairs(df, "doc_id", "text")
+    assert got.count() == 10_000 and got.filter("id_b <> 20000").count() == 0
+
+
+def test_rewriting_goes_on_until_nothing_changes():
+    a = lookalikes.automaton({"ab": "b", "xb": "x"})
+    assert lookalikes.rewrite("a" * 50 + "b", a) == "b"
+
+
 def test_forms_are_stable():
     count = np.zeros(0x110000, np.uint32)
     for t in (t for p in LOOKS for t in p):
