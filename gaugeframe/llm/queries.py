@@ -27,6 +27,10 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_overlap.report(_table(spark, sf_dir, "samples"), _table(spark, sf_dir, "analyze_requests"), 0.7)
 
 
+def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_overlap.shares(_table(spark, sf_dir, "samples"), _table(spark, sf_dir, "analyze_requests"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = _table(spark, sf_dir, "samples").select("sample_id", "text", "label")
     return hidden_copies.found(samples, "sample_id", "text", "label").withColumnRenamed("id", "sample_id")
@@ -118,7 +122,7 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p1_report, p2_found, p2_collapsed, p3_found, p3_scores, p3_source_rates, p4_found, p4_groups, p5_found, p5_clusters, p5_members, p6_ids, p6_decoded, p7_packing, p7_fill, p8_found, p8_forms)
+    every = (p1_found, p1_report, p1_shares, p2_found, p2_collapsed, p3_found, p3_scores, p3_source_rates, p4_found, p4_groups, p5_found, p5_clusters, p5_members, p6_ids, p6_decoded, p7_packing, p7_fill, p8_found, p8_forms)
     return {f.__name__: f for f in every}
 
 

@@ -171,15 +171,21 @@ def fractions(samples: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def report(samples: DataFrame, requests: DataFrame, least: float = 0.7) -> DataFrame:
-    """(split, source, records, overlapping, mean_overlap) for the evaluation splits, in normal spelling."""
+def _evaluation_rows(samples: DataFrame, requests: DataFrame) -> DataFrame:
+    """(sample_id, split, source) of the evaluation records, the split in normal spelling."""
     split = F.lower(F.regexp_replace(F.regexp_replace("split", r"\[[^\]]*\]", ""), r"(?U)^\s+|\s+$", "")).alias("split")
-    rows = sides(samples, requests).filter("side = 0").select("sample_id", split, "source")
+    return sides(samples, requests).filter("side = 0").select("sample_id", split, "source")
+
+
+def report(samples: DataFrame, requests: DataFrame, least: float = 0.7) -> DataFrame:
+    """(split, source, records, overlapping): of the evaluation records of each split and source, those with a partner."""
     found = pairs(samples, requests, least).select(F.col("evaluation_id").alias("sample_id")).distinct().withColumn("found", F.lit(1))
-    share = fractions(samples, requests).select("sample_id", "overlap")
-    return (
-        rows.join(found, "sample_id", "left")
-        .join(share, "sample_id", "left")
-        .groupBy("split", "source")
-        .agg(F.count("*").alias("records"), F.count("found").alias("overlapping"), F.avg("overlap").alias("mean_overlap"))
-    )
+    rows = _evaluation_rows(samples, requests).join(found, "sample_id", "left")
+    return rows.groupBy("split", "source").agg(F.count("*").alias("records"), F.count("found").alias("overlapping"))
+
+
+def shares(samples: DataFrame, requests: DataFrame) -> DataFrame:
+    """(split, source, records, mean_overlap, whole): of the evaluation records with enough words of each split and source,
+    the mean share of words in chunks that training records have too, and how many stand there wholly."""
+    rows = _evaluation_rows(samples, requests).join(fractions(samples, requests).select("sample_id", "overlap"), "sample_id")
+    return rows.groupBy("split", "source").agg(F.count("*").alias("records"), F.avg("overlap").alias("mean_overlap"), F.count_if(F.col("overlap") >= 1).alias("whole"))

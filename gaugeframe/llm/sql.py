@@ -19,6 +19,9 @@ def _groups(least: str) -> str:
 SQL = {
     "p1_found": f"""WITH {TRIPLES}, {SIDES} SELECT least(a, b) AS sample_id_a, greatest(a, b) AS sample_id_b
         FROM j JOIN z e ON e.sample_id = a AND e.side = 0 JOIN z t ON t.sample_id = b AND t.side = 1 WHERE 10 * s >= 7 * na""",
+    "p1_report": f"""WITH {TRIPLES}, {SIDES}, f AS (SELECT DISTINCT a FROM j JOIN z e ON e.sample_id = a AND e.side = 0 JOIN z t ON t.sample_id = b AND t.side = 1 WHERE 10 * s >= 7 * na)
+        SELECT {SPLIT.replace('split', 'v.split', 1)} AS split, source, count(*) AS records, count(f.a) AS overlapping FROM samples JOIN v USING (sample_id) JOIN z USING (sample_id) LEFT JOIN f ON f.a = sample_id WHERE side = 0 GROUP BY 1, 2""",
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p4_found": f"WITH {TRIPLES} SELECT a AS sample_id_a, b AS sample_id_b FROM j WHERE a < b AND 2 * s >= na + nb - s",
     "p4_groups": f"""WITH RECURSIVE {TRIPLES}, {_groups('2 * s >= na + nb - s')}, h AS (SELECT sample_id, hash(list_sort(t)) AS h FROM t),
         l AS (SELECT e.a, count(DISTINCT y.h) FILTER (x.h <> y.h) AS links FROM e JOIN h x ON x.sample_id = e.a JOIN h y ON y.sample_id = e.b GROUP BY 1)

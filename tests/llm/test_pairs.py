@@ -140,6 +140,8 @@ def test_split_overlap(spark):
     rep = split_overlap.report(df, asked).collect()
     assert sum(r.records for r in rep) == sum(s == 0 for s in sides.values())
     assert sum(r.overlapping for r in rep) == len({e for e, _ in want})
+    part = split_overlap.shares(df, asked).collect()
+    assert sum(r.records for r in part) == len(share) and sum(r.whole for r in part) == sum(v >= 1 for v in share.values())
     assert split_overlap.pairs(df.limit(0), asked).count() == 0
 
 

@@ -25,6 +25,12 @@ def test_encode_and_decode(spark):
     back = {r.id: r.text for r in encoding.decode(ids, "id", "ids").collect()}
     assert back == {i: t or "" for i, t in enumerate(TEXTS)}
     assert encoding.encode(df.limit(0), "doc_id", "text").count() == 0
+    assert {r.id: list(r.ids) for r in encoding.encode(df, "doc_id", "text", hot=1).collect()} == got  # every word is salted
+    odd = spark.createDataFrame([(1, None), (2, []), (2, []), (3, [17])], "k bigint, ids array<int>")
+    assert sorted((r.id, r.text is None) for r in encoding.decode(odd, "k", "ids").collect()) == [(1, True), (2, False), (2, False), (3, False)]
+    assert encoding.decode(odd.limit(0), "k", "ids").count() == 0
+    with pytest.raises(Exception, match="vocabulary"):
+        encoding.decode(spark.createDataFrame([(1, [10**8])], "k bigint, ids array<int>"), "k", "ids").collect()
 
 
 @pytest.mark.parametrize("capacity", [7, 64, 500])
