@@ -341,7 +341,10 @@ def silhouette_euclid(spark, sf_dir):
     return domain.euclidean_silhouettes(rows, "s_nationkey", "v", "s_suppkey").withColumn("silhouette", F.round("silhouette", 6))
 
 
-@query()
+@query(f"""WITH u AS (SELECT vec_id, label, {UNIT} AS v FROM embeddings WHERE label IS NOT NULL), p AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM u),
+    c AS (SELECT label, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS x FROM p GROUP BY label, i) GROUP BY label), n AS (SELECT label, count(*) AS n FROM u GROUP BY label),
+    d AS (SELECT vec_id, u.label, c.label AS l, 1 - list_dot_product(v, c) AS d FROM u, c), b AS (SELECT vec_id, label, max(CASE WHEN l = label THEN d END) AS own, min(CASE WHEN l <> label THEN d END) AS other FROM d GROUP BY vec_id, label)
+    SELECT round(avg(CASE WHEN n = 1 THEN 0 ELSE (other - own * n / (n - 1)) / greatest(other, own * n / (n - 1)) END), 6) AS silhouette FROM b JOIN n USING (label)""")
 def silhouette_cosine(spark, sf_dir):
     rows = _embedding_rows(spark, sf_dir).withColumn("vector", vx.unit(F.col("vector")))
     return spark.createDataFrame([(round(domain.silhouette(rows, "label", "vector", ROW_ID, cosine=True), 6),)], "silhouette double")
@@ -369,11 +372,34 @@ def score_bands(spark, sf_dir):
     UNION ALL SELECT sample_id, 'no_words' FROM samples WHERE NOT regexp_matches(coalesce(text, ''), '[A-Za-z'']+') UNION ALL SELECT sample_id, 'toxic_text' FROM samples WHERE {TOXIC} >= 0.8)
     SELECT row_id, string_agg(flag, ',' ORDER BY flag) AS flags, CASE WHEN bool_or(flag IN ('empty_text', 'toxic_text', 'possible_leakage')) THEN 'critical' ELSE 'warning' END AS severity FROM f GROUP BY row_id""")
 def row_flags_merged(spark, sf_dir):
-    df = save(rows_of(table(spark, sf_dir, "samples").select("sample_id", "text"), "sample_id"))
-    every = [profile.schema_check(df, "text", None).flags, readability.readability_check(df).flags, toxicity.toxicity_check(df, label_col=None).flags]
+    df = rows_of(table(spark, sf_dir, "samples").select("sample_id", "text"), "sample_id")
+    every = [profile.text_flags(df, "text"), readability.no_words(df, "text"), toxicity.flags(df, "text")]
     return merge_flags(union_flags(every, spark)).select("row_id", F.array_join("flags", ",").alias("flags"), "severity")
 
 
+@query("""SELECT i::BIGINT AS i, round(100 - least(100, 220.0 * i / 200 + 180.0 * (i // 4) / 100), 6) AS missing, round(100 - least(100, 260.0 * i / 300 + 140.0 * (i // 2) / 300), 6) AS duplicates,
+    CASE WHEN i = 0 THEN 60 ELSE round(100 - least(45, 2.8 * (i / 5.0)) - least(30, 300.0 * i / 1000) - least(25, 200.0 * (i // 3) / 1000), 6) END AS labels, round(100 - least(100, 500 * i / 400.0), 6) AS toxicity,
+    round(100 - least(70, 2.5 * i) - CASE WHEN i < 30 THEN least(20, 0.8 * (30 - i)) ELSE 0 END, 6) AS semantic, round(100 - least(100, 25 + 70 * i / 100.0), 6) AS mixing, round(100 - least(100, 30 + 70 * i / 100.0), 6) AS clusters,
+    least(85, greatest(40, i))::DOUBLE AS mixed, CASE WHEN i < 65 THEN 85.0 ELSE 100.0 END AS sure FROM range(101) t(i)""")
+def score_parts(spark, sf_dir):
+    """The parts of the score over a range of metrics."""
+    rows = []
+    for i in range(101):
+        parts = (
+            score.missing_score({"rows": 100, "missing_values_per_column": {"a": i, "b": 0}, "empty_text_rows": i // 4}),
+            score.duplicate_score({"rows": 300, "exact_duplicate_rows": i, "key_duplicate_rows": i // 2}),
+            score.label_score({"rows": 1000, "num_classes": i, "imbalance_ratio": 1 + i / 5, "suspected_mislabeled_samples": i, "outlier_samples": i // 3}),
+            score.toxicity_score({"toxic_fraction": i / 400}),
+            score.semantic_score({"semantic_duplicate_clusters": i}, {"flesch_reading_ease": i}, "text"),
+            score.domain_score({"mixing_flag": True, "cluster_label_entropy": i / 100}),
+            score.domain_score({"mixing_flag": True, "silhouette": i / 100}),
+            score.modality_score({"modality": "mixed", "confidence": i / 100}),
+            score.modality_score({"modality": "text", "confidence": i / 100}),
+        )
+        rows.append((i, *[round(float(p), 6) for p in parts]))
+    return spark.createDataFrame(rows, "i bigint, " + ", ".join(f"{k} double" for k in ("missing", "duplicates", "labels", "toxicity", "semantic", "mixing", "clusters", "mixed", "sure")))
+
+
 def _report(spark: SparkSession, df: DataFrame, label_col: str | None) -> DataFrame:
     r = generate(df, "text", label_col, max_semantic_samples=None).data
     rows = [("overall", float(r["score"]["overall"]), r["score"]["verdict"]), *[(k, float(v), "") for k, v in r["score"]["subscores"].items()], *[(i["code"], float(i.get("count") or 0), i["severity"]) for i in r["issues"]]]
