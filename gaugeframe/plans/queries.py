@@ -79,9 +79,28 @@ def column_text_profile(spark, sf_dir):
 
 
 MODALITIES = ("documents", "samples", "listings", "lineitem", "orders", "customer", "part", "events")
-
-
-@query()
+#: for the SQL: columns, numeric ones and text ones of each table
+SHAPES = {
+    "documents": (8, 2, ("text", "lang", "source", "doc_kind", "dataset")),
+    "samples": (11, 3, ("dataset", "subset", "split", "text", "label", "source")),
+    "listings": (9, 5, ("city", "locality", "text")),
+    "lineitem": (11, 8, ("l_returnflag", "l_linestatus")),
+    "orders": (6, 3, ("o_orderstatus", "o_orderpriority")),
+    "customer": (5, 3, ("c_name", "c_mktsegment")),
+    "part": (6, 3, ("p_name", "p_brand", "p_type")),
+    "events": (6, 3, ("event_type", "props")),
+}
+PROFILES = " UNION ALL ".join(
+    f"SELECT '{t}' AS name, {n} AS cols, {k} / {n} AS ratio, {len(texts)} AS texts, '{c}' AS dominant, {i} AS o, avg(len(s)) AS l, avg(CASE WHEN regexp_matches(s, '{SPACE}') THEN 1 ELSE 0 END) AS sp, avg(CASE WHEN len(s) > 0 THEN 1 ELSE 0 END) AS f FROM (SELECT {STRIP.format(c)} AS s FROM {t})"
+    for t, (n, k, texts) in SHAPES.items()
+    for i, c in enumerate(texts)
+)
+
+
+@query(f"""WITH p AS ({PROFILES}), d AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY dominant <> 'text', -(l + 20 * sp + 10 * f), o) AS n FROM p),
+    k AS (SELECT *, CASE WHEN (cols >= 6 AND ratio >= 0.5 AND texts >= 3) OR (ratio > 0.5 AND l < 30) OR ratio >= 0.7 THEN 'tabular' WHEN l >= 30 AND sp >= 0.4 AND ratio < 0.45 THEN 'text' ELSE 'mixed' END AS modality FROM d WHERE n = 1)
+    SELECT name, modality, round(CASE modality WHEN 'tabular' THEN least(0.98, 0.55 + least(0.35, greatest(0, ratio - 0.5)) + CASE WHEN l < 15 THEN 0.08 ELSE 0 END) WHEN 'text' THEN 0.8 + CASE WHEN l > 80 THEN 0.1 ELSE 0 END ELSE 0.6 END, 3)::DOUBLE AS confidence,
+    round(ratio, 6) AS numeric_ratio, dominant FROM k""")
 def modality_details(spark, sf_dir):
     rows = []
     for name in MODALITIES:
@@ -187,7 +206,19 @@ def key_column_ratios(spark, sf_dir):
     return duplicates.distinct_ratios(df, df.columns).withColumn("ratio", F.round("ratio", 6))
 
 
-@query()
+CHOICE = {
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+}
+RATIOS = " UNION ALL ".join(f"SELECT '{t}' AS name, '{c}' AS c, {i} AS o, (count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)) / count(*) AS ratio FROM {t}" for t, cs in CHOICE.items() for i, c in enumerate(cs.split()))
+
+
+@query(f"""WITH r AS ({RATIOS}), k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ratio >= 0.9, ratio, o) - 1 AS place, count(*) FILTER (ratio < 0.9) OVER (PARTITION BY name) AS few FROM r)
+    SELECT name, place::INTEGER AS place, c AS column FROM k WHERE few >= 2 AND ratio < 0.9 AND place < 4 UNION ALL SELECT name, o, c FROM k WHERE few < 2 AND o < 4
+    UNION ALL SELECT * FROM (VALUES ('listings', 0, 'city'), ('listings', 1, 'locality'), ('listings', 2, 'area'), ('listings', 3, 'rent'))""")
 def chosen_keys(spark, sf_dir):
     rows = [(name, i, c) for name in ("listings", "lineitem", "orders", "customer", "part", "supplier") for i, c in enumerate(duplicates.choose_keys(table(spark, sf_dir, name)))]
     return spark.createDataFrame(rows, "name string, place int, column string")
@@ -377,10 +408,10 @@ def row_flags_merged(spark, sf_dir):
     return merge_flags(union_flags(every, spark)).select("row_id", F.array_join("flags", ",").alias("flags"), "severity")
 
 
-@query("""SELECT i::BIGINT AS i, round(100 - least(100, 220.0 * i / 200 + 180.0 * (i // 4) / 100), 6) AS missing, round(100 - least(100, 260.0 * i / 300 + 140.0 * (i // 2) / 300), 6) AS duplicates,
+@query("""SELECT i::BIGINT AS i, COLUMNS(* EXCLUDE i)::DOUBLE FROM (SELECT i, round(100 - least(100, 220.0 * i / 200 + 180.0 * (i // 4) / 100), 6) AS missing, round(100 - least(100, 260.0 * i / 300 + 140.0 * (i // 2) / 300), 6) AS duplicates,
     CASE WHEN i = 0 THEN 60 ELSE round(100 - least(45, 2.8 * (i / 5.0)) - least(30, 300.0 * i / 1000) - least(25, 200.0 * (i // 3) / 1000), 6) END AS labels, round(100 - least(100, 500 * i / 400.0), 6) AS toxicity,
     round(100 - least(70, 2.5 * i) - CASE WHEN i < 30 THEN least(20, 0.8 * (30 - i)) ELSE 0 END, 6) AS semantic, round(100 - least(100, 25 + 70 * i / 100.0), 6) AS mixing, round(100 - least(100, 30 + 70 * i / 100.0), 6) AS clusters,
-    least(85, greatest(40, i))::DOUBLE AS mixed, CASE WHEN i < 65 THEN 85.0 ELSE 100.0 END AS sure FROM range(101) t(i)""")
+    least(85, greatest(40, i)) AS mixed, CASE WHEN i < 65 THEN 85 ELSE 100 END AS sure FROM range(101) t(i))""")
 def score_parts(spark, sf_dir):
     """The parts of the score over a range of metrics."""
     rows = []

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,13 +30,33 @@ def folder(spark: SparkSession) -> str:
     return _own[app]
 
 
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Actions inside give up their shuffle files as soon as they have ended, not when the driver's garbage is collected:
+    what they made is written or on the driver, and nothing reads those files again. The session's setting stays."""
+    try:
+        was = spark.conf.get(FREE)
+    except Exception:  # a version of Spark without the setting
+        yield
+        return
+    spark.conf.set(FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE, was)
+
+
 class Saved:
     """A written intermediate table; ``drop`` deletes it when no later plan reads it."""
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
         self.path = f"{folder(self.spark)}/gaugeframe/{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        with freed(self.spark):
+            df.write.parquet(self.path)
         self.schema = df.schema
 
     @property

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from gaugeframe.__main__ import main
 from gaugeframe.operators.prepare import prepare, with_row_id
@@ -70,3 +71,43 @@ def test_command_line(spark, tmp_path):
     out = tmp_path / "deep" / "report.json"
     main(["--csv", str(p), "--out", str(out)])
     assert json.loads(out.read_text())["report_version"] == 1
+
+
+def test_saved_tables_leave_no_shuffle_files(spark):
+    from gaugeframe.sources import scratch
+
+    was = spark.conf.get(scratch.FREE)
+    spark.conf.set(scratch.FREE, "false")
+    try:
+        df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+        assert scratch.save(df).count() == 7 and spark.conf.get(scratch.FREE) == "false"
+    finally:
+        spark.conf.set(scratch.FREE, was)
+
+
+def test_splits_are_found_or_refused(spark, tmp_path):
+    for name in ("train", "test"):
+        spark.createDataFrame([(name, "x")], "text string, label string").write.parquet(f"file://{tmp_path}/de/{name}")
+    at = f"file://{tmp_path}"
+    assert readers.load_dataset(spark, at, "test", "de").df.first().text == "test"
+    assert readers.load_dataset(spark, f"{at}/de/train").df.first().text == "train"
+    for split, subset in (("dev", "de"), ("train", "fr")):
+        with pytest.raises(ValueError, match="there is no"):
+            readers.load_dataset(spark, at, split, subset)
+    df = spark.createDataFrame([("a", "b")], "text string, label string")
+    assert readers.load_dataset(spark, df).df.count() == 1
+    with pytest.raises(ValueError):
+        readers.load_dataset(spark, df, "test")
+
+
+def test_medians_by_brackets(spark):
+    import numpy as np
+
+    from gaugeframe.operators.domain import medians
+
+    rng = np.random.default_rng(4)
+    x, y = rng.standard_normal(5001).tolist(), rng.integers(0, 5, 5000).astype(float).tolist() + [None]
+    df = spark.createDataFrame([(float(a), b, None) for a, b in zip(x, y)], "x double, y double, z double").repartition(3)
+    want = {"x": float(np.median(x)), "y": float(np.median(y[:-1])), "z": 0.0}
+    assert medians(df, ["x", "y", "z"]) == want == medians(df, ["x", "y", "z"], most=20)
+    assert medians(df.limit(0), ["x"]) == {"x": 0.0}
