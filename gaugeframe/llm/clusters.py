@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import tiles
-from gaugeframe.llm.classes import class_of, first_of_each, members, rarity, sets_of, verified
+from gaugeframe.llm.classes import class_of, first_of_each, members, of_first, rarity, verified
 from gaugeframe.llm.graph import components
 from gaugeframe.llm.shingles import U, mix, slices, triples, words
 from gaugeframe.sources.scratch import Saved, save
@@ -135,33 +135,30 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 MATCHES = 4  # keys in common that ``across`` asks for, or all that a pair needs
 
 
-def across(df: DataFrame, text_col: str, roots: DataFrame, least: float, matches: int = MATCHES) -> DataFrame:
+def across(df: DataFrame, text_col: str, roots: DataFrame, least: float, classes: DataFrame, matches: int = MATCHES) -> DataFrame:
     """(a, b): every pair of classes of different roots with a Jaccard similarity of at least ``least``.
 
-    roots: (node, root); a class without one is its own root. The prefix filter of problem 4 loses no pair, and pairs of
+    roots: (node, root); a class without one is its own root; classes: (cls), each once. The prefix filter of problem 4 loses no pair, and pairs of
     one root, which can tell nothing new, are never formed. At low similarities most pairs of a list meet by chance in one
     key; prefixes are longer by ``matches - 1`` keys here, so that a pair must have so many in common."""
     texts = df.select(F.col(text_col).cast("string").alias("text"))
     counted = rarity(texts)
     level = df.sparkSession.sparkContext.broadcast(counted)
-    every = sets_of(texts, "text", np.full(1, 255, np.uint8)).groupBy("cls").agg(F.first("data").alias("data"))
-    sets = every.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "data")
 
     def entries(b: pa.RecordBatch) -> tiles.Entries:
-        cls, root = (b.column(k).to_numpy().view(U) for k in (0, 1))
-        t, n = tiles.unpack(b.column(2))
-        doc = np.repeat(np.arange(len(n)), n)
+        doc, t, cls = class_of(b.column(0).to_pylist())
+        doc, t = of_first(doc, t, cls)
+        n = np.bincount(doc, minlength=len(cls))
         v = level.value.of(t)
         order, place = tiles.rarest(doc, t, v)
         doc, t, v = doc[order], t[order], v[order]
         keep = tiles.prefix(n[doc], place, least, matches) & (v > 0)
         doc, t, v, place = doc[keep], t[keep], v[keep], place[keep]
-        return tiles.Entries(cls[doc], t, n[doc], tiles.similar_reach(n[doc], place, least, matches), level.value.often(v), root[doc])
+        return tiles.Entries(cls[doc], t, n[doc], tiles.similar_reach(n[doc], place, least, matches), level.value.often(v))
 
     buckets = tiles.buckets_for(counted.total)
-    blobs = tiles.emit(sets, entries, buckets)
-    found = Saved(tiles.compare_apart(blobs, least, matches, 2 * buckets))
-    return _links(df, text_col, found.df, least)
+    found = tiles.compare_apart(tiles.packed(texts, entries, buckets), tiles.packed_roots(texts, entries, buckets, roots), buckets, least, matches, classes)
+    return _links(df, text_col, Saved(found).df, least)
 
 
 def _links(df: DataFrame, text_col: str, pairs: DataFrame, least: float) -> DataFrame:
@@ -173,8 +170,8 @@ def linked(df: DataFrame, id_col: str, text_col: str, least: float = 0.2, smalle
     m = Saved(members(df, id_col, text_col).select("id", "cls").distinct()).df
     found = Saved(candidates(df, text_col))
     edges = save(_links(df, text_col, found.df, least))
-    roots = components(edges)
-    rest = save(across(df, text_col, roots, least))
+    roots = save(components(edges))
+    rest = save(across(df, text_col, roots, least, m.select("cls").distinct()))
     roots = components(edges.union(rest))
     rows = Saved(m.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("id", F.coalesce("root", "cls").alias("root"))).df
     size = rows.groupBy("root").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).filter(F.col("n") >= smallest)

@@ -37,6 +37,7 @@ LOOKALIKES = (
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ABEZHIKMNOPTYXCJ"),  # Greek capitals
     ("οϲϳν", "ocjv"),  # Greek small letters
     ("ՕՍօսհց", "OUouhg"),  # Armenian
+    ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"),  # Cherokee
     ("ɑɡ", "ag"),  # letters of phonetic script
     ("‐‑", "--"),  # hyphens
 )
@@ -88,8 +89,25 @@ def same_form(c: str) -> str:
     return c
 
 
-def rewrites(count: np.ndarray) -> dict[str, str]:
-    """String -> representative, for what the corpus may hold. count: occurrences by code point, of the whole corpus."""
+def confusables(path: str) -> list[tuple[str, str]]:
+    """Look-alike letters from a public table (lines ``code points ; code points ; kind # comment``, in hexadecimal): pairs
+    of single letters of the same case and of different scripts; digits, signs and strings in it are left out."""
+    out = []
+    with open(path, encoding="utf-8-sig") as lines:
+        for line in lines:
+            parts = [x.split() for x in line.split("#")[0].split(";")]
+            if len(parts) < 2 or len(parts[0]) != 1 or len(parts[1]) != 1:
+                continue
+            x, y = (chr(int(p[0], 16)) for p in parts[:2])
+            kinds, scripts = ([f(c) for c in (x, y)] for f in (unicodedata.category, lambda c: unicodedata.name(c, "").split(" ")[0]))
+            if kinds[0] == kinds[1] and kinds[0][0] == "L" and all(scripts) and scripts[0] != scripts[1]:
+                out.append((x, y))
+    return out
+
+
+def rewrites(count: np.ndarray, more: list[tuple[str, str]] | None = None) -> dict[str, str]:
+    """String -> representative, for what the corpus may hold. count: occurrences by code point, of the whole corpus; more:
+    further look-alike letters (``confusables``)."""
     seen = {chr(i) for i in np.flatnonzero(count) if not 0xD800 <= i < 0xE000}
     classes = Classes()
     for c in seen:
@@ -99,6 +117,9 @@ def rewrites(count: np.ndarray) -> dict[str, str]:
         for x, y in zip(other, latin):
             if x in seen:
                 classes.tie(x, y)
+    for x, y in more or ():
+        if x in seen or y in seen:
+            classes.tie(x, y)
     singles = {x: [m for m in ms if len(m) == 1] for ms in classes.members().values() for x in ms if len(x) == 1}
     # letters with marks: all spellings by look-alike letters and marks are one class
     marks = {c for c in seen if unicodedata.combining(c)}
@@ -177,13 +198,15 @@ def rewrite(text: str, a) -> str:
         text = now
 
 
-def rules_for(df: DataFrame, text_col: str) -> dict[str, str]:
+def rules_for(df: DataFrame, text_col: str, table: str | None = None) -> dict[str, str]:
+    """The rewrites for a corpus. table: the path of a public table of look-alike characters (see ``confusables``)."""
+
     def points(b: pa.RecordBatch) -> np.ndarray:
         text = "".join(unicodedata.normalize("NFC", t) + t for t in b.column(0).to_pylist() if t)
         return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
 
     count = sketches.counts(df.select(F.col(text_col).cast("string")), points, 0x110000)
-    return rewrites(count) if len(count) else {}
+    return rewrites(count, confusables(table) if table else None) if len(count) else {}
 
 
 def canonical(df: DataFrame, id_col: str, text_col: str, rules: dict[str, str] | None = None) -> DataFrame:

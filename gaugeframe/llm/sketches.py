@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.llm.shingles import U, slices
+from gaugeframe.sources.scratch import freed
 
 COUNTERS = 1 << 20
 PIECES = 16
@@ -78,7 +79,8 @@ def levels(df: DataFrame, items: Callable[[pa.RecordBatch], np.ndarray], expecte
             level = np.minimum(255, np.ceil(8 * np.log2(np.maximum(x, 1))))
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.astype(np.uint8).tobytes()], pa.binary()), pa.array([int(x.sum())], pa.int64())], ["piece", "data", "total"])
 
-    rows = df.mapInArrow(part, "piece int, data binary").repartitionById(min(ranges, 64), F.col("piece") % min(ranges, 64)).mapInArrow(fold, "piece int, data binary, total bigint").collect()
+    with freed(df.sparkSession):
+        rows = df.mapInArrow(part, "piece int, data binary").repartitionById(min(ranges, 64), F.col("piece") % min(ranges, 64)).mapInArrow(fold, "piece int, data binary, total bigint").collect()
     out = np.zeros(size, np.uint8)
     for r in rows:
         out[r.piece << 16 : (r.piece + 1) << 16] = np.frombuffer(r.data, np.uint8)
@@ -126,5 +128,6 @@ def _sum(df: DataFrame, kind: type, add: Callable) -> np.ndarray:
                 got[k] = add(got[k], a) if k in got else a
         yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int32()), pa.array([v.tobytes() for v in got.values()], pa.binary())], ["piece", "data"])
 
-    rows = df.repartitionById(PIECES, F.col("piece")).mapInArrow(fold, "piece int, data binary").collect()
+    with freed(df.sparkSession):
+        rows = df.repartitionById(PIECES, F.col("piece")).mapInArrow(fold, "piece int, data binary").collect()
     return np.concatenate([np.frombuffer(r.data, kind) for r in sorted(rows, key=lambda r: r.piece)]) if rows else np.zeros(0, kind)

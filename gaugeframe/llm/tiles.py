@@ -30,7 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeframe.llm import sketches
 from gaugeframe.llm.shingles import U, mix, slices
+from gaugeframe.sources.scratch import Saved
 
 BITS = 256  # of a folded bit vector
 TILE = 1 << 20  # pairs compared at once
@@ -41,15 +43,14 @@ MOST = (1 << 16) - 1  # of population counts and reaches that are stored; larger
 
 
 class Entries(NamedTuple):
-    """Of a batch, by entry: class (uint64; its lowest bit is the side, 0 or 1), key, population count, reach, estimated
-    occurrences of the key in all rows, and perhaps a root (uint64; ``compare`` with ``apart`` wants no pair of one root)."""
+    """Of a batch, by entry: class (uint64; its lowest bit is the side, 0 or 1), key, population count, reach, and estimated
+    occurrences of the key in all rows."""
 
     cls: np.ndarray
     key: np.ndarray
     n: np.ndarray
     reach: np.ndarray
     often: np.ndarray
-    root: np.ndarray | None = None
 
 
 def folded(doc: np.ndarray, items: np.ndarray, docs: int) -> np.ndarray:
@@ -89,25 +90,47 @@ def _celled(e: Entries) -> Entries:
         return e
     part = (mix(e.cls & ~U(1)) % grid.astype(U)).astype(np.int64)
     q = np.arange(grid.sum()) - np.repeat(np.cumsum(grid) - grid, grid)
-    e = Entries(*(None if x is None else np.repeat(x, grid) for x in e))
+    e = Entries(*(np.repeat(x, grid) for x in e))
     p, g = np.repeat(part, grid), np.repeat(grid, grid)
     cell = mix(e.key + (np.minimum(p, q) * g + np.maximum(p, q)).astype(U) * U(0x9E3779B97F4A7C15)) >> U(16)
     return e._replace(key=np.where(g > 1, cell, e.key))
 
 
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key >> U(16)) % U(buckets)).astype(np.uint32)
+
+
+def _blobs(to: np.ndarray, parts: list[np.ndarray]) -> pa.RecordBatch:
+    """(bucket, blob): of the rows of parts that go to a bucket, the columns one after another."""
+    order = np.argsort(to.astype(np.uint16) if to.max(initial=0) < 1 << 16 else to, kind="stable")
+    to, parts = to[order], [x[order] for x in parts]
+    edge = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
+    rows = [b"".join(x[i:j].tobytes() for x in parts) for i, j in zip(edge[:-1], edge[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(to[edge[:-1]].astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "blob"])
+
+
+def _columns(blobs: list[pa.Buffer], kinds: list[type]) -> list[np.ndarray]:
+    wide = sum(np.dtype(k).itemsize for k in kinds)
+    out: list[list[np.ndarray]] = [[] for _ in kinds]
+    for buf in blobs:
+        m, at = len(buf) // wide, 0
+        for into, kind in zip(out, kinds):
+            into.append(np.frombuffer(buf, kind, m, at))
+            at += m * np.dtype(kind).itemsize
+    return [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(out, kinds)]
+
+
 def emit(df: DataFrame, of: Callable[[pa.RecordBatch], Entries], buckets: int) -> DataFrame:
     """(bucket int, blob binary): the entries of the batches of df by bucket of their key."""
+    return packed(df, of, buckets).repartitionById(buckets, F.col("bucket"))
+
+
+def packed(df: DataFrame, of: Callable[[pa.RecordBatch], Entries], buckets: int) -> DataFrame:
+    """``emit`` before the shuffle."""
 
     def blobs(held: list[Entries]) -> pa.RecordBatch:
-        e = Entries(*(None if x[0] is None else np.concatenate(x) for x in zip(*held)))
-        bucket = ((e.key >> U(16)) % U(buckets)).astype(np.uint32)
-        order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
-        bucket = bucket[order]
-        edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-        cut = lambda x, kind: np.minimum(x, MOST).astype(kind)[order]
-        parts = [e.cls[order], *([] if e.root is None else [e.root[order]]), (mix(e.key) >> U(32)).astype(np.uint32)[order], cut(e.n, np.uint16), cut(e.reach, np.uint16)]
-        rows = [b"".join(x[i:j].tobytes() for x in parts) for i, j in zip(edge[:-1], edge[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]].astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "blob"])
+        e = Entries(*map(np.concatenate, zip(*held)))
+        return _blobs(_bucket(e.key, buckets), [e.cls, (mix(e.key) >> U(32)).astype(np.uint32), *(np.minimum(x, MOST).astype(np.uint16) for x in (e.n, e.reach))])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -122,29 +145,47 @@ def emit(df: DataFrame, of: Callable[[pa.RecordBatch], Entries], buckets: int) -
         if held:
             yield blobs(held)
 
-    return df.mapInArrow(part, "bucket int, blob binary").repartitionById(buckets, F.col("bucket"))
-
-
-def _load(batches: Iterator[pa.RecordBatch], apart: bool) -> list[np.ndarray] | None:
-    """cls, key and n in one number, reach, root: ordered by key, side (of a class), n and class, each entry once."""
-    cls, root, key, n, reach = [], [], [], [], []
-    for b in batches:
-        for x in b.column(1):
-            buf = x.as_buffer()
-            m = len(buf) // (24 if apart else 16)
-            at = 0
-            for into, kind in ((cls, U), *(((root, U),) if apart else ()), (key, np.uint32), (n, np.uint16), (reach, np.uint16)):
-                into.append(np.frombuffer(buf, kind, m, at))
-                at += m * np.dtype(kind).itemsize
-    if not cls:
-        return None
-    c = np.concatenate(cls)
-    both = (np.concatenate(key).astype(U) << U(17)) | ((c & U(1)) << U(16)) | np.concatenate(n).astype(U)
+    return df.mapInArrow(part, "bucket int, blob binary")
+
+
+def packed_roots(df: DataFrame, of: Callable[[pa.RecordBatch], Entries], buckets: int, roots: DataFrame) -> DataFrame:
+    """(bucket int, blob binary): of roots (node, root), each one in all buckets where its class has entries."""
+    n = roots.count()
+    bits = sketches.bits(roots.select("node"), lambda b: b.column(0).to_numpy().view(U) * U(0x9E3779B97F4A7C15) >> U(20), sketches.size_for(n))
+    known = df.sparkSession.sparkContext.broadcast(bits)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            e = _celled(of(b))
+            some = sketches.has(known.value, e.cls * U(0x9E3779B97F4A7C15) >> U(20))
+            cls, bucket = e.cls[some], _bucket(e.key[some], buckets)
+            order = np.lexsort((bucket, cls))
+            cls, bucket = cls[order], bucket[order]
+            new = np.r_[True, cls[1:] != cls[:-1]] if len(cls) else np.zeros(0, bool)
+            fresh = new | np.r_[True, bucket[1:] != bucket[:-1]] if len(cls) else new
+            cls, bucket, new = cls[fresh], bucket[fresh], new[fresh]
+            edge = np.r_[np.flatnonzero(new), len(cls)]
+            yield pa.RecordBatch.from_arrays([pa.array(cls[edge[:-1]].view(np.int64)), pa.array([bucket[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])], pa.binary())], ["node", "places"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                places = [np.frombuffer(x.as_buffer(), np.uint32) for x in b.column(2)]
+                size = np.array(list(map(len, places)))
+                yield _blobs(np.concatenate(places), [np.repeat(b.column(k).to_numpy().view(U), size) for k in (0, 1)])
+
+    at = df.mapInArrow(places, "node bigint, places binary").groupBy("node").agg(F.first("places").alias("places"))  # copies have the same ones
+    return roots.join(at, "node").select("node", "root", "places").mapInArrow(spread, "bucket int, blob binary")
+
+
+def _load(blobs: list[pa.Buffer]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """cls; key, side (of a class) and n in one number; reach: ordered by that number and the class, each entry once."""
+    c, key, n, reach = _columns(blobs, [U, np.uint32, np.uint16, np.uint16])
+    both = (key.astype(U) << U(17)) | ((c & U(1)) << U(16)) | n.astype(U)
     order = np.lexsort((c, both))
     c, both = c[order], both[order]
     fresh = np.r_[True, (c[1:] != c[:-1]) | (both[1:] != both[:-1])]
-    order, c, both = order[fresh], c[fresh], both[fresh]
-    return [c, both, np.concatenate(reach)[order], np.concatenate(root)[order] if apart else None]
+    return c[fresh], both[fresh], reach[order[fresh]]
 
 
 def _tiles(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -161,13 +202,21 @@ def _tiles(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndar
         i = max(j, i + 1)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], contained: bool, apart: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, population counts of both together) of the entries of a bucket that lie within each other's reach."""
-    if (got := _load(batches, apart)) is None:
+def _pairs(blobs: list[pa.Buffer], contained: bool, roots: list[pa.Buffer] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, population counts of both together) of the entries of a bucket that lie within each other's reach; with
+    roots, of those of different roots only."""
+    if not blobs:
         return
-    cls, both, reach, root = got
+    cls, both, reach = _load(blobs)
     n = (both & U(MOST)).astype(np.uint16)
     key = both >> U(17) << U(17)
+    root = None
+    if roots is not None:
+        node, of = _columns(roots, [U, U])
+        order = np.argsort(node)
+        node, of = node[order], of[order]
+        at = np.minimum(np.searchsorted(node, cls), max(0, len(node) - 1))
+        root = np.where(node[at] == cls, of[at], cls) if len(node) else cls
     if contained:  # an entry of side 0 against those of side 1 with so many triples at least
         lo = np.where(cls & U(1), 0, np.searchsorted(both, key | U(1 << 16) | reach.astype(U), side="left"))
         hi = np.where(cls & U(1), 0, np.searchsorted(both, key | U((1 << 17) - 1), side="right"))
@@ -177,7 +226,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], contained: bool, apart: bool) -> I
     for i, j in _tiles(lo, hi):
         ok = reach.take(j) >= n.take(i)
         i, j = i[ok], j[ok]
-        if apart:
+        if root is not None:
             ok = root.take(i) != root.take(j)
             i, j = i[ok], j[ok]
         if len(i):
@@ -194,56 +243,80 @@ def compare(blobs: DataFrame, contained: bool = False) -> DataFrame:
     least population count of a partner, that of b the largest."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b, _ in _pairs(batches, contained, False):
+        for a, b, _ in _pairs([x.as_buffer() for batch in batches for x in batch.column(1)], contained):
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], ["a", "b"])
 
     return blobs.mapInArrow(part, "a bigint, b bigint")
 
 
-def compare_apart(blobs: DataFrame, least: float, matches: int, parts: int) -> DataFrame:
-    """(a bigint, b bigint): classes of different roots that lie within reach of each other at ``matches`` keys, or at as
-    many as their similarity of ``least`` needs if those are fewer; each pair once. Pairs are counted in ``parts`` tasks."""
+SHORT = (1 << 40) - 1  # the part of a class that is sent for the second one of a pair
+
 
-    def blob(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
-        to = (mix(a + b) % U(parts)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        to, a, b, weight = to[order], a[order], b[order], weight[order]
+def compare_apart(entries: DataFrame, roots: DataFrame, buckets: int, least: float, matches: int, classes: DataFrame) -> DataFrame:
+    """(a bigint, b bigint): classes of different roots that lie within reach of each other at ``matches`` keys, or at as
+    many as their similarity of ``least`` needs if those are fewer; each pair once, and perhaps a few more pairs.
+
+    entries, roots: ``packed`` and ``packed_roots`` (a class without a root is its own); classes: (cls), each once. To count
+    its keys a pair is sent as one class with 40 bits of each partner, 6 bytes or so, which are looked up in classes
+    afterwards."""
+
+    def blob(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((a, mix(a) % U(parts)))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+        size = np.diff(np.r_[first, len(a)])
+        short = np.ascontiguousarray(b & U(SHORT)).view(np.uint8).reshape(-1, 8)[:, :5]
+        to = (mix(a[first]) % U(parts)).astype(np.int64)
         edge = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
-        rows = [a[i:j].tobytes() + b[i:j].tobytes() + weight[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])]
+        ends = np.r_[first, len(a)]
+        rows = [np.uint64(j - i).tobytes() + a[first[i:j]].tobytes() + size[i:j].astype(np.uint32).tobytes() + short[ends[i] : ends[j]].tobytes() for i, j in zip(edge[:-1], edge[1:])]
         return pa.RecordBatch.from_arrays([pa.array(to[edge[:-1]].astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "blob"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every: tuple[list, list] = ([], [])
+        for batch in batches:
+            for is_root, x in zip(batch.column(1).to_pylist(), batch.column(2)):
+                every[is_root].append(x.as_buffer())
         held, size = [], 0
-        for a, b, n in _pairs(batches, False, True):
+        for a, b, n in _pairs(every[0], False, every[1]):
             # what needs fewer matches is counted as if it had them all
-            held.append((a, b, np.where(np.ceil(n * (least / (1 + least)) - 1e-6) < matches, matches, 1).astype(np.uint8)))
-            size += len(a)
-            if size >= HELD:
-                yield blob(*(np.concatenate(x) for x in zip(*held)))
+            times = np.where(np.ceil(n * (least / (1 + least)) - 1e-6) < matches, matches, 1)
+            held.append((np.repeat(a, times), np.repeat(b, times)) if (times > 1).any() else (a, b))
+            size += len(held[-1][0])
+            if size >= 4 * HELD:
+                yield blob(*map(np.concatenate, zip(*held)))
                 held, size = [], 0
         if held:
-            yield blob(*(np.concatenate(x) for x in zip(*held)))
+            yield blob(*map(np.concatenate, zip(*held)))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = []
+        left, right = [], []
         for batch in batches:
             for x in batch.column(1):
                 buf = x.as_buffer()
-                m = len(buf) // 17
-                got.append((np.frombuffer(buf, U, m), np.frombuffer(buf, U, m, 8 * m), np.frombuffer(buf, np.uint8, m, 16 * m)))
-        if not got:
+                k = int(np.frombuffer(buf, U, 1)[0])
+                left.append(np.repeat(np.frombuffer(buf, U, k, 8), np.frombuffer(buf, np.uint32, k, 8 + 8 * k)))
+                short = np.zeros((len(left[-1]), 8), np.uint8)
+                short[:, :5] = np.frombuffer(buf, np.uint8, 5 * len(short), 8 + 12 * k).reshape(-1, 5)
+                right.append(short.view(U).ravel())
+        if not left:
             return
-        a, b, weight = (np.concatenate(x) for x in zip(*got))
-        del got
+        a, b = np.concatenate(left), np.concatenate(right)
+        del left, right
         pair = mix(a * U(0x9E3779B97F4A7C15) + b)
-        order = np.argsort(pair)
-        at = np.flatnonzero(np.r_[True, pair[order[1:]] != pair[order[:-1]]])
-        enough = np.add.reduceat(weight[order], at, dtype=np.int64) >= matches
-        first = order[at[enough]]
-        yield from (pa.RecordBatch.from_arrays([pa.array(x[first[k : k + 100_000]].view(np.int64)) for x in (a, b)], ["a", "b"]) for k in range(0, len(first), 100_000))
-
-    pairs = blobs.mapInArrow(found, "bucket int, blob binary").repartitionById(parts, F.col("bucket"))
-    return pairs.mapInArrow(counted, "a bigint, b bigint")
+        ordered = np.sort(pair)
+        often = np.unique(ordered[: len(ordered) - matches + 1][ordered[matches - 1 :] == ordered[: len(ordered) - matches + 1]]) if len(ordered) >= matches else ordered[:0]
+        del ordered
+        at = np.searchsorted(often, pair)
+        hit = np.flatnonzero(often[np.minimum(at, len(often) - 1)] == pair) if len(often) else np.zeros(0, np.int64)
+        hit = hit[np.unique(pair[hit], return_index=True)[1]]
+        yield from (pa.RecordBatch.from_arrays([pa.array(x[hit[k : k + 100_000]].view(np.int64)) for x in (a, b)], ["a", "short"]) for k in range(0, len(hit), 100_000))
+
+    parts = 2 * buckets
+    both = entries.withColumn("is_root", F.lit(0)).unionByName(roots.withColumn("is_root", F.lit(1))).select("bucket", "is_root", "blob")
+    pairs = both.repartitionById(buckets, F.col("bucket")).mapInArrow(found, "bucket int, blob binary").repartitionById(parts, F.col("bucket"))
+    short = Saved(pairs.mapInArrow(counted, "a bigint, short bigint")).df
+    return short.join(classes.select(F.col("cls").alias("b"), F.col("cls").bitwiseAND(F.lit(SHORT)).alias("short")), "short").select("a", "b").filter("a <> b")
 
 
 def alike(pairs: DataFrame, folds: DataFrame, least: float, contained: bool = False) -> DataFrame:

@@ -131,6 +131,15 @@ def test_many_copies_of_a_form(spark):
     assert got.count() == 10_000 and got.filter("id_b <> 20000").count() == 0
 
 
+def test_public_table_of_lookalikes(tmp_path):
+    at = tmp_path / "confusables.txt"
+    at.write_text("\ufeff# a table\n03C1 ;\t0070 ;\tMA\t# rho, p\n0031 ;\t006C ;\tMA\n0072 006E ; 006D ; MA\n0391 ; 0061 ; MA\n", encoding="utf-8")
+    assert lookalikes.confusables(str(at)) == [("\u03c1", "p")]  # no digits, strings or letters of another case
+    count = np.zeros(0x110000, np.uint64)
+    count[[0x3C1, ord("p")]] = 1, 9
+    assert lookalikes.rewrites(count, lookalikes.confusables(str(at)))["\u03c1"] == "p" and "\u03c1" not in lookalikes.rewrites(count)
+
+
 def test_rewriting_goes_on_until_nothing_changes():
     a = lookalikes.automaton({"ab": "b", "xb": "x"})
     assert lookalikes.rewrite("a" * 50 + "b", a) == "b"
