@@ -15,13 +15,16 @@ def test_names():
 
 
 def test_csv_roles(spark, tmp_path):
-    p = tmp_path / "a.csv"
-    p.write_text('Text,Category,n\n"hello, ""you""\nthere",x,1\nworld,y,NA\n')
+    p = tmp_path / "calls.csv"
+    p.write_text('minutes,Review,Sentiment\n7,"the line was ""busy"",\nthen dead",bad\nNA,quick help,good\n')
     got = readers.load_csv(spark, str(p))
     assert (got.text_col, got.label_col) == ("text", "label")
-    assert got.meta["renamed_columns"] == {"Text": "text", "Category": "label"}
-    rows = got.df.collect()
-    assert rows[0].text == 'hello, "you"\nthere' and rows[1].n is None and dict(got.df.dtypes)["n"] == "bigint"
+    assert got.meta["renamed_columns"] == {"Review": "text", "Sentiment": "label"}
+    rows = {r.label: r for r in got.df.collect()}
+    assert rows["bad"].text == 'the line was "busy",\nthen dead' and rows["good"].minutes is None and dict(got.df.dtypes)["minutes"] == "bigint"
+    q = tmp_path / "flat.csv"
+    q.write_text("minutes,Review,Sentiment\n7,short,bad\n8,long,good\n")
+    assert readers.load_csv(spark, str(q), multiline=False).df.count() == 2
     again = readers.load_csv_bytes(spark, p.read_bytes(), "up.csv")
     assert again.meta["filename"] == "up.csv" and again.df.count() == 2
 
@@ -66,11 +69,12 @@ def test_prepare(spark):
 
 
 def test_command_line(spark, tmp_path):
-    p = tmp_path / "a.csv"
-    p.write_text("text,label\na,x\na,x\nb,y\n")
+    p = tmp_path / "notes.csv"
+    p.write_text("note,kind\nthe tap drips again,water\nthe lamp flickers,power\nthe tap drips again,water\n")
     out = tmp_path / "deep" / "report.json"
-    main(["--csv", str(p), "--out", str(out)])
-    assert json.loads(out.read_text())["report_version"] == 1
+    main(["--csv", str(p), "--text-col", "note", "--label-col", "kind", "--single-line", "--no-hf-models", "--out", str(out)])
+    got = json.loads(out.read_text())
+    assert got["report_version"] == 1 and got["modules"]["duplicates"]["exact_duplicate_rows"] == 2
 
 
 def test_saved_tables_leave_no_shuffle_files(spark):
