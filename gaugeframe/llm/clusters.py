@@ -170,6 +170,7 @@ def linked(df: DataFrame, id_col: str, text_col: str, least: float = 0.2, smalle
     m = Saved(members(df, id_col, text_col).select("id", "cls").distinct()).df
     found = Saved(candidates(df, text_col))
     edges = save(_links(df, text_col, found.df, least))
+    found.drop()
     roots = save(components(edges))
     rest = save(across(df, text_col, roots, least, m.select("cls").distinct()))
     roots = components(edges.union(rest))

@@ -44,6 +44,7 @@ def class_pairs(df: DataFrame, text_col: str, least: float, m: DataFrame) -> Dat
     blobs = tiles.emit(texts, entries, tiles.buckets_for(int(counted.total * (1 - least)) + 1))
     found = Saved(tiles.compare(blobs).distinct())
     near = Saved(tiles.alike(found.df, folds(m), least))
+    found.drop()
     exact = verified(df, text_col, near.df)
     return exact.filter(F.col("both") * (1 + least) >= least * (F.col("n_a") + F.col("n_b")) - 1e-6)
 

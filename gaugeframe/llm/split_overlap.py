@@ -139,6 +139,7 @@ def pairs(samples: DataFrame, requests: DataFrame, least: float = 0.7) -> DataFr
     found = Saved(tiles.compare(blobs, contained=True).select("a", F.col("b").bitwiseAND(F.lit(-2)).alias("b")).distinct())
     m = Saved(members(samples, "sample_id", "text").distinct()).df
     near = Saved(tiles.alike(found.df, folds(m), least, contained=True))
+    found.drop()
     exact = verified(samples, "text", near.df).filter(F.col("both") >= least * F.col("n_a") - 1e-6).select("a", "b")
     rows = Saved(m.select("id", "cls").join(sides(samples, requests).select(F.col("sample_id").alias("id"), "side"), "id").filter("side is not null").distinct()).df
     own = rows.filter("side = 0").select(F.col("id").alias("evaluation_id"), F.col("cls").alias("a"))
