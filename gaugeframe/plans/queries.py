@@ -13,8 +13,9 @@ from gaugeframe.operators import domain, duplicates, labels, leakage, profile, r
 from gaugeframe.operators.components import components
 from gaugeframe.operators.prepare import prepare
 from gaugeframe.operators.result import ROW_ID, merge_flags, union_flags
+from gaugeframe.operators.text_duplicates import text_duplicates
 from gaugeframe.plans import score
-from gaugeframe.plans.report import generate
+from gaugeframe.plans.report import breakdown, generate
 from gaugeframe.sources import roles
 from gaugeframe.sources.readers import standard
 from gaugeframe.sources.scratch import save
@@ -388,6 +389,22 @@ def kmeans_best_k(spark, sf_dir):
     return labelled.groupBy("cluster").agg(F.count("*").alias("rows")).withColumns({"k": F.lit(k), "silhouette": F.lit(s)})
 
 
+@query("SELECT c_nationkey AS cluster, c_custkey, c_mktsegment FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer) WHERE n <= 5 AND c_nationkey < 5")
+def cluster_samples(spark, sf_dir):
+    return domain.cluster_samples(table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "cluster"), "c_custkey", ["c_mktsegment"])
+
+
+@query("SELECT i::BIGINT AS percent, CASE WHEN i / 100 >= greatest(0.85::DOUBLE, 0.65::DOUBLE + 0.2::DOUBLE) THEN 'warning' ELSE 'info' END AS severity FROM range(101) t(i)")
+def mixing_severities(spark, sf_dir):
+    return spark.createDataFrame([(i, domain.mixing_severity(i / 100)) for i in range(101)], "percent bigint, severity string")
+
+
+@query("SELECT * FROM (VALUES ('customer', 'c_mktsegment'), ('documents', NULL), ('listings', 'city'), ('samples', NULL), ('events', 'event_type')) t(name, category)")
+def category_columns(spark, sf_dir):
+    rows = [(t, roles.category_column(table(spark, sf_dir, t).columns)) for t in ("customer", "documents", "listings", "samples", "events")]
+    return spark.createDataFrame(rows, "name string, category string")
+
+
 # --- score and report -------------------------------------------------------------------------------------------------
 
 
@@ -431,6 +448,56 @@ def score_parts(spark, sf_dir):
     return spark.createDataFrame(rows, "i bigint, " + ", ".join(f"{k} double" for k in ("missing", "duplicates", "labels", "toxicity", "semantic", "mixing", "clusters", "mixed", "sure")))
 
 
+HEALTH = "CASE WHEN {0} >= 90 THEN 'Excellent' WHEN {0} >= 80 THEN 'Good' WHEN {0} >= 65 THEN 'Moderate' ELSE 'Needs work' END"
+RISK = "CASE WHEN {0} >= 90 THEN 'Low' WHEN {0} >= 75 THEN 'Moderate' WHEN {0} >= 60 THEN 'Elevated' ELSE 'High' END"
+CARDS = {"structure_health": "i", "duplicate_risk": "(i + 100) / 2", "label_readiness": "CASE WHEN i % 2 = 0 THEN i END", "safety_quality": "100 - i", "domain_consistency": "i", "modality_fit": "100 - i"}
+
+
+@query(" UNION ALL ".join(f"SELECT i::BIGINT AS i, '{k}' AS card, ({x})::DOUBLE AS score, coalesce(CASE WHEN ({x}) IS NOT NULL THEN {(RISK if k == 'duplicate_risk' else HEALTH).format(f'({x})')} END, 'Not applicable') AS status FROM range(101) t(i)" for k, x in CARDS.items()))
+def score_cards(spark, sf_dir):
+    """The cards of the breakdown over a range of scores; without labels at odd ones."""
+    rows = []
+    for i in range(101):
+        parts = {"missing": i, "exact_duplicates": i, "semantic_warnings": 100, "label_issues": i, "toxicity": 100 - i, "domain_mixing": i, "modality_warning": 100 - i}
+        for c in breakdown({"overall": float(i), "subscores": parts}, "text", i % 2 == 0)["cards"]:
+            rows.append((i, c["key"], None if c["score"] is None else float(c["score"]), c["status"]))
+    return spark.createDataFrame(rows, "i bigint, card string, score double, status string")
+
+
+ISSUES = {
+    "class_imbalance": "warning", "embedding_mismatch": "warning", "empty_text_rows": "critical", "exact_duplicates": "warning", "high_label_cardinality": "warning", "label_outliers": "info",
+    "low_readability": "warning", "missing_label_column": "warning", "missing_text_column": "critical", "possible_domain_mixing": "warning", "possible_mislabeled_samples": "warning",
+    "semantic_duplicates": "warning", "short_text_rows": "warning", "tabular_key_duplicates": "warning", "toxic_content": "critical", "train_test_leakage": "critical",
+}
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f'({k!r}, {v!r})' for k, v in ISSUES.items())}) t(code, severity)")
+def issue_codes(spark, sf_dir):
+    """The issues that the checks raise on rows planted for them, one table for each check."""
+    ids = lambda rows, schema: spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"{ROW_ID} bigint, {schema}")
+    planted = ids([(None, "a"), ("tiny", "b"), *[(f"a plain remark number {i}", f"label {i}") for i in range(60)]], "text string, label string")
+    hard = ids([("The office reviews several difficult cases daily",), ("idiot, you stupid moron",)], "text string")
+    two = ids([("left" if i < 12 else "right", "train" if i % 2 else "test", f"row {i}", [1.0, 0.001 * i] if i < 12 else [0.001 * i, 1.0]) for i in range(25)], "label string, split string, text string, vector array<double>")
+    odd = two.withColumn("vector", F.when(F.col(ROW_ID) == 0, F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.col("vector"))).withColumn("label", F.when(F.col(ROW_ID) == 24, "lone").otherwise(F.col("label")))
+    vectors = odd.select(ROW_ID, "vector")
+    bikes = ids([("Ulm", "Mitte", 5, "x"), ("Ulm", "Mitte", 5, "x"), ("Ulm", "Mitte", 5, "y")], "city string, locality string, area int, note string")
+    checks = [
+        profile.schema_check(planted),
+        profile.schema_check(planted, "nope", "nope"),
+        labels.label_check(planted, "nope"),
+        labels.label_check(odd, "label", vectors),
+        text_duplicates(ids([("same",), ("same",), ("other",)], "text string"), vectors=ids([([1.0, 0.0],), ([1.0, 0.0],), ([0.0, 1.0],)], "vector array<double>")),
+        duplicates.table_duplicates(bikes),
+        readability.readability_check(hard.filter(F.col(ROW_ID) == 0)),
+        toxicity.toxicity_check(hard, label_col=None),
+        domain.domain_check(two, two.select(ROW_ID, "vector")),
+        domain.domain_check(two, two.filter(F.col(ROW_ID) > 0).select(ROW_ID, "vector")),
+        leakage.leakage_check(two, two.select(ROW_ID, "vector")),
+    ]
+    found = sorted({(i["code"], i["severity"]) for r in checks for i in r.issues})
+    return spark.createDataFrame(found, "code string, severity string")
+
+
 def _report(spark: SparkSession, df: DataFrame, label_col: str | None) -> DataFrame:
     r = generate(df, "text", label_col, max_semantic_samples=None).data
     rows = [("overall", float(r["score"]["overall"]), r["score"]["verdict"]), *[(k, float(v), "") for k, v in r["score"]["subscores"].items()], *[(i["code"], float(i.get("count") or 0), i["severity"]) for i in r["issues"]]]
