@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from gaugeframe.llm import tiles
 from gaugeframe.llm.classes import class_of, first_of_each, members, of_first, rarity, verified
 from gaugeframe.llm.graph import components
 from gaugeframe.llm.shingles import U, mix, slices, triples, words
-from gaugeframe.sources.scratch import Saved, save
+from gaugeframe.sources.scratch import Saved, freed, save
 
 ROWS = 2  # minima in a band
 BANDS = 6  # bands in a group; a group's minima also give an estimate
@@ -76,11 +77,9 @@ def candidates(df: DataFrame, text_col: str, similar: int = 4) -> DataFrame:
             ids, blobs = [], []
             for g in range(GROUPS):
                 own = m[:, g * BANDS * ROWS : (g + 1) * BANDS * ROWS]
-                if parts == 1:
-                    cells = [(g, np.arange(len(at)))]
-                else:  # a text goes to each part that one of its bands needs
-                    part = np.stack([mix(k + U(b)) % U(parts) for b, k in enumerate(_band_keys(own))], axis=1)
-                    cells = [(g * parts + p, np.flatnonzero((part == p).any(1))) for p in np.unique(part)]
+                # a text goes to each part that one of its bands needs
+                part = np.stack([mix(k + U(b)) % U(parts) for b, k in enumerate(_band_keys(own))], axis=1)
+                cells = [(g * parts + p, np.flatnonzero((part == p).any(1))) for p in np.unique(part)]
                 for cell, x in cells:
                     if len(x):
                         ids.append(cell)
@@ -202,15 +201,19 @@ def _hashed(texts: list[str | None]) -> np.ndarray:
     return np.sqrt(v / np.maximum(v.sum(1, keepdims=True), 1)).astype(np.float32)
 
 
+SUMS = 8  # tasks that add up the partitions' sums
+
+
 def _gather(df: DataFrame, of, size: int) -> np.ndarray:
-    """Sum over all rows of a vector of fixed size that ``of`` gives for a batch."""
+    """Sum over all rows of a vector of fixed size that ``of`` gives for a batch. Partitions are added up in ``SUMS`` tasks,
+    whose sums come to the driver."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for b in slices(batches):
             if b.num_rows:
                 total += of(b)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["k", "s"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUMS], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["k", "s"])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
@@ -219,7 +222,9 @@ def _gather(df: DataFrame, of, size: int) -> np.ndarray:
                 total += np.frombuffer(x.as_buffer(), np.float64)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
 
-    return np.frombuffer(df.mapInArrow(part, "k int, s binary").repartitionById(1, F.col("k")).mapInArrow(fold, "s binary").first().s, np.float64)
+    with freed(df.sparkSession):
+        rows = df.mapInArrow(part, "k int, s binary").repartitionById(SUMS, F.col("k")).mapInArrow(fold, "s binary").collect()
+    return sum(np.frombuffer(r.s, np.float64) for r in rows)
 
 
 def _matrix(column: pa.Array, kind: type = np.float32) -> np.ndarray:

@@ -23,6 +23,7 @@ crowded counters don't make all keys frequent.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -208,25 +209,26 @@ def _pairs(blobs: list[pa.Buffer], contained: bool, roots: list[pa.Buffer] | Non
     if not blobs:
         return
     cls, both, reach = _load(blobs)
+    if roots is not None:
+        cls, both, reach, root = _by_root(cls, both, reach, roots)
     n = (both & U(MOST)).astype(np.uint16)
     key = both >> U(17) << U(17)
-    root = None
-    if roots is not None:
-        node, of = _columns(roots, [U, U])
-        order = np.argsort(node)
-        node, of = node[order], of[order]
-        at = np.minimum(np.searchsorted(node, cls), max(0, len(node) - 1))
-        root = np.where(node[at] == cls, of[at], cls) if len(node) else cls
+    side = (both & U(1 << 16)) != 0
+    spans = []
     if contained:  # an entry of side 0 against those of side 1 with so many triples at least
-        lo = np.where(cls & U(1), 0, np.searchsorted(both, key | U(1 << 16) | reach.astype(U), side="left"))
-        hi = np.where(cls & U(1), 0, np.searchsorted(both, key | U((1 << 17) - 1), side="right"))
-    else:
-        lo = np.arange(1, len(cls) + 1)
-        hi = np.where(reach >= n, np.searchsorted(both, key | reach.astype(U), side="right"), 0)
-    for i, j in _tiles(lo, hi):
+        spans.append((np.searchsorted(both, key | U(1 << 16) | reach.astype(U), side="left"), np.where(side, 0, np.searchsorted(both, key | U((1 << 17) - 1), side="right"))))
+    else:  # an entry against those after it in its key and side
+        own = key | (both & U(1 << 16))
+        after = np.where(reach >= n, np.searchsorted(both, own | reach.astype(U), side="right"), 0)
+        if roots is None:
+            spans.append((np.arange(1, len(cls) + 1), after))
+        else:  # entries of a list's commonest root stand on side 0, and only meet the others
+            spans.append((np.arange(1, len(cls) + 1), np.where(side, after, 0)))
+            spans.append((np.searchsorted(both, key, side="left"), np.where(side, np.searchsorted(both, key | reach.astype(U), side="right"), 0)))
+    for i, j in chain.from_iterable(_tiles(lo, hi) for lo, hi in spans):
         ok = reach.take(j) >= n.take(i)
         i, j = i[ok], j[ok]
-        if root is not None:
+        if roots is not None:
             ok = root.take(i) != root.take(j)
             i, j = i[ok], j[ok]
         if len(i):
@@ -236,6 +238,25 @@ def _pairs(blobs: list[pa.Buffer], contained: bool, roots: list[pa.Buffer] | Non
             yield a, b, n.take(i).astype(np.int64) + n.take(j)
 
 
+def _by_root(cls: np.ndarray, both: np.ndarray, reach: np.ndarray, roots: list[pa.Buffer]) -> tuple[np.ndarray, ...]:
+    """The entries with the number of their root, those of the commonest root of each key before the others."""
+    node, of = _columns(roots, [U, U])
+    order = np.argsort(node)
+    node, of = node[order], of[order]
+    at = np.minimum(np.searchsorted(node, cls), max(0, len(node) - 1))
+    root = np.where(node[at] == cls, of[at], cls) if len(node) else cls
+    root = np.unique(root, return_inverse=True)[1].astype(np.int64)
+    key = both >> U(17)
+    run = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+    pair, count = np.unique((run << 32) | root, return_counts=True)
+    order = np.lexsort((count, pair >> 32))
+    most = order[np.r_[np.flatnonzero(np.diff(pair[order] >> 32)), len(order) - 1]]  # the last of each run
+    common = (pair[most] & 0xFFFFFFFF)[run]
+    both = both | np.where(root == common, U(0), U(1 << 16))
+    order = np.argsort(both, kind="stable")
+    return cls[order], both[order], reach[order], root[order]
+
+
 def compare(blobs: DataFrame, contained: bool = False) -> DataFrame:
     """(a bigint, b bigint): classes that share a key and lie within reach of each other; pairs may come more than once.
 
