@@ -34,7 +34,7 @@ from gaugeframe.sources.scratch import Saved, freed, save
 
 ROWS = 2  # minima in a band
 BANDS = 6  # bands in a group; a group's minima also give an estimate
-GROUPS = 10
+GROUPS = 5
 CHUNK = 1 << 19  # classes compared at once
 SPLIT = 2_000_000  # texts for one task of a group
 
@@ -171,9 +171,12 @@ def linked(df: DataFrame, id_col: str, text_col: str, least: float = 0.2, smalle
     edges = save(_links(df, text_col, found.df, least))
     found.drop()
     roots = save(components(edges))
-    rest = save(across(df, text_col, roots, least, m.select("cls").distinct()))
-    roots = components(edges.union(rest))
-    rows = Saved(m.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("id", F.coalesce("root", "cls").alias("root"))).df
+    rest = across(df, text_col, roots, least, m.select("cls").distinct())
+    for end in "ab":  # links across join whole components
+        rest = rest.join(roots.withColumnsRenamed({"node": end, "root": f"root_{end}"}), end, "left").withColumn(end, F.coalesce(f"root_{end}", end)).select("a", "b")
+    joined = components(rest).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+    rows = m.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("id", F.coalesce("root", "cls").alias("root"))
+    rows = Saved(rows.join(joined, "root", "left").select("id", F.coalesce("whole", "root").alias("root"))).df
     size = rows.groupBy("root").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).filter(F.col("n") >= smallest)
     return rows.join(size, "root").filter("id > first_id").select("first_id", "id")
 

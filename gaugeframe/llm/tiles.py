@@ -282,12 +282,12 @@ def compare_apart(entries: DataFrame, roots: DataFrame, buckets: int, least: flo
     afterwards."""
 
     def blob(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((a, mix(a) % U(parts)))
+        order = np.argsort(mix(a))  # by class, and by the range of hashes that is a task's
         a, b = a[order], b[order]
         first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
         size = np.diff(np.r_[first, len(a)])
         short = np.ascontiguousarray(b & U(SHORT)).view(np.uint8).reshape(-1, 8)[:, :5]
-        to = (mix(a[first]) % U(parts)).astype(np.int64)
+        to = ((mix(a[first]) >> U(32)) * U(parts) >> U(32)).astype(np.int64)
         edge = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
         ends = np.r_[first, len(a)]
         rows = [np.uint64(j - i).tobytes() + a[first[i:j]].tobytes() + size[i:j].astype(np.uint32).tobytes() + short[ends[i] : ends[j]].tobytes() for i, j in zip(edge[:-1], edge[1:])]
