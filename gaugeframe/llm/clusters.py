@@ -259,45 +259,71 @@ def reduced(df: DataFrame, id_col: str, text_col: str, keep: int = REDUCED) -> D
     return texts.mapInArrow(part, "id bigint, x binary")
 
 
+def _terms(x: np.ndarray) -> np.ndarray:
+    """1, x_i and x_i x_j (i <= j) of each row: a Gaussian's log density is linear in them, and their sums are its statistics."""
+    i, j = np.triu_indices(x.shape[1])
+    return np.concatenate([np.ones((len(x), 1)), x, x[:, i] * x[:, j]], axis=1)
+
+
 def _log_density(x: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """[rows, components]: log of weight times density."""
+    return _terms(x) @ _linear(model)
+
+
+def _linear(model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """[terms, components]: what ``_terms`` are multiplied with."""
     weight, mean, cov = model
-    out = np.empty((len(x), len(weight)))
-    for k in range(len(weight)):
-        low = np.linalg.cholesky(cov[k])
-        z = np.linalg.solve(low, (x - mean[k]).T)
-        out[:, k] = np.log(weight[k]) - 0.5 * (z * z).sum(0) - np.log(np.diag(low)).sum() - 0.5 * x.shape[1] * np.log(2 * np.pi)
-    return out
+    i, j = np.triu_indices(mean.shape[1])
+    inverse = np.linalg.inv(cov)
+    pull = np.einsum("kij,kj->ki", inverse, mean)
+    rest = np.log(weight) - 0.5 * (np.einsum("ki,ki->k", pull, mean) + np.linalg.slogdet(cov)[1] + mean.shape[1] * np.log(2 * np.pi))
+    return np.concatenate([rest[:, None], pull, -inverse[:, i, j] * np.where(i == j, 0.5, 1.0)], axis=1).T
 
 
-def mixture(points: DataFrame, k: int, rounds: int = 500, ridge: float = 1e-2, dims: int = REDUCED, close: float = 1e-4) -> tuple[tuple, float]:
+def _split(model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Twice as many components: each one parted along its longest axis."""
+    weight, mean, cov = model
+    value, axis = np.linalg.eigh(cov)
+    step = 0.5 * np.sqrt(value[:, -1])[:, None] * axis[:, :, -1]
+    less = cov - 0.75 * value[:, -1][:, None, None] * np.einsum("ki,kj->kij", axis[:, :, -1], axis[:, :, -1])
+    return np.r_[weight, weight] / 2, np.concatenate([mean - step, mean + step]), np.concatenate([less, less])
+
+
+def mixture(points: DataFrame, k: int, rounds: int = 500, ridge: float = 1e-2, dims: int = REDUCED, close: float = 1e-4, start: tuple | None = None) -> tuple[tuple, float]:
     """EM for k components over all rows (x binary, standardised): (weights, means, covariances) and the BIC.
 
-    Rounds end when the mean log-likelihood of a row gains less than ``close``; a fit that has not come there after
-    ``rounds`` is an error."""
-    means = np.random.default_rng(42).standard_normal((k, dims))
-    model = (np.full(k, 1 / k), means, np.repeat(np.eye(dims)[None], k, 0))
+    start: a model of k / 2 components, which are split; None: random means. Rounds end when the mean log-likelihood of a
+    row gains less than ``close``; a fit that has not come there after ``rounds`` is an error."""
+    if start is not None:
+        model = _split(start)
+    else:
+        model = (np.full(k, 1 / k), np.random.default_rng(42).standard_normal((k, dims)), np.repeat(np.eye(dims)[None], k, 0))
+    i, j = np.triu_indices(dims)
+    width = 1 + dims + len(i)
     likelihood, n, was = 0.0, 0.0, -np.inf
     for _ in range(rounds):
 
-        def stats(b: pa.RecordBatch, model: tuple = model) -> np.ndarray:
-            x = _matrix(b.column(0))
-            d = _log_density(x, model)
+        def stats(b: pa.RecordBatch, linear: np.ndarray = _linear(model)) -> np.ndarray:
+            t = _terms(_matrix(b.column(0)))
+            d = t @ linear
             top = d.max(1, keepdims=True)
-            total = top[:, 0] + np.log(np.exp(d - top).sum(1))
-            r = np.exp(d - total[:, None])
-            return np.r_[len(x), total.sum(), r.sum(0), (r.T @ x).ravel(), np.einsum("nk,ni,nj->kij", r, x, x, optimize=True).ravel()]
+            np.exp(d - top, out=d)
+            total = d.sum(1)
+            d /= total[:, None]
+            return np.r_[len(t), (np.log(total) + top[:, 0]).sum(), (d.T @ t).ravel()]
 
-        s = _gather(points.select("x"), stats, 2 + k + k * dims + k * dims * dims)
+        s = _gather(points.select("x"), stats, 2 + k * width)
         n, likelihood = s[0], s[1]
         done = abs(likelihood - was) <= close * max(n, 1)
         was = likelihood
         if done:  # of the model as it stands
             break
-        mass = np.maximum(s[2 : 2 + k], 1e-9)
-        mean = s[2 + k : 2 + k + k * dims].reshape(k, dims) / mass[:, None]
-        cov = s[2 + k + k * dims :].reshape(k, dims, dims) / mass[:, None, None] - np.einsum("ki,kj->kij", mean, mean)
-        cov = np.where((mass > 1)[:, None, None], cov, 0) + ridge * np.eye(dims)
-        cov = (cov + cov.transpose(0, 2, 1)) / 2
+        sums = s[2:].reshape(k, width)
+        mass = np.maximum(sums[:, 0], 1e-9)
+        mean = sums[:, 1 : 1 + dims] / mass[:, None]
+        second = np.zeros((k, dims, dims))
+        second[:, i, j] = second[:, j, i] = sums[:, 1 + dims :] / mass[:, None]
+        cov = np.where((mass > 1)[:, None, None], second - np.einsum("ki,kj->kij", mean, mean), 0) + ridge * np.eye(dims)
         model = (np.maximum(mass / max(n, 1), 1e-12), mean, cov)
     else:
         raise RuntimeError(f"{k} components have not converged after {rounds} rounds")
@@ -306,14 +332,14 @@ def mixture(points: DataFrame, k: int, rounds: int = 500, ridge: float = 1e-2, d
 
 
 def fitted(points: DataFrame, choices: tuple[int, ...] | None = None, rounds: int = 500) -> tuple:
-    """The model of least BIC among ``choices``; None: 4, 8, 16, and twice as many as long as the
-    largest number is the best."""
+    """The model of least BIC among ``choices``; None: 4 components, then twice as many, by splitting those there are, as
+    long as the BIC falls, and 16 at least."""
     if choices is not None:
         return min((mixture(points, k, rounds) for k in choices), key=lambda m: m[1])[0]
-    tried = {k: mixture(points, k, rounds) for k in (4, 8, 16)}
-    while (k := max(tried)) == min(tried, key=lambda x: tried[x][1]):
-        tried[2 * k] = mixture(points, 2 * k, rounds)
-    return min(tried.values(), key=lambda m: m[1])[0]
+    tried = [mixture(points, 4, rounds)]
+    while len(tried) < 3 or tried[-1][1] < tried[-2][1]:
+        tried.append(mixture(points, 2 * len(tried[-1][0][0]), rounds, start=tried[-1][0]))
+    return min(tried, key=lambda m: m[1])[0]
 
 
 def _assigned(points: DataFrame, model: tuple) -> DataFrame:
