@@ -16,14 +16,14 @@ def test_names():
 
 def test_csv_roles(spark, tmp_path):
     p = tmp_path / "calls.csv"
-    p.write_text('minutes,Review,Sentiment\n7,"the line was ""busy"",\nthen dead",bad\nNA,quick help,good\n')
+    p.write_text('minutes,Review,Target\n7,"the line was ""busy"",\nthen dead",bad\nNA,quick help,good\n')
     got = readers.load_csv(spark, str(p))
     assert (got.text_col, got.label_col) == ("text", "label")
-    assert got.meta["renamed_columns"] == {"Review": "text", "Sentiment": "label"}
+    assert got.meta["renamed_columns"] == {"Review": "text", "Target": "label"}
     rows = {r.label: r for r in got.df.collect()}
     assert rows["bad"].text == 'the line was "busy",\nthen dead' and rows["good"].minutes is None and dict(got.df.dtypes)["minutes"] == "bigint"
     q = tmp_path / "flat.csv"
-    q.write_text("minutes,Review,Sentiment\n7,short,bad\n8,long,good\n")
+    q.write_text("minutes,Review,Target\n7,short,bad\n8,long,good\n")
     assert readers.load_csv(spark, str(q), multiline=False).df.count() == 2
     again = readers.load_csv_bytes(spark, p.read_bytes(), "up.csv")
     assert again.meta["filename"] == "up.csv" and again.df.count() == 2
