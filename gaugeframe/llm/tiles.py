@@ -13,7 +13,9 @@ set is a bit vector over all triples, whose population count n is the size of th
 ``emit`` packs the entries (key, class, n, reach: 16 bytes) of many texts into one binary row for each bucket, so the JVM
 moves a few blobs instead of tens of millions of rows; an entry takes the same room whatever the number of buckets.
 ``compare`` sorts a bucket by key and population count, and of each key looks only at the tile of partners whose
-population counts lie within reach. ``alike`` fetches the folded bit vectors once for each pair that is left.
+population counts lie within reach. Pairs within reach grow faster than the input, so entries may bring their folded bit
+vectors (32 bytes more): then a pair is weighed where it meets and what is ruled out is never written. Such entries are
+made in ``turns``, a share of the buckets at a time. ``alike`` fetches the bit vectors for pairs of entries without them.
 
 A key so frequent that its list would not fit one task is split into a grid of cells (``LIST`` entries a side), each a
 list of its own; no list is cut. How frequent a key is, is its counter less the average share of other keys in it, so
@@ -52,6 +54,14 @@ class Entries(NamedTuple):
     n: np.ndarray
     reach: np.ndarray
     often: np.ndarray
+    fold: np.ndarray | None = None  #: uint8 [entries, BITS / 8], for pairs that are weighed in their bucket
+
+    def take(self, at: np.ndarray) -> Entries:
+        return Entries(*(x if x is None else x[at] for x in self))
+
+    @staticmethod
+    def joined(parts: list[Entries]) -> Entries:
+        return Entries(*(None if x[0] is None else np.concatenate(x) for x in zip(*parts)))
 
 
 def folded(doc: np.ndarray, items: np.ndarray, docs: int) -> np.ndarray:
@@ -91,7 +101,7 @@ def _celled(e: Entries) -> Entries:
         return e
     part = (mix(e.cls & ~U(1)) % grid.astype(U)).astype(np.int64)
     q = np.arange(grid.sum()) - np.repeat(np.cumsum(grid) - grid, grid)
-    e = Entries(*(np.repeat(x, grid) for x in e))
+    e = e.take(np.repeat(np.arange(len(grid)), grid))
     p, g = np.repeat(part, grid), np.repeat(grid, grid)
     cell = mix(e.key + (np.minimum(p, q) * g + np.maximum(p, q)).astype(U) * U(0x9E3779B97F4A7C15)) >> U(16)
     return e._replace(key=np.where(g > 1, cell, e.key))
@@ -121,25 +131,29 @@ def _columns(blobs: list[pa.Buffer], kinds: list[type]) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(out, kinds)]
 
 
-def emit(df: DataFrame, of: Callable[[pa.RecordBatch], Entries], buckets: int) -> DataFrame:
-    """(bucket int, blob binary): the entries of the batches of df by bucket of their key."""
-    return packed(df, of, buckets).repartitionById(buckets, F.col("bucket"))
+def emit(df: DataFrame, of: Callable[[pa.RecordBatch], Entries], buckets: int, turn: int = 0, turns: int = 1) -> DataFrame:
+    """(bucket int, blob binary): the entries of the batches of df by bucket of their key; of ``turns`` turns, each has
+    buckets of its own."""
+    return packed(df, of, buckets, turn, turns).repartitionById(-(-buckets // turns), F.col("bucket"))
 
 
-def packed(df: DataFrame, of: Callable[[pa.RecordBatch], Entries], buckets: int) -> DataFrame:
+def packed(df: DataFrame, of: Callable[[pa.RecordBatch], Entries], buckets: int, turn: int = 0, turns: int = 1) -> DataFrame:
     """``emit`` before the shuffle."""
 
     def blobs(held: list[Entries]) -> pa.RecordBatch:
-        e = Entries(*map(np.concatenate, zip(*held)))
-        return _blobs(_bucket(e.key, buckets), [e.cls, (mix(e.key) >> U(32)).astype(np.uint32), *(np.minimum(x, MOST).astype(np.uint16) for x in (e.n, e.reach))])
+        e = Entries.joined(held)
+        fold = [] if e.fold is None else list(np.ascontiguousarray(e.fold).view(U).T)
+        return _blobs(_bucket(e.key, buckets) // np.uint32(turns), [e.cls, (mix(e.key) >> U(32)).astype(np.uint32), *(np.minimum(x, MOST).astype(np.uint16) for x in (e.n, e.reach)), *fold])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in slices(batches):
             e = _celled(of(b))
+            if turns > 1:
+                e = e.take(np.flatnonzero(_bucket(e.key, buckets) % np.uint32(turns) == turn))
             if len(e.key):
                 held.append(e)
-                size += len(e.key)
+                size += len(e.key) * (1 if e.fold is None else 3)  # an entry takes three times the room then
             if size >= HELD:
                 yield blobs(held)
                 held, size = [], 0
@@ -179,14 +193,16 @@ def packed_roots(df: DataFrame, of: Callable[[pa.RecordBatch], Entries], buckets
     return roots.join(at, "node").select("node", "root", "places").mapInArrow(spread, "bucket int, blob binary")
 
 
-def _load(blobs: list[pa.Buffer]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """cls; key, side (of a class) and n in one number; reach: ordered by that number and the class, each entry once."""
-    c, key, n, reach = _columns(blobs, [U, np.uint32, np.uint16, np.uint16])
+def _load(blobs: list[pa.Buffer], folds: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """cls; key, side (of a class) and n in one number; reach; bit vectors (uint64 [entries, BITS / 64]), if entries bring
+    them: ordered by that number and the class, each entry once."""
+    c, key, n, reach, *fold = _columns(blobs, [U, np.uint32, np.uint16, np.uint16, *[U] * (BITS // 64 * folds)])
     both = (key.astype(U) << U(17)) | ((c & U(1)) << U(16)) | n.astype(U)
     order = np.lexsort((c, both))
     c, both = c[order], both[order]
     fresh = np.r_[True, (c[1:] != c[:-1]) | (both[1:] != both[:-1])]
-    return c[fresh], both[fresh], reach[order[fresh]]
+    order = order[fresh]
+    return c[fresh], both[fresh], reach[order], np.stack([x[order] for x in fold], axis=1) if folds else None
 
 
 def _tiles(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -203,12 +219,12 @@ def _tiles(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndar
         i = max(j, i + 1)
 
 
-def _pairs(blobs: list[pa.Buffer], contained: bool, roots: list[pa.Buffer] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _pairs(blobs: list[pa.Buffer], contained: bool, roots: list[pa.Buffer] | None = None, least: float | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(a, b, population counts of both together) of the entries of a bucket that lie within each other's reach; with
-    roots, of those of different roots only."""
+    roots, of those of different roots only; with least, of those whose bit vectors don't rule out that similarity."""
     if not blobs:
         return
-    cls, both, reach = _load(blobs)
+    cls, both, reach, fold = _load(blobs, least is not None)
     if roots is not None:
         cls, both, reach, root = _by_root(cls, both, reach, roots)
     n = (both & U(MOST)).astype(np.uint16)
@@ -231,6 +247,10 @@ def _pairs(blobs: list[pa.Buffer], contained: bool, roots: list[pa.Buffer] | Non
         if roots is not None:
             ok = root.take(i) != root.take(j)
             i, j = i[ok], j[ok]
+        if least is not None:
+            differ = np.bitwise_count(fold.take(i, axis=0) ^ fold.take(j, axis=0)).sum(1, dtype=np.int64)
+            ok = differ <= (1 - least) / (1 + least) * (n.take(i).astype(np.int64) + n.take(j)) + 1e-6
+            i, j = i[ok], j[ok]
         if len(i):
             a, b = cls.take(i), cls.take(j)
             if not contained:
@@ -257,14 +277,15 @@ def _by_root(cls: np.ndarray, both: np.ndarray, reach: np.ndarray, roots: list[p
     return cls[order], both[order], reach[order], root[order]
 
 
-def compare(blobs: DataFrame, contained: bool = False) -> DataFrame:
+def compare(blobs: DataFrame, contained: bool = False, least: float | None = None) -> DataFrame:
     """(a bigint, b bigint): classes that share a key and lie within reach of each other; pairs may come more than once.
+    least, for entries with bit vectors: without the pairs whose bit vectors rule out that Jaccard similarity.
 
     contained False: similarity, a < b as unsigned numbers. True: a is of side 0 and b of side 1; the reach of a is the
     least population count of a partner, that of b the largest."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b, _ in _pairs([x.as_buffer() for batch in batches for x in batch.column(1)], contained):
+        for a, b, _ in _pairs([x.as_buffer() for batch in batches for x in batch.column(1)], contained, least=least):
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], ["a", "b"])
 
     return blobs.mapInArrow(part, "a bigint, b bigint")

@@ -32,6 +32,24 @@ def test_near_duplicates(spark):
         assert {tuple(r) for r in got} == texts.jaccard_pairs(rows, 0.5)
 
 
+def test_pairs_that_only_meet_are_not_written(spark, monkeypatch):
+    """150 texts of ten out of forty sentences meet each other in many of the 11,175 pairs, but none is similar."""
+    rng, written = random.Random(10), []
+
+    class Counted(near_duplicates.Saved):
+        def __init__(self, df):
+            super().__init__(df)
+            if df.columns[:2] == ["a", "b"]:
+                written.append(self.df.count())
+
+    monkeypatch.setattr(near_duplicates, "Saved", Counted)
+    some = [texts.sentence(rng, 6, 10**6) for _ in range(40)]
+    rows = [(i, " ".join(rng.sample(some, 10))) for i in range(150)]
+    rows += [(150, rows[0][1] + " and more")]
+    assert [tuple(r) for r in near_duplicates.pairs(table(spark, rows), "sample_id", "text", 0.5).collect()] == [(0, 150)]
+    assert written and max(written) < 500
+
+
 def test_cells_of_frequent_keys_lose_nothing(spark):
     rows = texts.corpus(2, 40)
     often = tiles.LIST
