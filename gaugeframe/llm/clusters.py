@@ -36,7 +36,7 @@ ROWS = 2  # minima in a band
 BANDS = 6  # bands in a group; a group's minima also give an estimate
 GROUPS = 5
 CHUNK = 1 << 19  # classes compared at once
-SPLIT = 2_000_000  # texts for one task of a group
+SPLIT = 500_000  # texts for one task of a group
 
 
 def minima(row: np.ndarray, t: np.ndarray, rows: int) -> np.ndarray:
@@ -83,47 +83,55 @@ def candidates(df: DataFrame, text_col: str, similar: int = 4) -> DataFrame:
                 for cell, x in cells:
                     if len(x):
                         ids.append(cell)
-                        blobs.append(np.array([len(x)], np.uint32).tobytes() + b"\0\0\0\0" + cls[at][x].tobytes() + own[x].tobytes())
+                        blobs.append(np.array([len(x), cell % parts], np.uint32).tobytes() + cls[at][x].tobytes() + own[x].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["cell", "blob"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads = [(np.zeros(0, U), np.zeros((0, BANDS * ROWS), np.uint16)) for _ in range(BANDS)]  # first of each list so far
-        for cls, m in _chunks(batches):
-            out = []
-            for b in range(BANDS):
-                c, mm = np.concatenate([heads[b][0], cls]), np.concatenate([heads[b][1], m])
-                key = _band_keys(mm)[b]
-                order = np.argsort(key, kind="stable")
-                key, c, mm = key[order], c[order], mm[order]
-                first = np.r_[True, key[1:] != key[:-1]]
-                at = np.flatnonzero(first)
-                heads[b] = c[at], mm[at]
-                i = np.flatnonzero(~first)
-                for j in (np.repeat(at, np.diff(np.r_[at, len(key)])), np.arange(len(key)) - 1):
-                    x, y = c[i], c[j[i]]
-                    keep = (x != y) & ((mm[i] == mm[j[i]]).sum(1) >= similar)
-                    out.append(np.stack([np.minimum(x, y)[keep], np.maximum(x, y)[keep]], axis=1))
-                    i = i[~keep]  # what the first member does not resemble is tied to the one before it
-            got = np.unique(np.concatenate(out), axis=0)
+        for got in _tied(batches, parts, similar):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(got[:, k]).view(np.int64)) for k in (0, 1)], ["a", "b"])
 
     cells = texts.mapInArrow(emit, "cell int, blob binary").repartitionById(GROUPS * parts, F.col("cell"))
     return cells.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Classes and minima, each class once in a chunk, in order of the class."""
+def _tied(batches: Iterator[pa.RecordBatch], parts: int, similar: int) -> Iterator[np.ndarray]:
+    """uint64 [pairs, 2] of a cell. Of each band only the lists of the cell's own part are kept, about ``SPLIT`` at most;
+    what a text has in other bands is compared in their cells."""
+    heads = [(np.zeros(0, U), np.zeros((0, BANDS * ROWS), np.uint16)) for _ in range(BANDS)]  # first of each list so far
+    for part, cls, m in _chunks(batches):
+        out = []
+        for b, keys in enumerate(_band_keys(m)):
+            own = mix(keys + U(b)) % U(parts) == U(part)
+            c, mm = np.concatenate([heads[b][0], cls[own]]), np.concatenate([heads[b][1], m[own]])
+            key = _band_keys(mm)[b]
+            order = np.argsort(key, kind="stable")
+            key, c, mm = key[order], c[order], mm[order]
+            first = np.r_[True, key[1:] != key[:-1]][: len(key)]
+            at = np.flatnonzero(first)
+            heads[b] = c[at], mm[at]
+            i = np.flatnonzero(~first)
+            for j in (np.repeat(at, np.diff(np.r_[at, len(key)])), np.arange(len(key)) - 1):
+                x, y = c[i], c[j[i]]
+                keep = (x != y) & ((mm[i] == mm[j[i]]).sum(1) >= similar)
+                out.append(np.stack([np.minimum(x, y)[keep], np.maximum(x, y)[keep]], axis=1))
+                i = i[~keep]  # what the first member does not resemble is tied to the one before it
+        yield np.unique(np.concatenate(out), axis=0)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The cell's part, classes and minima, each class once in a chunk, in order of the class."""
+    part = 0
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for b in batches:
         for x in b.column(1):
             buf = x.as_buffer()
-            n = int(np.frombuffer(buf, np.uint32, 1)[0])
+            n, part = map(int, np.frombuffer(buf, np.uint32, 2))
             held.append((np.frombuffer(buf, U, n, 8), np.frombuffer(buf, np.uint16, n * BANDS * ROWS, 8 + 8 * n).reshape(n, -1)))
         if sum(len(c) for c, _ in held) >= CHUNK:
-            yield _merged(held)
+            yield part, *_merged(held)
             held = []
     if held:
-        yield _merged(held)
+        yield part, *_merged(held)
 
 
 def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:

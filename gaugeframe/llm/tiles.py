@@ -24,6 +24,8 @@ crowded counters don't make all keys frequent.
 
 from __future__ import annotations
 
+import mmap
+import tempfile
 from collections.abc import Callable, Iterator
 from itertools import chain
 from typing import NamedTuple
@@ -42,6 +44,8 @@ TILE = 1 << 20  # pairs compared at once
 HELD = 1 << 20  # entries or pairs that a task holds before it hands them on
 LIST = 1 << 16  # entries of a key in a list
 PER_BUCKET = 2_000_000  # entries in a bucket, about
+KEPT = 64 << 20  # bytes of pairs that a task keeps in memory before they go to a file of its own
+COUNTED = 1 << 22  # pairs that are counted at once
 MOST = (1 << 16) - 1  # of population counts and reaches that are stored; larger ones count as this, which loses nothing
 
 
@@ -332,33 +336,62 @@ def compare_apart(entries: DataFrame, roots: DataFrame, buckets: int, least: flo
             yield blob(*map(np.concatenate, zip(*held)))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b in _met((x.as_buffer() for batch in batches for x in batch.column(1)), matches, parts):
+            yield from (pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000].view(np.int64)) for x in (a, b)], ["a", "short"]) for k in range(0, len(a), 100_000))
+
+    parts = 2 * buckets
+    both = entries.withColumn("is_root", F.lit(0)).unionByName(roots.withColumn("is_root", F.lit(1))).select("bucket", "is_root", "blob")
+    pairs = both.repartitionById(buckets, F.col("bucket")).mapInArrow(found, "bucket int, blob binary").repartitionById(parts, F.col("bucket"))
+    short = Saved(pairs.mapInArrow(counted, "a bigint, short bigint")).df
+    return short.join(classes.select(F.col("cls").alias("b"), F.col("cls").bitwiseAND(F.lit(SHORT)).alias("short")), "short").select("a", "b").filter("a <> b")
+
+
+def _kept(blobs: Iterator[pa.Buffer]) -> list[memoryview]:
+    """The blobs, which lie in a file that is mapped and goes with them if they are more than ``KEPT`` bytes."""
+    held, size, ends, file = [], 0, [0], None
+    for x in blobs:
+        held.append(x)
+        size += len(x)
+        ends.append(ends[-1] + len(x))
+        if size >= KEPT:
+            file = file or tempfile.TemporaryFile()
+            file.writelines(held)
+            held, size = [], 0
+    if file is None:
+        return [memoryview(x) for x in held]
+    file.writelines(held)
+    file.flush()
+    every = memoryview(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
+    return [every[i:j] for i, j in zip(ends, ends[1:])]
+
+
+def _met(blobs: Iterator[pa.Buffer], matches: int, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, 40 bits of b) of the pairs that stand ``matches`` times in the blobs of a part, about ``COUNTED`` at once: the
+    pairs of a range of hashes of a, by which each blob is ordered."""
+    every = []
+    for x in _kept(blobs):
+        k = int(np.frombuffer(x, U, 1)[0])
+        every.append((np.frombuffer(x, U, k, 8), np.frombuffer(x, np.uint32, k, 8 + 8 * k), np.frombuffer(x, np.uint8, -1, 8 + 12 * k).reshape(-1, 5)))
+    ranges = -(-sum(len(short) for _, _, short in every) // COUNTED)
+    edges = [np.searchsorted(((mix(a) >> U(32)) * U(parts * ranges) >> U(32)) % U(ranges), np.arange(ranges + 1)) for a, _, _ in every]
+    at = [np.r_[0, np.cumsum(size, dtype=np.int64)][edge] for (_, size, _), edge in zip(every, edges)]
+    for r in range(ranges):
         left, right = [], []
-        for batch in batches:
-            for x in batch.column(1):
-                buf = x.as_buffer()
-                k = int(np.frombuffer(buf, U, 1)[0])
-                left.append(np.repeat(np.frombuffer(buf, U, k, 8), np.frombuffer(buf, np.uint32, k, 8 + 8 * k)))
-                short = np.zeros((len(left[-1]), 8), np.uint8)
-                short[:, :5] = np.frombuffer(buf, np.uint8, 5 * len(short), 8 + 12 * k).reshape(-1, 5)
-                right.append(short.view(U).ravel())
-        if not left:
-            return
+        for (a, size, short), edge, pos in zip(every, edges, at):
+            left.append(np.repeat(a[edge[r] : edge[r + 1]], size[edge[r] : edge[r + 1]]))
+            wide = np.zeros((len(left[-1]), 8), np.uint8)
+            wide[:, :5] = short[pos[r] : pos[r + 1]]
+            right.append(wide.view(U).ravel())
         a, b = np.concatenate(left), np.concatenate(right)
         del left, right
         pair = mix(a * U(0x9E3779B97F4A7C15) + b)
         ordered = np.sort(pair)
         often = np.unique(ordered[: len(ordered) - matches + 1][ordered[matches - 1 :] == ordered[: len(ordered) - matches + 1]]) if len(ordered) >= matches else ordered[:0]
         del ordered
-        at = np.searchsorted(often, pair)
-        hit = np.flatnonzero(often[np.minimum(at, len(often) - 1)] == pair) if len(often) else np.zeros(0, np.int64)
+        found = np.searchsorted(often, pair)
+        hit = np.flatnonzero(often[np.minimum(found, len(often) - 1)] == pair) if len(often) else np.zeros(0, np.int64)
         hit = hit[np.unique(pair[hit], return_index=True)[1]]
-        yield from (pa.RecordBatch.from_arrays([pa.array(x[hit[k : k + 100_000]].view(np.int64)) for x in (a, b)], ["a", "short"]) for k in range(0, len(hit), 100_000))
-
-    parts = 2 * buckets
-    both = entries.withColumn("is_root", F.lit(0)).unionByName(roots.withColumn("is_root", F.lit(1))).select("bucket", "is_root", "blob")
-    pairs = both.repartitionById(buckets, F.col("bucket")).mapInArrow(found, "bucket int, blob binary").repartitionById(parts, F.col("bucket"))
-    short = Saved(pairs.mapInArrow(counted, "a bigint, short bigint")).df
-    return short.join(classes.select(F.col("cls").alias("b"), F.col("cls").bitwiseAND(F.lit(SHORT)).alias("short")), "short").select("a", "b").filter("a <> b")
+        yield a[hit], b[hit]
 
 
 def alike(pairs: DataFrame, folds: DataFrame, least: float, contained: bool = False) -> DataFrame:

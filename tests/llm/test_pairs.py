@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +115,46 @@ def test_linked(spark, seed):
     assert want and got == want
 
 
+def test_a_cell_keeps_the_lists_of_its_part_only():
+    """Texts of different minima: a task's memory falls with the number of parts, whatever its texts have in other bands."""
+    rng, peak = np.random.default_rng(12), {}
+    cls, m = rng.integers(2, 2**60, 20_000).astype(np.uint64), rng.integers(0, 2**16, (20_000, 12)).astype(np.uint16)
+    for parts in (1, 40):
+        blobs = [np.array([1000, 0], np.uint32).tobytes() + cls[i : i + 1000].tobytes() + m[i : i + 1000].tobytes() for i in range(0, 20_000, 1000)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([x], pa.binary())], ["cell", "blob"]) for x in blobs]
+        tracemalloc.start()
+        assert sum(map(len, clusters._tied(iter(batches), parts, 4))) == 0
+        peak[parts] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert peak[40] < peak[1] / 2
+
+
+def test_pairs_are_counted_in_ranges(monkeypatch):
+    """60,000 pairs of a part, those of even numbers four times: the same in one range in memory and in many from a file."""
+    rng, parts, got = np.random.default_rng(13), 3, []
+    a = rng.integers(2, 2**63, 120_000).astype(np.uint64)
+    a = a[(shingles.mix(a) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32) == 1][:30_000]
+    b = rng.integers(0, 2**40, len(a)).astype(np.uint64)
+    blobs = []
+    for k in range(4):
+        x, y = (a, b) if k == 0 else (a[::2], b[::2])
+        order = np.argsort(shingles.mix(x))
+        short = np.ascontiguousarray(y[order]).view(np.uint8).reshape(-1, 8)[:, :5]
+        blobs.append(pa.py_buffer(np.uint64(len(x)).tobytes() + x[order].tobytes() + np.ones(len(x), np.uint32).tobytes() + short.tobytes()))
+    for kept, counted in ((1 << 26, 1 << 22), (200_000, 1000)):
+        monkeypatch.setattr(tiles, "KEPT", kept)
+        monkeypatch.setattr(tiles, "COUNTED", counted)
+        runs = list(tiles._met(iter(blobs), 4, parts))
+        assert max(len(x) for x, _ in runs) <= max(1000, counted)
+        got.append(sorted((int(i), int(j)) for x, y in runs for i, j in zip(x, y)))
+    assert got[0] == got[1] == sorted(zip(a[::2].tolist(), b[::2].tolist())) and len(runs) > 50
+
+
+def test_linked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "SPLIT", 60)
+    test_linked(spark, 5)
+
+
 def test_linked_by_weak_links_only(spark):
     """Chains of 12 texts, each with a similarity of 0.21 to the next one and none to the others."""
     rng, rows = random.Random(8), []
