@@ -306,18 +306,6 @@ def compare_apart(entries: DataFrame, roots: DataFrame, buckets: int, least: flo
     its keys a pair is sent as one class with 40 bits of each partner, 6 bytes or so, which are looked up in classes
     afterwards."""
 
-    def blob(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(mix(a))  # by class, and by the range of hashes that is a task's
-        a, b = a[order], b[order]
-        first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-        size = np.diff(np.r_[first, len(a)])
-        short = np.ascontiguousarray(b & U(SHORT)).view(np.uint8).reshape(-1, 8)[:, :5]
-        to = ((mix(a[first]) >> U(32)) * U(parts) >> U(32)).astype(np.int64)
-        edge = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
-        ends = np.r_[first, len(a)]
-        rows = [np.uint64(j - i).tobytes() + a[first[i:j]].tobytes() + size[i:j].astype(np.uint32).tobytes() + short[ends[i] : ends[j]].tobytes() for i, j in zip(edge[:-1], edge[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(to[edge[:-1]].astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "blob"])
-
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every: tuple[list, list] = ([], [])
         for batch in batches:
@@ -330,10 +318,10 @@ def compare_apart(entries: DataFrame, roots: DataFrame, buckets: int, least: flo
             held.append((np.repeat(a, times), np.repeat(b, times)) if (times > 1).any() else (a, b))
             size += len(held[-1][0])
             if size >= 4 * HELD:
-                yield blob(*map(np.concatenate, zip(*held)))
-                held, size = [], 0
+                yield _by_class(held, parts)
+                size = 0
         if held:
-            yield blob(*map(np.concatenate, zip(*held)))
+            yield _by_class(held, parts)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in _met((x.as_buffer() for batch in batches for x in batch.column(1)), matches, parts):
@@ -346,6 +334,25 @@ def compare_apart(entries: DataFrame, roots: DataFrame, buckets: int, least: flo
     return short.join(classes.select(F.col("cls").alias("b"), F.col("cls").bitwiseAND(F.lit(SHORT)).alias("short")), "short").select("a", "b").filter("a <> b")
 
 
+def _by_class(held: list[tuple[np.ndarray, np.ndarray]], parts: int) -> pa.RecordBatch:
+    """(bucket, blob) of pairs (a, b), each a once with 40 bits of each b, by the range of hashes of a that is a task's;
+    ``held`` is emptied, so that its pairs are in memory once while they are put in order."""
+    a, b = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+    held.clear()
+    order = np.argsort(mix(a))
+    a = a[order]
+    b = b[order] & U(SHORT)
+    del order
+    first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+    ends = np.r_[first, len(a)]
+    a, size = a[first], np.diff(ends).astype(np.uint32)
+    short = b.view(np.uint8).reshape(-1, 8)[:, :5]
+    to = ((mix(a) >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+    edge = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
+    rows = [np.uint64(j - i).tobytes() + a[i:j].tobytes() + size[i:j].tobytes() + short[ends[i] : ends[j]].tobytes() for i, j in zip(edge[:-1], edge[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(to[edge[:-1]].astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "blob"])
+
+
 def _kept(blobs: Iterator[pa.Buffer]) -> list[memoryview]:
     """The blobs, which lie in a file that is mapped and goes with them if they are more than ``KEPT`` bytes."""
     held, size, ends, file = [], 0, [0], None

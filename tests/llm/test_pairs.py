@@ -150,6 +150,22 @@ def test_pairs_are_counted_in_ranges(monkeypatch):
     assert got[0] == got[1] == sorted(zip(a[::2].tolist(), b[::2].tolist())) and len(runs) > 50
 
 
+def test_pairs_are_packed_in_little_memory():
+    rng = np.random.default_rng(14)
+    pool = rng.integers(2, 2**63, 50_000).astype(np.uint64)
+    tracemalloc.start()
+    held = [tuple(pool[rng.integers(0, len(pool), 100_000)] for _ in "ab") for _ in range(10)]
+    want = sorted({(a, b & tiles.SHORT) for x in held for a, b in zip(x[0].tolist(), x[1].tolist())})
+    tracemalloc.reset_peak()
+    size = tracemalloc.get_traced_memory()[0]
+    batch = tiles._by_class(held, 7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not held and peak - size < 1.5 * 16_000_000  # besides the pairs as they come
+    got = [p for x in batch.column(1) for a, b in tiles._met(iter([x.as_buffer()]), 1, 7) for p in zip(a.tolist(), b.tolist())]
+    assert batch.num_rows == 7 and sorted(got) == want
+
+
 def test_linked_in_parts(spark, monkeypatch):
     monkeypatch.setattr(clusters, "SPLIT", 60)
     test_linked(spark, 5)
