@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,18 +83,63 @@ def sets_of(df: DataFrame, text_col: str, wanted: np.ndarray) -> DataFrame:
     return df.select(F.col(text_col).cast("string")).mapInArrow(part, "cls bigint, data binary")
 
 
+def common_sets(df: DataFrame, id_col: str, text_col: str, level: Broadcast[sketches.Levels]) -> DataFrame:
+    """(id bigint, cls bigint, n int, data binary) of the texts that have triples: class, number of triples, and those that
+    may occur in other texts (by counters of all texts, ``rarity``), rarest first."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            doc, t, cls = class_of(b.column(1).to_pylist())
+            n = np.bincount(doc, minlength=len(cls))
+            v = level.value.of(t)
+            order, _ = tiles.rarest(doc, t, v)
+            order = order[v[order] > 0]
+            data = tiles.packs(t[order], np.bincount(doc[order], minlength=len(cls)))
+            has = pa.array(cls != 0)
+            yield pa.RecordBatch.from_arrays([x.filter(has) for x in (b.column(0), pa.array(cls.view(np.int64)), pa.array(n, pa.int32()), data)], ["id", "cls", "n", "data"])
+
+    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string")).mapInArrow(part, "id bigint, cls bigint, n int, data binary")
+
+
+def unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (cls, n, data) of ``common_sets``, each class with such triples once: class, n, number of these, and these."""
+    cls = b.column(0).to_numpy().view(U)
+    b = b.take(pa.array(first_of_each(cls)))
+    t, size = tiles.unpack(b.column(2))
+    some = size > 0
+    return b.column(0).to_numpy().view(U)[some], b.column(1).to_numpy().astype(np.int64)[some], size[some], t
+
+
 def mixed(cls: np.ndarray) -> np.ndarray:
     return (cls >> U(1)) * U(0x9E3779B97F4A7C15) >> U(20)
 
 
 def verified(df: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
     """Exact counts (a, b, n_a, n_b, both) for pairs (a, b) of classes, each pair once. Only wanted sets are moved."""
-    n = pairs.count()
+    sets = sets_of(df, text_col, _wanted(pairs)).groupBy("cls").agg(F.first("data").alias("data"))
+    joined = pairs.join(sets.withColumnsRenamed({"cls": "a", "data": "set_a"}), "a").join(sets.withColumnsRenamed({"cls": "b", "data": "set_b"}), "b")
+    return tiles.shared(joined)
+
+
+def verified_sets(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``verified`` by the rows of ``common_sets``."""
+    bits = sets.sparkSession.sparkContext.broadcast(_wanted(pairs))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cls = b.column(0).to_numpy().view(U)
+            at = first_of_each(cls)
+            yield b.take(pa.array(at[sketches.has(bits.value, mixed(cls[at]))]))
+
+    some = sets.select("cls", "n", "data").mapInArrow(part, "cls bigint, n int, data binary").groupBy("cls").agg(F.first("n").alias("n"), F.first("data").alias("data"))
+    a, b = (some.withColumnsRenamed({"cls": x, "n": f"n_{x}", "data": f"set_{x}"}) for x in "ab")
+    return tiles.shared(pairs.join(a, "a").join(b, "b"))
+
+
+def _wanted(pairs: DataFrame) -> np.ndarray:
+    """A bit set of the classes of pairs (a, b)."""
 
     def both(b: pa.RecordBatch) -> np.ndarray:
         return mixed(np.concatenate([b.column(0).to_numpy(), b.column(1).to_numpy()]).view(U))
 
-    wanted = sketches.bits(pairs.select("a", "b"), both, sketches.size_for(2 * n))
-    sets = sets_of(df, text_col, wanted).groupBy("cls").agg(F.first("data").alias("data"))
-    joined = pairs.join(sets.withColumnsRenamed({"cls": "a", "data": "set_a"}), "a").join(sets.withColumnsRenamed({"cls": "b", "data": "set_b"}), "b")
-    return tiles.shared(joined)
+    return sketches.bits(pairs.select("a", "b"), both, sketches.size_for(2 * pairs.count()))

@@ -10,7 +10,8 @@ through others, 10 members at least). A mixture divides space into a few ellipso
 linked, so these clusters come from min-hash links: bands of two minima; in a band's list each class is tied to the
 list's first member, or else to the one before it, never to all. Links are checked exactly on the triple sets before the
 first components are formed. Links that this misses are then found without loss: ``across`` looks at all pairs of classes
-of different components by the prefix filter of problem 4, and the links it finds join the components.
+of different components by the prefix filter of problem 4, and the links it finds join the components. Texts are read
+twice, for the counters of their triples and for the sets of those that occur more than once; all steps read these.
 
 Cases: null, empty and short texts (under 12 words) are in no linked cluster; in ``clusters`` texts without words have
 zero features and fall in whichever component lies nearest; copies are one class for the links and count as members.
@@ -19,17 +20,19 @@ zero features and fall in whichever component lies nearest; copies are one class
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import tiles
-from gaugeframe.llm.classes import class_of, first_of_each, members, of_first, rarity, verified
+from gaugeframe.llm.classes import common_sets, rarity, unpacked, verified_sets
 from gaugeframe.llm.graph import components
-from gaugeframe.llm.shingles import U, mix, slices, triples, words
+from gaugeframe.llm.shingles import U, mix, slices, words
+from gaugeframe.llm.sketches import Levels
 from gaugeframe.sources.scratch import Saved, freed, save
 
 ROWS = 2  # minima in a band
@@ -60,20 +63,14 @@ def _band_keys(m: np.ndarray) -> list[np.ndarray]:
     return [(x[:, b * ROWS] << U(16)) | x[:, b * ROWS + 1] for b in range(BANDS)]
 
 
-def candidates(df: DataFrame, text_col: str, similar: int = 4) -> DataFrame:
+def candidates(sets: DataFrame, similar: int = 4) -> DataFrame:
     """(a, b; a < b): classes with a band in common and ``similar`` equal minima of the group's twelve."""
-    texts = df.select(F.col(text_col).cast("string"))
-    parts = max(1, -(-texts.count() // SPLIT))
+    parts = max(1, -(-sets.count() // SPLIT))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            doc, t, cls = class_of(b.column(0).to_pylist())
-            at = first_of_each(cls)
-            row_of = np.full(len(cls), -1)
-            row_of[at] = np.arange(len(at))
-            row, t = row_of[doc][row_of[doc] >= 0], t[row_of[doc] >= 0]
-            by = np.argsort(row, kind="stable")
-            m = minima(row[by], t[by], len(at))
+            cls, _, size, t = unpacked(b)
+            m = minima(np.repeat(np.arange(len(cls)), size), t, len(cls))
             ids, blobs = [], []
             for g in range(GROUPS):
                 own = m[:, g * BANDS * ROWS : (g + 1) * BANDS * ROWS]
@@ -83,14 +80,14 @@ def candidates(df: DataFrame, text_col: str, similar: int = 4) -> DataFrame:
                 for cell, x in cells:
                     if len(x):
                         ids.append(cell)
-                        blobs.append(np.array([len(x), cell % parts], np.uint32).tobytes() + cls[at][x].tobytes() + own[x].tobytes())
+                        blobs.append(np.array([len(x), cell % parts], np.uint32).tobytes() + cls[x].tobytes() + own[x].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["cell", "blob"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in _tied(batches, parts, similar):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(got[:, k]).view(np.int64)) for k in (0, 1)], ["a", "b"])
 
-    cells = texts.mapInArrow(emit, "cell int, blob binary").repartitionById(GROUPS * parts, F.col("cell"))
+    cells = sets.select("cls", "n", "data").mapInArrow(emit, "cell int, blob binary").repartitionById(GROUPS * parts, F.col("cell"))
     return cells.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
@@ -139,51 +136,53 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return cls, np.concatenate([m for _, m in held])[at]
 
 
-MATCHES = 4  # keys in common that ``across`` asks for, or all that a pair needs
+TURNS = 4  # shares of the lists, each made and compared by itself
 
 
-def across(df: DataFrame, text_col: str, roots: DataFrame, least: float, classes: DataFrame, matches: int = MATCHES) -> DataFrame:
+def across(sets: DataFrame, roots: DataFrame, least: float, level: Broadcast[Levels]) -> DataFrame:
     """(a, b): every pair of classes of different roots with a Jaccard similarity of at least ``least``.
 
-    roots: (node, root); a class without one is its own root; classes: (cls), each once. The prefix filter of problem 4 loses no pair, and pairs of
-    one root, which can tell nothing new, are never formed. At low similarities most pairs of a list meet by chance in one
-    key; prefixes are longer by ``matches - 1`` keys here, so that a pair must have so many in common."""
-    texts = df.select(F.col(text_col).cast("string").alias("text"))
-    counted = rarity(texts)
-    level = df.sparkSession.sparkContext.broadcast(counted)
+    sets: ``common_sets``; roots: (node, root); a class without one is its own root. The prefix filter of problem 4 loses no
+    pair, and pairs of one root, which can tell nothing new, are never formed. At low similarities most pairs of a list meet
+    by chance in one key, so an entry brings the bits of the keys after its own, and a pair that cannot have enough in
+    common from this key on is never written."""
 
-    def entries(b: pa.RecordBatch) -> tiles.Entries:
-        doc, t, cls = class_of(b.column(0).to_pylist())
-        doc, t = of_first(doc, t, cls)
-        n = np.bincount(doc, minlength=len(cls))
-        v = level.value.of(t)
-        order, place = tiles.rarest(doc, t, v)
-        doc, t, v = doc[order], t[order], v[order]
-        keep = tiles.prefix(n[doc], place, least, matches) & (v > 0)
-        doc, t, v, place = doc[keep], t[keep], v[keep], place[keep]
-        return tiles.Entries(cls[doc], t, n[doc], tiles.similar_reach(n[doc], place, least, matches), level.value.often(v))
+    def entries(b: pa.RecordBatch, weighed: bool = True) -> tiles.Entries:
+        cls, n, size, t = unpacked(b)
+        doc = np.repeat(np.arange(len(cls)), size)
+        place = np.arange(len(t)) - np.repeat(np.cumsum(size) - n, size)  # what occurs once has no partner and comes first
+        keep = tiles.prefix(n[doc], place, least)
+        fold = tiles.after(t, size)[keep] if weighed else None
+        doc, t, place = doc[keep], t[keep], place[keep]
+        return tiles.Entries(cls[doc], t, n[doc], tiles.similar_reach(n[doc], place, least), level.value.often(level.value.of(t)), fold)
 
-    buckets = tiles.buckets_for(counted.total)
-    found = tiles.compare_apart(tiles.packed(texts, entries, buckets), tiles.packed_roots(texts, entries, buckets, roots), buckets, least, matches, classes)
-    return _links(df, text_col, Saved(found).df, least)
+    rows = sets.select("cls", "n", "data")
+    buckets = TURNS * tiles.buckets_for(int(level.value.total * (1 - least)) + 1)
+    of = Saved(tiles.places_of(rows, lambda b: entries(b, False), buckets, roots))
+    found = [Saved(tiles.compare_apart(tiles.packed(rows, entries, buckets, k, TURNS), tiles.packed_roots(of.df, k, TURNS), buckets // TURNS, least).distinct()) for k in range(TURNS)]
+    near = Saved(reduce(DataFrame.union, [x.df for x in found]).distinct())
+    for x in (of, *found):
+        x.drop()
+    return _links(sets, near.df, least)
 
 
-def _links(df: DataFrame, text_col: str, pairs: DataFrame, least: float) -> DataFrame:
-    return verified(df, text_col, pairs).filter(F.col("both") * (1 + least) >= least * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b")
+def _links(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    return verified_sets(sets, pairs).filter(F.col("both") * (1 + least) >= least * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b")
 
 
 def linked(df: DataFrame, id_col: str, text_col: str, least: float = 0.2, smallest: int = 10) -> DataFrame:
     """(first_id, id): each member but the first of each cluster of at least ``smallest`` rows."""
-    m = Saved(members(df, id_col, text_col).select("id", "cls").distinct()).df
-    found = Saved(candidates(df, text_col))
-    edges = save(_links(df, text_col, found.df, least))
+    level = df.sparkSession.sparkContext.broadcast(rarity(df.select(F.col(text_col).cast("string").alias("text"))))
+    sets = save(common_sets(df, id_col, text_col, level))
+    found = Saved(candidates(sets))
+    edges = save(_links(sets, found.df, least))
     found.drop()
     roots = save(components(edges))
-    rest = across(df, text_col, roots, least, m.select("cls").distinct())
+    rest = across(sets, roots, least, level)
     for end in "ab":  # links across join whole components
         rest = rest.join(roots.withColumnsRenamed({"node": end, "root": f"root_{end}"}), end, "left").withColumn(end, F.coalesce(f"root_{end}", end)).select("a", "b")
     joined = components(rest).select(F.col("node").alias("root"), F.col("root").alias("whole"))
-    rows = m.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("id", F.coalesce("root", "cls").alias("root"))
+    rows = sets.select("id", "cls").distinct().join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("id", F.coalesce("root", "cls").alias("root"))
     rows = Saved(rows.join(joined, "root", "left").select("id", F.coalesce("whole", "root").alias("root"))).df
     size = rows.groupBy("root").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).filter(F.col("n") >= smallest)
     return rows.join(size, "root").filter("id > first_id").select("first_id", "id")

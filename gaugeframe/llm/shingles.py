@@ -59,11 +59,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of about ``most`` bytes of text (or one row), so that long texts don't add up in memory."""
+    """The batches in parts of about ``most`` bytes of text or packed items (or one row), so that long ones don't add up in memory."""
     for b in batches:
         size = np.zeros(b.num_rows, np.int64)
         for c in b.columns:
-            if pa.types.is_string(c.type) or pa.types.is_large_string(c.type):
+            if any(of(c.type) for of in (pa.types.is_string, pa.types.is_large_string, pa.types.is_binary)):
                 size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
         if size.sum() <= most or b.num_rows < 2:
             yield b

@@ -40,6 +40,7 @@ from gaugeframe.llm.shingles import U, mix, slices
 from gaugeframe.sources.scratch import Saved
 
 BITS = 256  # of a folded bit vector
+AFTER = 192  # of a bit vector of the keys after an entry's own
 TILE = 1 << 20  # pairs compared at once
 HELD = 1 << 20  # entries or pairs that a task holds before it hands them on
 LIST = 1 << 16  # entries of a key in a list
@@ -58,7 +59,7 @@ class Entries(NamedTuple):
     n: np.ndarray
     reach: np.ndarray
     often: np.ndarray
-    fold: np.ndarray | None = None  #: uint8 [entries, BITS / 8], for pairs that are weighed in their bucket
+    fold: np.ndarray | None = None  #: bit vectors (bytes or uint64, by entry), for pairs that are weighed in their bucket
 
     def take(self, at: np.ndarray) -> Entries:
         return Entries(*(x if x is None else x[at] for x in self))
@@ -75,6 +76,23 @@ def folded(doc: np.ndarray, items: np.ndarray, docs: int) -> np.ndarray:
     return np.packbits(on, axis=1)
 
 
+def after(items: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """uint64 [items, AFTER / 64]: of docs that have so many items, one doc after another, bits of the items that come after
+    each item in its doc."""
+    out = np.zeros((len(items), AFTER // 64), U)
+    bit = mix(items + U(0xABCDEF)) % U(AFTER)
+    word, bit = (bit >> U(6)).astype(np.int64), U(1) << (bit & U(63))
+    by = np.argsort(-size, kind="stable")
+    last, size = np.cumsum(size)[by] - 1, size[by]
+    on = np.zeros((len(size), AFTER // 64), U)
+    docs = len(size) - np.cumsum(np.bincount(size))  # by k, those of more than k items
+    for k, m in enumerate(docs[:-1]):  # the k-th item from the end of each
+        at = last[:m] - k
+        out[at] = on[:m]
+        on[np.arange(m), word[at]] |= bit[at]
+    return out
+
+
 def rarest(doc: np.ndarray, items: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order that puts each doc's rarest items first, and each one's place in its doc. Items come ordered by doc and
     value, so that ties stay in order of the value."""
@@ -167,8 +185,8 @@ def packed(df: DataFrame, of: Callable[[pa.RecordBatch], Entries], buckets: int,
     return df.mapInArrow(part, "bucket int, blob binary")
 
 
-def packed_roots(df: DataFrame, of: Callable[[pa.RecordBatch], Entries], buckets: int, roots: DataFrame) -> DataFrame:
-    """(bucket int, blob binary): of roots (node, root), each one in all buckets where its class has entries."""
+def places_of(df: DataFrame, of: Callable[[pa.RecordBatch], Entries], buckets: int, roots: DataFrame) -> DataFrame:
+    """(node, root, places binary): of roots (node, root), those whose class has entries, with the buckets of these."""
     n = roots.count()
     bits = sketches.bits(roots.select("node"), lambda b: b.column(0).to_numpy().view(U) * U(0x9E3779B97F4A7C15) >> U(20), sketches.size_for(n))
     known = df.sparkSession.sparkContext.broadcast(bits)
@@ -186,25 +204,36 @@ def packed_roots(df: DataFrame, of: Callable[[pa.RecordBatch], Entries], buckets
             edge = np.r_[np.flatnonzero(new), len(cls)]
             yield pa.RecordBatch.from_arrays([pa.array(cls[edge[:-1]].view(np.int64)), pa.array([bucket[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])], pa.binary())], ["node", "places"])
 
+    at = df.mapInArrow(places, "node bigint, places binary").groupBy("node").agg(F.first("places").alias("places"))  # copies have the same ones
+    return roots.join(at, "node").select("node", "root", "places")
+
+
+def packed_roots(of: DataFrame, turn: int = 0, turns: int = 1) -> DataFrame:
+    """(bucket int, blob binary): of the roots of ``places_of``, each one in all buckets of the turn where its class has entries."""
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 places = [np.frombuffer(x.as_buffer(), np.uint32) for x in b.column(2)]
                 size = np.array(list(map(len, places)))
-                yield _blobs(np.concatenate(places), [np.repeat(b.column(k).to_numpy().view(U), size) for k in (0, 1)])
+                to = np.concatenate(places)
+                own = to % np.uint32(turns) == turn
+                yield _blobs(to[own] // np.uint32(turns), [np.repeat(b.column(k).to_numpy().view(U), size)[own] for k in (0, 1)])
 
-    at = df.mapInArrow(places, "node bigint, places binary").groupBy("node").agg(F.first("places").alias("places"))  # copies have the same ones
-    return roots.join(at, "node").select("node", "root", "places").mapInArrow(spread, "bucket int, blob binary")
+    return of.select("node", "root", "places").mapInArrow(spread, "bucket int, blob binary")
 
 
-def _load(blobs: list[pa.Buffer], folds: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
-    """cls; key, side (of a class) and n in one number; reach; bit vectors (uint64 [entries, BITS / 64]), if entries bring
+def _load(blobs: list[pa.Buffer], folds: int = 0, apart: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """cls; key, side (of a class) and n in one number; reach; bit vectors (uint64 [entries, folds]), if entries bring
     them: ordered by that number and the class, each entry once."""
-    c, key, n, reach, *fold = _columns(blobs, [U, np.uint32, np.uint16, np.uint16, *[U] * (BITS // 64 * folds)])
+    c, key, n, reach, *fold = _columns(blobs, [U, np.uint32, np.uint16, np.uint16, *[U] * folds])
     both = (key.astype(U) << U(17)) | ((c & U(1)) << U(16)) | n.astype(U)
     order = np.lexsort((c, both))
     c, both = c[order], both[order]
-    fresh = np.r_[True, (c[1:] != c[:-1]) | (both[1:] != both[:-1])]
+    differ = (c[1:] != c[:-1]) | (both[1:] != both[:-1])
+    if apart:  # two keys of a class may have the same hash, and each may be the first that a pair has in common
+        differ |= reach[order][1:] != reach[order][:-1]
+    fresh = np.r_[True, differ]
     order = order[fresh]
     return c[fresh], both[fresh], reach[order], np.stack([x[order] for x in fold], axis=1) if folds else None
 
@@ -223,14 +252,17 @@ def _tiles(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndar
         i = max(j, i + 1)
 
 
-def _pairs(blobs: list[pa.Buffer], contained: bool, roots: list[pa.Buffer] | None = None, least: float | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, population counts of both together) of the entries of a bucket that lie within each other's reach; with
-    roots, of those of different roots only; with least, of those whose bit vectors don't rule out that similarity."""
+def _pairs(blobs: list[pa.Buffer], contained: bool, roots: list[pa.Buffer] | None = None, least: float | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b) of the entries of a bucket that lie within each other's reach; with roots, of those of different roots only;
+    with least, of those whose bit vectors don't rule out that similarity: with roots, they are of the keys after an
+    entry's own, else of all."""
     if not blobs:
         return
-    cls, both, reach, fold = _load(blobs, least is not None)
+    cls, both, reach, fold = _load(blobs, 0 if least is None else (BITS if roots is None else AFTER) // 64, roots is not None)
     if roots is not None:
-        cls, both, reach, root = _by_root(cls, both, reach, roots)
+        order, both, root = _by_root(cls, both, roots)
+        cls, reach, fold = cls[order], reach[order], fold[order]
+        spare = _spare(both, reach, fold, least)
     n = (both & U(MOST)).astype(np.uint16)
     key = both >> U(17) << U(17)
     side = (both & U(1 << 16)) != 0
@@ -251,7 +283,11 @@ def _pairs(blobs: list[pa.Buffer], contained: bool, roots: list[pa.Buffer] | Non
         if roots is not None:
             ok = root.take(i) != root.take(j)
             i, j = i[ok], j[ok]
-        if least is not None:
+        if roots is not None:
+            most = np.minimum(spare.take(i), spare.take(j)) + np.bitwise_count(fold.take(i, axis=0) & fold.take(j, axis=0)).sum(1, dtype=np.int64)
+            ok = most >= (n.take(i).astype(np.int64) + n.take(j)) * (least / (1 + least)) - 1e-6
+            i, j = i[ok], j[ok]
+        elif least is not None:
             differ = np.bitwise_count(fold.take(i, axis=0) ^ fold.take(j, axis=0)).sum(1, dtype=np.int64)
             ok = differ <= (1 - least) / (1 + least) * (n.take(i).astype(np.int64) + n.take(j)) + 1e-6
             i, j = i[ok], j[ok]
@@ -259,11 +295,21 @@ def _pairs(blobs: list[pa.Buffer], contained: bool, roots: list[pa.Buffer] | Non
             a, b = cls.take(i), cls.take(j)
             if not contained:
                 a, b = np.minimum(a, b), np.maximum(a, b)
-            yield a, b, n.take(i).astype(np.int64) + n.take(j)
+            yield a, b
 
 
-def _by_root(cls: np.ndarray, both: np.ndarray, reach: np.ndarray, roots: list[pa.Buffer]) -> tuple[np.ndarray, ...]:
-    """The entries with the number of their root, those of the commonest root of each key before the others."""
+def _spare(both: np.ndarray, reach: np.ndarray, fold: np.ndarray, least: float) -> np.ndarray:
+    """Of each entry, its own key and the keys after it less the bits they set. If an entry's key is the first one that it
+    has in common with another, they have no more keys in common than this and the bits that both have set."""
+    n = (both & U(MOST)).astype(np.int64)
+    left = np.floor((reach + 1 + n) * (least / (1 + least)) + 1e-6).astype(np.int64)  # see similar_reach
+    left[(n == MOST) | (reach == MOST)] = 1 << 30  # not known
+    return left - np.bitwise_count(fold).sum(1, dtype=np.int64)
+
+
+def _by_root(cls: np.ndarray, both: np.ndarray, roots: list[pa.Buffer]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the entries, those of the commonest root of each key before the others; in it their numbers, with the side
+    that this gives them, and the numbers of their roots."""
     node, of = _columns(roots, [U, U])
     order = np.argsort(node)
     node, of = node[order], of[order]
@@ -278,7 +324,7 @@ def _by_root(cls: np.ndarray, both: np.ndarray, reach: np.ndarray, roots: list[p
     common = (pair[most] & 0xFFFFFFFF)[run]
     both = both | np.where(root == common, U(0), U(1 << 16))
     order = np.argsort(both, kind="stable")
-    return cls[order], both[order], reach[order], root[order]
+    return order, both[order], root[order]
 
 
 def compare(blobs: DataFrame, contained: bool = False, least: float | None = None) -> DataFrame:
@@ -289,7 +335,7 @@ def compare(blobs: DataFrame, contained: bool = False, least: float | None = Non
     least population count of a partner, that of b the largest."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b, _ in _pairs([x.as_buffer() for batch in batches for x in batch.column(1)], contained, least=least):
+        for a, b in _pairs([x.as_buffer() for batch in batches for x in batch.column(1)], contained, least=least):
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], ["a", "b"])
 
     return blobs.mapInArrow(part, "a bigint, b bigint")
@@ -298,40 +344,24 @@ def compare(blobs: DataFrame, contained: bool = False, least: float | None = Non
 SHORT = (1 << 40) - 1  # the part of a class that is sent for the second one of a pair
 
 
-def compare_apart(entries: DataFrame, roots: DataFrame, buckets: int, least: float, matches: int, classes: DataFrame) -> DataFrame:
-    """(a bigint, b bigint): classes of different roots that lie within reach of each other at ``matches`` keys, or at as
-    many as their similarity of ``least`` needs if those are fewer; each pair once, and perhaps a few more pairs.
+def compare_apart(entries: DataFrame, roots: DataFrame, buckets: int, least: float) -> DataFrame:
+    """(a bigint, b bigint; a < b as unsigned numbers): classes of different roots whose Jaccard similarity may be ``least``:
+    all that have it, and few others; pairs may come more than once.
 
-    entries, roots: ``packed`` and ``packed_roots`` (a class without a root is its own); classes: (cls), each once. To count
-    its keys a pair is sent as one class with 40 bits of each partner, 6 bytes or so, which are looked up in classes
-    afterwards."""
+    entries, roots: ``packed`` and ``packed_roots`` of a turn (a class without a root is its own) of so many buckets; each
+    entry brings the bit vector of the keys ``after`` it. A pair is weighed at every key where it meets and is not counted,
+    as it passes at the first key that it has in common if it is similar enough."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every: tuple[list, list] = ([], [])
         for batch in batches:
             for is_root, x in zip(batch.column(1).to_pylist(), batch.column(2)):
                 every[is_root].append(x.as_buffer())
-        held, size = [], 0
-        for a, b, n in _pairs(every[0], False, every[1]):
-            # what needs fewer matches is counted as if it had them all
-            times = np.where(np.ceil(n * (least / (1 + least)) - 1e-6) < matches, matches, 1)
-            held.append((np.repeat(a, times), np.repeat(b, times)) if (times > 1).any() else (a, b))
-            size += len(held[-1][0])
-            if size >= 4 * HELD:
-                yield _by_class(held, parts)
-                size = 0
-        if held:
-            yield _by_class(held, parts)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b in _met((x.as_buffer() for batch in batches for x in batch.column(1)), matches, parts):
-            yield from (pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000].view(np.int64)) for x in (a, b)], ["a", "short"]) for k in range(0, len(a), 100_000))
+        for a, b in _pairs(every[0], False, every[1], least):
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], ["a", "b"])
 
-    parts = 2 * buckets
     both = entries.withColumn("is_root", F.lit(0)).unionByName(roots.withColumn("is_root", F.lit(1))).select("bucket", "is_root", "blob")
-    pairs = both.repartitionById(buckets, F.col("bucket")).mapInArrow(found, "bucket int, blob binary").repartitionById(parts, F.col("bucket"))
-    short = Saved(pairs.mapInArrow(counted, "a bigint, short bigint")).df
-    return short.join(classes.select(F.col("cls").alias("b"), F.col("cls").bitwiseAND(F.lit(SHORT)).alias("short")), "short").select("a", "b").filter("a <> b")
+    return both.repartitionById(buckets, F.col("bucket")).mapInArrow(found, "a bigint, b bigint")
 
 
 def _by_class(held: list[tuple[np.ndarray, np.ndarray]], parts: int) -> pa.RecordBatch:
@@ -421,7 +451,9 @@ def alike(pairs: DataFrame, folds: DataFrame, least: float, contained: bool = Fa
 
 
 def shared(pairs: DataFrame) -> DataFrame:
-    """pairs (a, b, set_a, set_b; sets as packed 48-bit triples): (a, b, n_a int, n_b int, both int), exactly."""
+    """pairs (a, b, set_a, set_b; sets as packed 48-bit triples): (a, b, n_a int, n_b int, both int), exactly. If pairs have
+    n_a and n_b, these stand for the sizes of the sets."""
+    sizes = [c for c in ("n_a", "n_b") if c in pairs.columns]
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -431,18 +463,28 @@ def shared(pairs: DataFrame) -> DataFrame:
                 k = np.arange(x.num_rows, dtype=np.int64)
                 every = np.sort(np.concatenate([(np.repeat(k, m).astype(U) << U(48)) | t for t, m in ((ta, na), (tb, nb))]))
                 same = every[1:][every[1:] == every[:-1]] >> U(48)
-                yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), *(pa.array(v, pa.int32()) for v in (na, nb, np.bincount(same.astype(np.int64), minlength=x.num_rows)))], ["a", "b", "n_a", "n_b", "both"])
+                n = [x.column(4), x.column(5)] if sizes else [pa.array(v, pa.int32()) for v in (na, nb)]
+                yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), *n, pa.array(np.bincount(same.astype(np.int64), minlength=x.num_rows), pa.int32())], ["a", "b", "n_a", "n_b", "both"])
 
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(part, "a bigint, b bigint, n_a int, n_b int, both int")
+    return pairs.select("a", "b", "set_a", "set_b", *sizes).mapInArrow(part, "a bigint, b bigint, n_a int, n_b int, both int")
 
 
 def pack(items: np.ndarray) -> bytes:
     return np.ascontiguousarray(items).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
+def packs(items: np.ndarray, size: np.ndarray) -> pa.Array:
+    """``pack`` of the items of docs that have so many, one doc after another."""
+    ends = np.r_[0, np.cumsum(6 * size)].astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(pack(items))])
+
+
 def unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    raw = [x.as_buffer() for x in column]
-    size = np.array([len(r) // 6 for r in raw], np.int64)
-    out = np.zeros((size.sum(), 8), np.uint8)
-    out[:, :6] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6)
-    return out.view(U).ravel(), size
+    _, ends, raw = column.cast(pa.binary()).buffers()
+    if not len(column):
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    out = np.zeros(((ends[-1] - ends[0]) // 6, 8), np.uint8)
+    if len(out):
+        out[:, :6] = np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]].reshape(-1, 6)
+    return out.view(U).ravel(), np.diff(ends) // 6

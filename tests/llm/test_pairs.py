@@ -166,6 +166,24 @@ def test_pairs_are_packed_in_little_memory():
     assert batch.num_rows == 7 and sorted(got) == want
 
 
+def test_pairs_of_chance_are_ruled_out_where_they_meet():
+    """300 sets of 60, of which 15 are frequent keys (they come last), share 4 of these with each other; five pairs have a
+    similarity of 0.2 or more."""
+    rng = random.Random(15)
+    sets = [{*rng.sample(range(9000), 45), *rng.sample(range(9000, 9060), 15)} for _ in range(300)]
+    for i in range(0, 10, 2):
+        sets[i + 1] = {*rng.sample(sorted(sets[i]), 20 + i), *rng.sample(range(9060, 9100), 40 - i)}
+    want = {(i, j) for i in range(300) for j in range(i) if 6 * len(sets[i] & sets[j]) >= len(sets[i]) + len(sets[j])}
+    t, size = np.array([k for x in sets for k in sorted(x)]).astype(np.uint64), np.array([len(x) for x in sets])
+    doc, place = np.repeat(np.arange(300), size), np.concatenate([np.arange(k) for k in size])
+    keep = tiles.prefix(size[doc], place, 0.2)
+    columns = [(2 * doc + 2).astype(np.uint64), t.astype(np.uint32), size[doc].astype(np.uint16), tiles.similar_reach(size[doc], place, 0.2).astype(np.uint16), *tiles.after(t, size).T]
+    blob = pa.py_buffer(b"".join(np.ascontiguousarray(x[keep]).tobytes() for x in columns))
+    got = [(int(j) // 2 - 1, int(i) // 2 - 1) for x, y in tiles._pairs([blob], False, [], 0.2) for i, j in zip(x, y)]
+    met = sum(len(sets[i] & sets[j]) for i in range(300) for j in range(i))
+    assert len(want) >= 5 and want <= set(got) and len(got) < met / 100
+
+
 def test_linked_in_parts(spark, monkeypatch):
     monkeypatch.setattr(clusters, "SPLIT", 60)
     test_linked(spark, 5)
