@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import sketches, tiles
-from gaugeframe.llm.shingles import U, set_hashes, slices, triples, words
+from gaugeframe.llm.shingles import FEW, U, set_hashes, slices, triples, words
 
 
 def class_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,13 +88,12 @@ def common_sets(df: DataFrame, id_col: str, text_col: str, level: Broadcast[sket
     may occur in other texts (by counters of all texts, ``rarity``), rarest first."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, FEW):
             doc, t, cls = class_of(b.column(1).to_pylist())
             n = np.bincount(doc, minlength=len(cls))
             v = level.value.of(t)
-            order, _ = tiles.rarest(doc, t, v)
-            order = order[v[order] > 0]
-            data = tiles.packs(t[order], np.bincount(doc[order], minlength=len(cls)))
+            doc, t, v = doc[v > 0], t[v > 0], v[v > 0]
+            data = tiles.packs(tiles.by_rarity(doc, t, v), np.bincount(doc, minlength=len(cls)))
             has = pa.array(cls != 0)
             yield pa.RecordBatch.from_arrays([x.filter(has) for x in (b.column(0), pa.array(cls.view(np.int64)), pa.array(n, pa.int32()), data)], ["id", "cls", "n", "data"])
 

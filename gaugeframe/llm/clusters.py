@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from gaugeframe.llm import tiles
 from gaugeframe.llm.classes import common_sets, rarity, unpacked, verified_sets
 from gaugeframe.llm.graph import components
-from gaugeframe.llm.shingles import U, mix, slices, words
+from gaugeframe.llm.shingles import FEW, U, mix, slices, words
 from gaugeframe.llm.sketches import Levels
 from gaugeframe.sources.scratch import Saved, freed, save
 
@@ -68,7 +68,7 @@ def candidates(sets: DataFrame, similar: int = 4) -> DataFrame:
     parts = max(1, -(-sets.count() // SPLIT))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, FEW):
             cls, _, size, t = unpacked(b)
             m = minima(np.repeat(np.arange(len(cls)), size), t, len(cls))
             ids, blobs = [], []
@@ -112,7 +112,9 @@ def _tied(batches: Iterator[pa.RecordBatch], parts: int, similar: int) -> Iterat
                 keep = (x != y) & ((mm[i] == mm[j[i]]).sum(1) >= similar)
                 out.append(np.stack([np.minimum(x, y)[keep], np.maximum(x, y)[keep]], axis=1))
                 i = i[~keep]  # what the first member does not resemble is tied to the one before it
-        yield np.unique(np.concatenate(out), axis=0)
+        pairs = np.concatenate(out)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        yield pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(1)][: len(pairs)]]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -147,19 +149,24 @@ def across(sets: DataFrame, roots: DataFrame, least: float, level: Broadcast[Lev
     by chance in one key, so an entry brings the bits of the keys after its own, and a pair that cannot have enough in
     common from this key on is never written."""
 
-    def entries(b: pa.RecordBatch, weighed: bool = True) -> tiles.Entries:
+    def entries(b: pa.RecordBatch, turn: int | None = None) -> tiles.Entries:
         cls, n, size, t = unpacked(b)
         doc = np.repeat(np.arange(len(cls)), size)
         place = np.arange(len(t)) - np.repeat(np.cumsum(size) - n, size)  # what occurs once has no partner and comes first
-        keep = tiles.prefix(n[doc], place, least)
-        fold = tiles.after(t, size)[keep] if weighed else None
-        doc, t, place = doc[keep], t[keep], place[keep]
-        return tiles.Entries(cls[doc], t, n[doc], tiles.similar_reach(n[doc], place, least), level.value.often(level.value.of(t)), fold)
+        v = level.value.of(t)
+        often = level.value.often(np.arange(256))
+        keep = tiles.prefix(np.repeat(n, size), place, least)
+        if turn is not None:  # keys in several lists may be of any turn, which ``packed`` finds out
+            keep &= (tiles.turn_of(t, buckets, TURNS) == turn) | (often > tiles.LIST)[v]
+        keep = np.flatnonzero(keep)
+        fold = None if turn is None else tiles.after(t, size, keep)
+        doc, place = doc[keep], place[keep]
+        return tiles.Entries(cls[doc], t[keep], n[doc], tiles.similar_reach(n[doc], place, least), often[v[keep]], fold)
 
     rows = sets.select("cls", "n", "data")
     buckets = TURNS * tiles.buckets_for(int(level.value.total * (1 - least)) + 1)
-    of = Saved(tiles.places_of(rows, lambda b: entries(b, False), buckets, roots))
-    found = [Saved(tiles.compare_apart(tiles.packed(rows, entries, buckets, k, TURNS), tiles.packed_roots(of.df, k, TURNS), buckets // TURNS, least).distinct()) for k in range(TURNS)]
+    of = Saved(tiles.places_of(rows, entries, buckets, roots))
+    found = [Saved(tiles.compare_apart(tiles.packed(rows, lambda b, k=k: entries(b, k), buckets, k, TURNS, FEW), tiles.packed_roots(of.df, k, TURNS), buckets // TURNS, least).distinct()) for k in range(TURNS)]
     near = Saved(reduce(DataFrame.union, [x.df for x in found]).distinct())
     for x in (of, *found):
         x.drop()

@@ -58,6 +58,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _cache["powers"][:n], _cache["inverse"][:n]
 
 
+FEW = 1 << 18  # bytes whose arrays stay in the processor's cache
+
+
 def slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The batches in parts of about ``most`` bytes of text or packed items (or one row), so that long ones don't add up in memory."""
     for b in batches:

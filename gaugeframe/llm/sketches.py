@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.llm.shingles import U, slices
+from gaugeframe.llm.shingles import FEW, U, slices
 from gaugeframe.sources.scratch import freed
 
 COUNTERS = 1 << 20
@@ -55,9 +55,14 @@ def levels(df: DataFrame, items: Callable[[pa.RecordBatch], np.ndarray], expecte
     ranges = size >> 16
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.uint32)
-        for b in slices(batches):
-            at, n = np.unique(items(b) % U(size), return_counts=True)
+        total, seen = np.zeros(size, np.uint32), 0
+        for b in slices(batches, FEW):
+            every = items(b) % U(size)
+            seen += len(every)
+            if seen < 2**32:  # no counter can be full yet
+                np.add.at(total, every.astype(np.int64), np.uint32(1))
+                continue
+            at, n = np.unique(every, return_counts=True)
             at = at.astype(np.int64)
             total[at] += np.minimum(n, 2**32 - 1 - total[at]).astype(np.uint32)  # a partition's counter stays at the most
         at = np.flatnonzero(total)

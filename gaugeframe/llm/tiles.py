@@ -3,7 +3,7 @@
 Every text is known by the 64-bit hash of its set of triples (*class*: copies are one class, whatever their number). A
 set is a bit vector over all triples, whose population count n is the size of the set. Three facts lose no pair:
 
-* If two sets are similar enough, they share one (or ``matches``) of the *rarest* keys of each (prefix filter); any fixed
+* If two sets are similar enough, they share one of the *rarest* keys of each (prefix filter); any fixed
   order of keys will do, so rarity may come from counters of bounded size. A key that occurs once has no partner.
 * A key that stands at place i in this order has n - i keys from there on, which bounds the population count of a partner
   with which it is the first key in common (``reach``).
@@ -12,10 +12,12 @@ set is a bit vector over all triples, whose population count n is the size of th
 
 ``emit`` packs the entries (key, class, n, reach: 16 bytes) of many texts into one binary row for each bucket, so the JVM
 moves a few blobs instead of tens of millions of rows; an entry takes the same room whatever the number of buckets.
-``compare`` sorts a bucket by key and population count, and of each key looks only at the tile of partners whose
-population counts lie within reach. Pairs within reach grow faster than the input, so entries may bring their folded bit
-vectors (32 bytes more): then a pair is weighed where it meets and what is ruled out is never written. Such entries are
-made in ``turns``, a share of the buckets at a time. ``alike`` fetches the bit vectors for pairs of entries without them.
+``compare`` and ``compare_apart`` sort a bucket by key and population count, and of each key look only at the tile of
+partners whose population counts lie within reach. Pairs within reach grow faster than the input, so entries may bring
+their folded bit vectors (32 bytes more): then a pair is weighed where it meets and what is ruled out is never written.
+Such entries are made in ``turns``, a share of the buckets at a time. ``compare_apart`` takes bits of the keys ``after`` an
+entry's own instead: few are left after frequent keys, where most pairs meet by chance. ``alike`` fetches the bit vectors
+for pairs of entries without them.
 
 A key so frequent that its list would not fit one task is split into a grid of cells (``LIST`` entries a side), each a
 list of its own; no list is cut. How frequent a key is, is its counter less the average share of other keys in it, so
@@ -36,12 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import sketches
-from gaugeframe.llm.shingles import U, mix, slices
+from gaugeframe.llm.shingles import FEW, U, mix, slices
 from gaugeframe.sources.scratch import Saved
 
 BITS = 256  # of a folded bit vector
 AFTER = 192  # of a bit vector of the keys after an entry's own
 TILE = 1 << 20  # pairs compared at once
+APART = 1 << 16  # the same where few pairs are left, which stay in the processor's cache
 HELD = 1 << 20  # entries or pairs that a task holds before it hands them on
 LIST = 1 << 16  # entries of a key in a list
 PER_BUCKET = 2_000_000  # entries in a bucket, about
@@ -76,21 +79,24 @@ def folded(doc: np.ndarray, items: np.ndarray, docs: int) -> np.ndarray:
     return np.packbits(on, axis=1)
 
 
-def after(items: np.ndarray, size: np.ndarray) -> np.ndarray:
+def after(items: np.ndarray, size: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
     """uint64 [items, AFTER / 64]: of docs that have so many items, one doc after another, bits of the items that come after
-    each item in its doc."""
-    out = np.zeros((len(items), AFTER // 64), U)
-    bit = mix(items + U(0xABCDEF)) % U(AFTER)
-    word, bit = (bit >> U(6)).astype(np.int64), U(1) << (bit & U(63))
+    each item in its doc; ``of`` gives the places of the items for which they are wanted."""
     by = np.argsort(-size, kind="stable")
-    last, size = np.cumsum(size)[by] - 1, size[by]
-    on = np.zeros((len(size), AFTER // 64), U)
-    docs = len(size) - np.cumsum(np.bincount(size))  # by k, those of more than k items
-    for k, m in enumerate(docs[:-1]):  # the k-th item from the end of each
-        at = last[:m] - k
-        out[at] = on[:m]
-        on[np.arange(m), word[at]] |= bit[at]
-    return out
+    last = np.cumsum(size)[by] - 1
+    docs = (len(size) - np.cumsum(np.bincount(size)))[:-1]  # by k, those that have a k-th item from the end
+    # last items of all docs first, then those before them, and so on
+    ends = np.cumsum(docs)
+    at = last[np.arange(len(items)) - np.repeat(ends - docs, docs)] - np.repeat(np.arange(len(docs)), docs)
+    bit = (mix(items + U(0xABCDEF)) % U(AFTER))[at]
+    bits = np.zeros((len(items), AFTER // 64), U)
+    bits.ravel()[np.arange(len(items)) * (AFTER // 64) + (bit >> U(6)).astype(np.int64)] = U(1) << (bit & U(63))
+    out = np.zeros_like(bits)
+    for m, j, i in zip(docs[1:].tolist(), ends[1:].tolist(), (ends - docs).tolist()):
+        np.bitwise_or(out[i : i + m], bits[i : i + m], out=out[j - m : j])
+    row = np.empty(len(items), np.int64)
+    row[at] = np.arange(len(items))
+    return out[row if of is None else row[of]]
 
 
 def rarest(doc: np.ndarray, items: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +113,15 @@ def similar_reach(n: np.ndarray, place: np.ndarray, least: float, matches: int =
     return np.floor((n - place + matches - 1) * (1 + least) / least - n + 1e-6).astype(np.int64)
 
 
+def by_rarity(doc: np.ndarray, items: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The items (48 bits, ordered by doc) of each doc in the order of ``rarest``."""
+    every = (((doc & 255) << 56) | (level.astype(np.int64) << 48)).astype(U) | items
+    edge = np.searchsorted(doc, np.arange(0, (doc[-1] if len(doc) else 0) + 257, 256))
+    for i, j in zip(edge[:-1], edge[1:]):
+        every[i:j].sort()
+    return every & U((1 << 48) - 1)
+
+
 def prefix(n: np.ndarray, place: np.ndarray, least: float, matches: int = 1) -> np.ndarray:
     """Whether an item is among those of which a partner that has ``least`` of the set must have ``matches``."""
     return place < n - np.ceil(least * n - 1e-6) + matches
@@ -133,6 +148,10 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((key >> U(16)) % U(buckets)).astype(np.uint32)
 
 
+def turn_of(key: np.ndarray, buckets: int, turns: int) -> np.ndarray:
+    return _bucket(key, buckets) % np.uint32(turns)
+
+
 def _blobs(to: np.ndarray, parts: list[np.ndarray]) -> pa.RecordBatch:
     """(bucket, blob): of the rows of parts that go to a bucket, the columns one after another."""
     order = np.argsort(to.astype(np.uint16) if to.max(initial=0) < 1 << 16 else to, kind="stable")
@@ -159,8 +178,8 @@ def emit(df: DataFrame, of: Callable[[pa.RecordBatch], Entries], buckets: int, t
     return packed(df, of, buckets, turn, turns).repartitionById(-(-buckets // turns), F.col("bucket"))
 
 
-def packed(df: DataFrame, of: Callable[[pa.RecordBatch], Entries], buckets: int, turn: int = 0, turns: int = 1) -> DataFrame:
-    """``emit`` before the shuffle."""
+def packed(df: DataFrame, of: Callable[[pa.RecordBatch], Entries], buckets: int, turn: int = 0, turns: int = 1, most: int = 1 << 21) -> DataFrame:
+    """``emit`` before the shuffle; ``most``: see ``slices``."""
 
     def blobs(held: list[Entries]) -> pa.RecordBatch:
         e = Entries.joined(held)
@@ -169,10 +188,11 @@ def packed(df: DataFrame, of: Callable[[pa.RecordBatch], Entries], buckets: int,
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for b in slices(batches):
+        for b in slices(batches, most):
             e = _celled(of(b))
             if turns > 1:
-                e = e.take(np.flatnonzero(_bucket(e.key, buckets) % np.uint32(turns) == turn))
+                own = turn_of(e.key, buckets, turns) == turn
+                e = e if own.all() else e.take(np.flatnonzero(own))
             if len(e.key):
                 held.append(e)
                 size += len(e.key) * (1 if e.fold is None else 3)  # an entry takes three times the room then
@@ -192,7 +212,7 @@ def places_of(df: DataFrame, of: Callable[[pa.RecordBatch], Entries], buckets: i
     known = df.sparkSession.sparkContext.broadcast(bits)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, FEW):
             e = _celled(of(b))
             some = sketches.has(known.value, e.cls * U(0x9E3779B97F4A7C15) >> U(20))
             cls, bucket = e.cls[some], _bucket(e.key[some], buckets)
@@ -223,29 +243,49 @@ def packed_roots(of: DataFrame, turn: int = 0, turns: int = 1) -> DataFrame:
     return of.select("node", "root", "places").mapInArrow(spread, "bucket int, blob binary")
 
 
-def _load(blobs: list[pa.Buffer], folds: int = 0, apart: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
-    """cls; key, side (of a class) and n in one number; reach; bit vectors (uint64 [entries, folds]), if entries bring
+def _load(blobs: list[pa.Buffer], folds: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """cls; key, side (of a class) and n in one number; reach; bit vectors (uint64 [entries, BITS / 64]), if entries bring
     them: ordered by that number and the class, each entry once."""
-    c, key, n, reach, *fold = _columns(blobs, [U, np.uint32, np.uint16, np.uint16, *[U] * folds])
+    c, key, n, reach, *fold = _columns(blobs, [U, np.uint32, np.uint16, np.uint16, *[U] * (BITS // 64 * folds)])
     both = (key.astype(U) << U(17)) | ((c & U(1)) << U(16)) | n.astype(U)
     order = np.lexsort((c, both))
     c, both = c[order], both[order]
-    differ = (c[1:] != c[:-1]) | (both[1:] != both[:-1])
-    if apart:  # two keys of a class may have the same hash, and each may be the first that a pair has in common
-        differ |= reach[order][1:] != reach[order][:-1]
-    fresh = np.r_[True, differ]
+    fresh = np.r_[True, (c[1:] != c[:-1]) | (both[1:] != both[:-1])]
     order = order[fresh]
     return c[fresh], both[fresh], reach[order], np.stack([x[order] for x in fold], axis=1) if folds else None
 
 
-def _tiles(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j) for all i and lo[i] <= j < hi[i], about TILE at once."""
+def _load_apart(blobs: list[pa.Buffer], roots: list[pa.Buffer]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``_load`` for entries with bits of the keys ``after`` them, and the root of each. Those of the commonest root of each key
+    are of side 0, all others of side 1. Copies are left: they have the same root, so they don't meet."""
+    c, key, n, reach, *fold = _columns(blobs, [U, np.uint32, np.uint16, np.uint16, *[U] * (AFTER // 64)])
+    node, of = _columns(roots, [U, U])
+    order = np.argsort(node)
+    node, of = node[order], of[order]
+    at = np.minimum(np.searchsorted(node, c), max(0, len(node) - 1))
+    root = np.where(node[at] == c, of[at], c) if len(node) else c
+    pair = (key.astype(U) << U(32)) | (mix(root) >> U(32))
+    order = np.argsort(pair)
+    pair = pair[order]
+    group = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+    count, of_key = np.diff(np.r_[group, len(pair)]), pair[group] >> U(32)
+    run = np.flatnonzero(np.r_[True, of_key[1:] != of_key[:-1]])
+    most = np.maximum.reduceat((count << 32) | np.arange(len(group)), run) & 0xFFFFFFFF  # the largest group of each key
+    common = np.repeat(root[order[group[most]]], np.diff(np.r_[group[run], len(pair)]))
+    both = (pair >> U(32) << U(17)) | np.where(root[order] == common, U(0), U(1 << 16)) | n[order].astype(U)
+    by = np.argsort(both)
+    order = order[by]
+    return c[order], both[by], reach[order], np.stack([x[order] for x in fold], axis=1), root[order]
+
+
+def _tiles(lo: np.ndarray, hi: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) for all i and lo[i] <= j < hi[i], about ``most`` at once."""
     size = np.maximum(hi - lo, 0)
     some = np.flatnonzero(size)
     total = np.cumsum(size[some])
     i = 0
     while i < len(some):
-        j = int(np.searchsorted(total, (total[i - 1] if i else 0) + TILE, side="right"))
+        j = int(np.searchsorted(total, (total[i - 1] if i else 0) + most, side="right"))
         at = some[i : max(j, i + 1)]
         s = size[at]
         yield np.repeat(at, s), np.arange(s.sum()) - np.repeat(np.cumsum(s) - s - lo[at], s)
@@ -258,10 +298,10 @@ def _pairs(blobs: list[pa.Buffer], contained: bool, roots: list[pa.Buffer] | Non
     entry's own, else of all."""
     if not blobs:
         return
-    cls, both, reach, fold = _load(blobs, 0 if least is None else (BITS if roots is None else AFTER) // 64, roots is not None)
-    if roots is not None:
-        order, both, root = _by_root(cls, both, roots)
-        cls, reach, fold = cls[order], reach[order], fold[order]
+    if roots is None:
+        cls, both, reach, fold = _load(blobs, least is not None)
+    else:
+        cls, both, reach, fold, root = _load_apart(blobs, roots)
         spare = _spare(both, reach, fold, least)
     n = (both & U(MOST)).astype(np.uint16)
     key = both >> U(17) << U(17)
@@ -277,7 +317,7 @@ def _pairs(blobs: list[pa.Buffer], contained: bool, roots: list[pa.Buffer] | Non
         else:  # entries of a list's commonest root stand on side 0, and only meet the others
             spans.append((np.arange(1, len(cls) + 1), np.where(side, after, 0)))
             spans.append((np.searchsorted(both, key, side="left"), np.where(side, np.searchsorted(both, key | reach.astype(U), side="right"), 0)))
-    for i, j in chain.from_iterable(_tiles(lo, hi) for lo, hi in spans):
+    for i, j in chain.from_iterable(_tiles(lo, hi, TILE if roots is None else APART) for lo, hi in spans):
         ok = reach.take(j) >= n.take(i)
         i, j = i[ok], j[ok]
         if roots is not None:
@@ -307,26 +347,6 @@ def _spare(both: np.ndarray, reach: np.ndarray, fold: np.ndarray, least: float)
     return left - np.bitwise_count(fold).sum(1, dtype=np.int64)
 
 
-def _by_root(cls: np.ndarray, both: np.ndarray, roots: list[pa.Buffer]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order of the entries, those of the commonest root of each key before the others; in it their numbers, with the side
-    that this gives them, and the numbers of their roots."""
-    node, of = _columns(roots, [U, U])
-    order = np.argsort(node)
-    node, of = node[order], of[order]
-    at = np.minimum(np.searchsorted(node, cls), max(0, len(node) - 1))
-    root = np.where(node[at] == cls, of[at], cls) if len(node) else cls
-    root = np.unique(root, return_inverse=True)[1].astype(np.int64)
-    key = both >> U(17)
-    run = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
-    pair, count = np.unique((run << 32) | root, return_counts=True)
-    order = np.lexsort((count, pair >> 32))
-    most = order[np.r_[np.flatnonzero(np.diff(pair[order] >> 32)), len(order) - 1]]  # the last of each run
-    common = (pair[most] & 0xFFFFFFFF)[run]
-    both = both | np.where(root == common, U(0), U(1 << 16))
-    order = np.argsort(both, kind="stable")
-    return order, both[order], root[order]
-
-
 def compare(blobs: DataFrame, contained: bool = False, least: float | None = None) -> DataFrame:
     """(a bigint, b bigint): classes that share a key and lie within reach of each other; pairs may come more than once.
     least, for entries with bit vectors: without the pairs whose bit vectors rule out that Jaccard similarity.
@@ -341,7 +361,7 @@ def compare(blobs: DataFrame, contained: bool = False, least: float | None = Non
     return blobs.mapInArrow(part, "a bigint, b bigint")
 
 
-SHORT = (1 << 40) - 1  # the part of a class that is sent for the second one of a pair
+SHORT = (1 << 40) - 1  # the part of a class that ``_by_class`` packs for the second one of a pair
 
 
 def compare_apart(entries: DataFrame, roots: DataFrame, buckets: int, least: float) -> DataFrame:
@@ -357,8 +377,14 @@ def compare_apart(entries: DataFrame, roots: DataFrame, buckets: int, least: flo
         for batch in batches:
             for is_root, x in zip(batch.column(1).to_pylist(), batch.column(2)):
                 every[is_root].append(x.as_buffer())
-        for a, b in _pairs(every[0], False, every[1], least):
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], ["a", "b"])
+        held, size = [], 0
+        for pair in chain(_pairs(every[0], False, every[1], least), [None]):
+            if pair is not None:
+                held.append(pair)
+                size += len(pair[0])
+            if held and (pair is None or size >= HELD):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in held]).view(np.int64)) for k in (0, 1)], ["a", "b"])
+                held, size = [], 0
 
     both = entries.withColumn("is_root", F.lit(0)).unionByName(roots.withColumn("is_root", F.lit(1))).select("bucket", "is_root", "blob")
     return both.repartitionById(buckets, F.col("bucket")).mapInArrow(found, "a bigint, b bigint")
@@ -457,8 +483,8 @@ def shared(pairs: DataFrame) -> DataFrame:
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in range(0, b.num_rows, 8192):
-                x = b.slice(s, 8192)
+            for s in range(0, b.num_rows, 1024):
+                x = b.slice(s, 1024)
                 (ta, na), (tb, nb) = unpack(x.column(2)), unpack(x.column(3))
                 k = np.arange(x.num_rows, dtype=np.int64)
                 every = np.sort(np.concatenate([(np.repeat(k, m).astype(U) << U(48)) | t for t, m in ((ta, na), (tb, nb))]))
