@@ -19,6 +19,7 @@ zero features and fall in whichever component lies nearest; copies are one class
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -42,19 +43,20 @@ CHUNK = 1 << 19  # classes compared at once
 SPLIT = 500_000  # texts for one task of a group
 
 
-def minima(row: np.ndarray, t: np.ndarray, rows: int) -> np.ndarray:
-    """uint16 [rows, GROUPS * BANDS * ROWS]: hashed minima of each row's triples under as many orders."""
+def minima(row: np.ndarray, t: np.ndarray, rows: int, groups: range = range(GROUPS)) -> np.ndarray:
+    """uint16 [rows, groups * BANDS * ROWS]: hashed minima of each row's triples under as many orders, those of the groups."""
     k = GROUPS * BANDS * ROWS
-    out = np.zeros((rows, k), np.uint16)
+    first = groups.start * BANDS * ROWS
+    out = np.zeros((rows, len(groups) * BANDS * ROWS), np.uint16)
     if not len(row):
         return out
     at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     t32 = (mix(t) >> U(32)).astype(np.uint32)
     factors = (mix(np.arange(k, dtype=U) + U(991)) | U(1)).astype(np.uint32)
     shifts = (mix(np.arange(k, dtype=U) + U(17)) >> U(20)).astype(np.uint32)
-    for i in range(k):
+    for i in range(first, first + out.shape[1]):
         least = np.minimum.reduceat((t32 ^ shifts[i]) * factors[i], at)
-        out[row[at], i] = ((least * np.uint32(0x9E3779B1)) ^ (least >> np.uint32(7)) * np.uint32(0x85EBCA6B)) >> np.uint32(16)
+        out[row[at], i - first] = ((least * np.uint32(0x9E3779B1)) ^ (least >> np.uint32(7)) * np.uint32(0x85EBCA6B)) >> np.uint32(16)
     return out
 
 
@@ -63,16 +65,31 @@ def _band_keys(m: np.ndarray) -> list[np.ndarray]:
     return [(x[:, b * ROWS] << U(16)) | x[:, b * ROWS + 1] for b in range(BANDS)]
 
 
-def candidates(sets: DataFrame, similar: int = 4) -> DataFrame:
-    """(a, b; a < b): classes with a band in common and ``similar`` equal minima of the group's twelve."""
+def candidates(sets: DataFrame, similar: int = 4) -> Saved:
+    """(a, b; a < b): classes with a band in common and ``similar`` equal minima of the group's twelve. In several parts a
+    text goes to up to six cells a group, so that each group is then a turn of its own."""
     parts = max(1, -(-sets.count() // SPLIT))
+    return _together([_candidates(sets, similar, parts, g) for g in ([range(GROUPS)] if parts == 1 else [range(g, g + 1) for g in range(GROUPS)])])
 
+
+def _together(turns: list[DataFrame]) -> Saved:
+    """The different rows of all turns, each of which is written before the next one begins."""
+    if len(turns) == 1:
+        return Saved(turns[0].distinct())
+    found = [Saved(x.distinct()) for x in turns]
+    every = Saved(reduce(DataFrame.union, [x.df for x in found]).distinct())
+    for x in found:
+        x.drop()
+    return every
+
+
+def _candidates(sets: DataFrame, similar: int, parts: int, groups: range) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, FEW):
             cls, _, size, t = unpacked(b)
-            m = minima(np.repeat(np.arange(len(cls)), size), t, len(cls))
+            m = minima(np.repeat(np.arange(len(cls)), size), t, len(cls), groups)
             ids, blobs = [], []
-            for g in range(GROUPS):
+            for g in range(len(groups)):
                 own = m[:, g * BANDS * ROWS : (g + 1) * BANDS * ROWS]
                 # a text goes to each part that one of its bands needs
                 part = np.stack([mix(k + U(b)) % U(parts) for b, k in enumerate(_band_keys(own))], axis=1)
@@ -87,8 +104,8 @@ def candidates(sets: DataFrame, similar: int = 4) -> DataFrame:
         for got in _tied(batches, parts, similar):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(got[:, k]).view(np.int64)) for k in (0, 1)], ["a", "b"])
 
-    cells = sets.select("cls", "n", "data").mapInArrow(emit, "cell int, blob binary").repartitionById(GROUPS * parts, F.col("cell"))
-    return cells.mapInArrow(compare, "a bigint, b bigint").distinct()
+    cells = sets.select("cls", "n", "data").mapInArrow(emit, "cell int, blob binary").repartitionById(len(groups) * parts, F.col("cell"))
+    return cells.mapInArrow(compare, "a bigint, b bigint")
 
 
 def _tied(batches: Iterator[pa.RecordBatch], parts: int, similar: int) -> Iterator[np.ndarray]:
@@ -139,6 +156,14 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 TURNS = 4  # shares of the lists, each made and compared by itself
+SHARED = 4  # occurrences of triples for each counter; there are more only when counters have reached their largest number
+
+
+def plan(level: Levels) -> tuple[int, int]:
+    """(turns, bits of the keys after an entry's own). Where counters are shared by many triples, those that occur once are
+    not known, which makes lists longer, and the order is more of chance, which leaves more keys after one where pairs meet
+    by chance: twice the turns, and as many bits as tell such pairs apart."""
+    return (2 * TURNS, 320) if level.total > SHARED * len(level.level) else (TURNS, tiles.AFTER)
 
 
 def across(sets: DataFrame, roots: DataFrame, least: float, level: Broadcast[Levels]) -> DataFrame:
@@ -149,6 +174,8 @@ def across(sets: DataFrame, roots: DataFrame, least: float, level: Broadcast[Lev
     by chance in one key, so an entry brings the bits of the keys after its own, and a pair that cannot have enough in
     common from this key on is never written."""
 
+    turns, bits = plan(level.value)
+
     def entries(b: pa.RecordBatch, turn: int | None = None) -> tiles.Entries:
         cls, n, size, t = unpacked(b)
         doc = np.repeat(np.arange(len(cls)), size)
@@ -157,31 +184,40 @@ def across(sets: DataFrame, roots: DataFrame, least: float, level: Broadcast[Lev
         often = level.value.often(np.arange(256))
         keep = tiles.prefix(np.repeat(n, size), place, least)
         if turn is not None:  # keys in several lists may be of any turn, which ``packed`` finds out
-            keep &= (tiles.turn_of(t, buckets, TURNS) == turn) | (often > tiles.LIST)[v]
+            keep &= (tiles.turn_of(t, buckets, turns) == turn) | (often > tiles.LIST)[v]
         keep = np.flatnonzero(keep)
-        fold = None if turn is None else tiles.after(t, size, keep)
+        fold = None if turn is None else tiles.after(t, size, keep, bits)
         doc, place = doc[keep], place[keep]
         return tiles.Entries(cls[doc], t[keep], n[doc], tiles.similar_reach(n[doc], place, least), often[v[keep]], fold)
 
     rows = sets.select("cls", "n", "data")
-    buckets = TURNS * tiles.buckets_for(int(level.value.total * (1 - least)) + 1)
+    buckets = turns * tiles.buckets_for(int(level.value.total * (1 - least)) + 1)
     of = Saved(tiles.places_of(rows, entries, buckets, roots))
-    found = [Saved(tiles.compare_apart(tiles.packed(rows, lambda b, k=k: entries(b, k), buckets, k, TURNS, FEW), tiles.packed_roots(of.df, k, TURNS), buckets // TURNS, least).distinct()) for k in range(TURNS)]
-    near = Saved(reduce(DataFrame.union, [x.df for x in found]).distinct())
-    for x in (of, *found):
-        x.drop()
-    return _links(sets, near.df, least)
+    found = _together([tiles.compare_apart(tiles.packed(rows, lambda b, k=k: entries(b, k), buckets, k, turns, FEW), tiles.packed_roots(of.df, k, turns), buckets // turns, least, bits) for k in range(turns)])
+    of.drop()
+    return _links(sets, found.df, least)
+
+
+PAIRS = 0.5  # pairs for each text whose sets are moved at once
 
 
 def _links(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    return verified_sets(sets, pairs).filter(F.col("both") * (1 + least) >= least * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b")
+    """The pairs that are exactly so similar. Each takes the room of a set or two, so many of them are checked in pieces."""
+    pieces = max(1, math.ceil(pairs.count() / max(1.0, PAIRS * sets.count())))
+
+    def links(piece: DataFrame) -> DataFrame:
+        return verified_sets(sets, piece).filter(F.col("both") * (1 + least) >= least * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b")
+
+    if pieces == 1:
+        return links(pairs)
+    return _together([links(pairs.filter(F.pmod(F.xxhash64("a"), F.lit(pieces)) == k)) for k in range(pieces)]).df
 
 
 def linked(df: DataFrame, id_col: str, text_col: str, least: float = 0.2, smallest: int = 10) -> DataFrame:
     """(first_id, id): each member but the first of each cluster of at least ``smallest`` rows."""
     level = df.sparkSession.sparkContext.broadcast(rarity(df.select(F.col(text_col).cast("string").alias("text"))))
     sets = save(common_sets(df, id_col, text_col, level))
-    found = Saved(candidates(sets))
+    found = candidates(sets)
     edges = save(_links(sets, found.df, least))
     found.drop()
     roots = save(components(edges))

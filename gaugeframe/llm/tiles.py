@@ -79,8 +79,8 @@ def folded(doc: np.ndarray, items: np.ndarray, docs: int) -> np.ndarray:
     return np.packbits(on, axis=1)
 
 
-def after(items: np.ndarray, size: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
-    """uint64 [items, AFTER / 64]: of docs that have so many items, one doc after another, bits of the items that come after
+def after(items: np.ndarray, size: np.ndarray, of: np.ndarray | None = None, bits: int = AFTER) -> np.ndarray:
+    """uint64 [items, bits / 64]: of docs that have so many items, one doc after another, bits of the items that come after
     each item in its doc; ``of`` gives the places of the items for which they are wanted."""
     by = np.argsort(-size, kind="stable")
     last = np.cumsum(size)[by] - 1
@@ -88,12 +88,12 @@ def after(items: np.ndarray, size: np.ndarray, of: np.ndarray | None = None) ->
     # last items of all docs first, then those before them, and so on
     ends = np.cumsum(docs)
     at = last[np.arange(len(items)) - np.repeat(ends - docs, docs)] - np.repeat(np.arange(len(docs)), docs)
-    bit = (mix(items + U(0xABCDEF)) % U(AFTER))[at]
-    bits = np.zeros((len(items), AFTER // 64), U)
-    bits.ravel()[np.arange(len(items)) * (AFTER // 64) + (bit >> U(6)).astype(np.int64)] = U(1) << (bit & U(63))
-    out = np.zeros_like(bits)
+    bit = (mix(items + U(0xABCDEF)) % U(bits))[at]
+    own = np.zeros((len(items), bits // 64), U)
+    own.ravel()[np.arange(len(items)) * (bits // 64) + (bit >> U(6)).astype(np.int64)] = U(1) << (bit & U(63))
+    out = np.zeros_like(own)
     for m, j, i in zip(docs[1:].tolist(), ends[1:].tolist(), (ends - docs).tolist()):
-        np.bitwise_or(out[i : i + m], bits[i : i + m], out=out[j - m : j])
+        np.bitwise_or(out[i : i + m], own[i : i + m], out=out[j - m : j])
     row = np.empty(len(items), np.int64)
     row[at] = np.arange(len(items))
     return out[row if of is None else row[of]]
@@ -255,10 +255,10 @@ def _load(blobs: list[pa.Buffer], folds: bool = False) -> tuple[np.ndarray, np.n
     return c[fresh], both[fresh], reach[order], np.stack([x[order] for x in fold], axis=1) if folds else None
 
 
-def _load_apart(blobs: list[pa.Buffer], roots: list[pa.Buffer]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _load_apart(blobs: list[pa.Buffer], roots: list[pa.Buffer], bits: int = AFTER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``_load`` for entries with bits of the keys ``after`` them, and the root of each. Those of the commonest root of each key
     are of side 0, all others of side 1. Copies are left: they have the same root, so they don't meet."""
-    c, key, n, reach, *fold = _columns(blobs, [U, np.uint32, np.uint16, np.uint16, *[U] * (AFTER // 64)])
+    c, key, n, reach, *fold = _columns(blobs, [U, np.uint32, np.uint16, np.uint16, *[U] * (bits // 64)])
     node, of = _columns(roots, [U, U])
     order = np.argsort(node)
     node, of = node[order], of[order]
@@ -292,16 +292,16 @@ def _tiles(lo: np.ndarray, hi: np.ndarray, most: int) -> Iterator[tuple[np.ndarr
         i = max(j, i + 1)
 
 
-def _pairs(blobs: list[pa.Buffer], contained: bool, roots: list[pa.Buffer] | None = None, least: float | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(blobs: list[pa.Buffer], contained: bool, roots: list[pa.Buffer] | None = None, least: float | None = None, bits: int = AFTER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(a, b) of the entries of a bucket that lie within each other's reach; with roots, of those of different roots only;
     with least, of those whose bit vectors don't rule out that similarity: with roots, they are of the keys after an
-    entry's own, else of all."""
+    entry's own (``bits`` of them), else of all."""
     if not blobs:
         return
     if roots is None:
         cls, both, reach, fold = _load(blobs, least is not None)
     else:
-        cls, both, reach, fold, root = _load_apart(blobs, roots)
+        cls, both, reach, fold, root = _load_apart(blobs, roots, bits)
         spare = _spare(both, reach, fold, least)
     n = (both & U(MOST)).astype(np.uint16)
     key = both >> U(17) << U(17)
@@ -364,12 +364,12 @@ def compare(blobs: DataFrame, contained: bool = False, least: float | None = Non
 SHORT = (1 << 40) - 1  # the part of a class that ``_by_class`` packs for the second one of a pair
 
 
-def compare_apart(entries: DataFrame, roots: DataFrame, buckets: int, least: float) -> DataFrame:
+def compare_apart(entries: DataFrame, roots: DataFrame, buckets: int, least: float, bits: int = AFTER) -> DataFrame:
     """(a bigint, b bigint; a < b as unsigned numbers): classes of different roots whose Jaccard similarity may be ``least``:
     all that have it, and few others; pairs may come more than once.
 
     entries, roots: ``packed`` and ``packed_roots`` of a turn (a class without a root is its own) of so many buckets; each
-    entry brings the bit vector of the keys ``after`` it. A pair is weighed at every key where it meets and is not counted,
+    entry brings the bit vector (``bits``) of the keys ``after`` it. A pair is weighed at every key where it meets and is not counted,
     as it passes at the first key that it has in common if it is similar enough."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +378,7 @@ def compare_apart(entries: DataFrame, roots: DataFrame, buckets: int, least: flo
             for is_root, x in zip(batch.column(1).to_pylist(), batch.column(2)):
                 every[is_root].append(x.as_buffer())
         held, size = [], 0
-        for pair in chain(_pairs(every[0], False, every[1], least), [None]):
+        for pair in chain(_pairs(every[0], False, every[1], least, bits), [None]):
             if pair is not None:
                 held.append(pair)
                 size += len(pair[0])

@@ -189,6 +189,34 @@ def test_linked_in_parts(spark, monkeypatch):
     test_linked(spark, 5)
 
 
+def test_linked_where_counters_are_shared(spark, monkeypatch):
+    """The plan for tables beyond the counters' largest number: each group of minima is written before the next one, lists are
+    made in more turns, and no more pairs of sets are moved at once than the texts allow."""
+    turns, moved = [], []
+    together, verified = clusters._together, clusters.verified_sets
+    monkeypatch.setattr(clusters, "SPLIT", 60)
+    monkeypatch.setattr(clusters, "SHARED", 0)
+    monkeypatch.setattr(clusters, "PAIRS", 0.1)
+    monkeypatch.setattr(clusters, "_together", lambda every: turns.append(len(every)) or together(every))
+    monkeypatch.setattr(clusters, "verified_sets", lambda sets, pairs: moved.append((pairs.count(), sets.count())) or verified(sets, pairs))
+    test_linked(spark, 5)
+    assert turns[0] == clusters.GROUPS and 2 * clusters.TURNS in turns
+    assert len(moved) > 2 and all(n < 0.3 * texts for n, texts in moved)
+
+
+def test_more_bits_where_the_order_is_of_chance():
+    """Texts of 60 triples that have the first one in common and no other: with more bits far fewer of those that meet pass."""
+    rng, passed = np.random.default_rng(15), {}
+    sets = [np.r_[np.uint64(7), rng.choice(2**40, 59, replace=False).astype(np.uint64)] for _ in range(200)]
+    doc, t, size = np.repeat(np.arange(200), 60), np.concatenate(sets), np.full(200, 60)
+    place = np.tile(np.arange(60), 200)
+    for bits in (192, 320):
+        columns = [(2 * doc + 2).astype(np.uint64), t.astype(np.uint32), size[doc].astype(np.uint16), tiles.similar_reach(size[doc], place, 0.2).astype(np.uint16), *tiles.after(t, size, bits=bits).T]
+        blob = pa.py_buffer(b"".join(np.ascontiguousarray(x).tobytes() for x in columns))
+        passed[bits] = sum(len(a) for a, _ in tiles._pairs([blob], False, [], 0.2, bits))
+    assert passed[320] < passed[192] / 4
+
+
 def test_linked_by_weak_links_only(spark):
     """Chains of 12 texts, each with a similarity of 0.21 to the next one and none to the others."""
     rng, rows = random.Random(8), []
